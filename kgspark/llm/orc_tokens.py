@@ -38,13 +38,12 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids of each document, in the order of the input's partitions."""
 
     def encode(batches):
-        from kgspark.llm.tokens import Encoder
+        from kgspark.llm.tokens import encoder
 
-        encoder = Encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [encoder.encode(text) for text in batch.column("text").to_pylist()]
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                ids = encoder(tokenizer).encode(batch.column("text").to_pylist())
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

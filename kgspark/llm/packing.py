@@ -58,13 +58,12 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """One row per piece of each document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches):
-        from kgspark.llm.tokens import Encoder
+        from kgspark.llm.tokens import encoder
 
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text)
+        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 512)):
+            batch, rows = whole.slice(at, 512), []
+            encoded = encoder(tokenizer).encode(batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     part = ids[4 * start : 4 * (start + length)]

@@ -1,10 +1,11 @@
 """Exact token ids of whole texts, with a memo of the words met so far.
 
 Both tokenizers split a text before they merge: no merge crosses the start of
-a word. A text is therefore cut before its single spaces and each distinct
-word goes through the tokenizers library once a task; the ids of the words,
-joined, are those of the text. Where that doesn't hold (a run of spaces
-under the byte-level tokenizer) the text is encoded whole.
+a word. A text is therefore cut before its single spaces, and only words that
+the memo lacks go through the tokenizers library, many in one call: a NUL
+character, whose id takes part in no merge, ends each. The ids of the words,
+joined, are those of the text. Where that doesn't hold (a run of spaces under
+the byte-level tokenizer, a NUL in the text) the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -14,28 +15,22 @@ import os
 import numpy as np
 
 END_ID = 2
-#: Words in a task's memo before it starts anew: some 60 MB.
-MEMO_WORDS = 300_000
+#: Words in a worker's memo before it starts anew: some 100 MB.
+MEMO_WORDS = 500_000
+#: Texts whose missing words share a call, by characters.
+SLICE_CHARS = 1 << 20
+_encoders: dict[str, Encoder] = {}
 
 
-class _Memo(dict):
-    """word -> its ids as little-endian 32-bit bytes."""
-
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = ids = self.whole(self.lead + word)
-        return ids
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; its memo outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Encoder:
-    """encode(text) -> bytes of little-endian unsigned 32-bit ids, the end id included.
+    """encode(texts) -> bytes of little-endian unsigned 32-bit ids of each, the end id included.
 
     Strings of special tokens inside a text are ordinary text. A null text is
     an empty one: the end id alone.
@@ -45,18 +40,56 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         # A tokenizer that drops white space gives the same ids with and without it.
-        self.drops = tokenizer.encode(" a", add_special_tokens=False).ids == tokenizer.encode("a", add_special_tokens=False).ids
-        self.memo = _Memo(tokenizer, "" if self.drops else " ")
+        self.drops = self._ids(" a").tolist() == self._ids("a").tolist()
+        self.lead = "" if self.drops else " "
+        nul = self._ids("\0")
+        sign = self.tokenizer.id_to_token(int(nul[0]))[0]
+        self.nul = int(nul[0]) if len(nul) == 1 and sum(sign in token for token in self.tokenizer.get_vocab()) <= 2 else None
+        self.memo: dict[str, bytes] = {}
         self.end = np.asarray([END_ID], "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.drops:
-            return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" "))) + self.end
-        if "  " in text:
-            return self.memo.whole(text) + self.end
-        first, *rest = text.split(" ")
-        return self.memo.whole(first) + b"".join(map(self.memo.__getitem__, rest)) + self.end
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of words (no spaces, no NUL) into the memo."""
+        if self.nul is None:
+            self.memo.update((w, self._ids(self.lead + w).tobytes()) for w in words)
+            return
+        # White space that ends a word is split as before a space, as it stands in a text; where it counts, that space has an id.
+        ids = self._ids("".join(f"{self.lead}{w} \0{'' if self.lead else ' '}" for w in words))
+        ends, space = np.flatnonzero(ids == self.nul) * 4, 4 * len(self.lead)
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.memo[word] = raw[at : end - space]
+            at = end + 4
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, in slices so that no call grows with the number of texts."""
+        out, now, size = [], [], 0
+        for text in texts:
+            now.append(text or "")
+            size += len(now[-1])
+            if size > SLICE_CHARS:
+                out += self._slice(now)
+                now, size = [], 0
+        return out + self._slice(now)
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        cut = [None if "\0" in t or (not self.drops and "  " in t) else (t.replace("\n", " ") if self.drops else t).split(" ") for t in texts]
+        firsts = [None if words is None or self.drops else words.pop(0) for words in cut]
+        missing = set().union(*(w for w in cut if w is not None)).difference(self.memo)
+        if missing:
+            self._learn(list(missing))
+        get, out = self.memo.__getitem__, []
+        for text, first, words in zip(texts, firsts, cut, strict=True):
+            if words is None:
+                out.append(self._ids(text).tobytes() + self.end)
+            else:
+                out.append((self._ids(first).tobytes() if first else b"") + b"".join(map(get, words)) + self.end)
+        return out
