@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import mixing, orc_tokens, packing, secrets
+from kgspark.llm import fingerprints, languages, mixing, near_copies, orc_tokens, packing, private_data, secrets, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,10 +35,35 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+def op7_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.languages(table(spark, sf, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
+def op9_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf, "documents"))
+
+
+def op10_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private_data.digest(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
+    "op4_top_k": op4_top_k,
     "op5_orc_tokens": op5_orc_tokens,
     "op6_mixing": op6_mixing,
+    "op7_languages": op7_languages,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_near_copies": op9_near_copies,
+    "op10_private_data": op10_private_data,
 }
 ORACLES = {"op2_secrets": secrets.oracle()}

@@ -75,10 +75,8 @@ def shingle_sets(encoded: list[bytes], words: int = 5) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(runs[a : b - words + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for k in range(a, b):
-                whole = whole + hashes[k] * power[k - a]
-            out.append(mixed(np.array([whole], np.uint64)))
+            weights = np.array([*power[: b - a], 1], np.uint64)
+            out.append(mixed((np.append(hashes[a:b], np.uint64(b - a)) * weights).sum(keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
