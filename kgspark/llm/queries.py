@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import fingerprints, languages, mixing, near_copies, orc_tokens, packing, private_data, secrets, topk
+from kgspark.llm import fingerprints, languages, mixing, near_copies, orc_tokens, packing, private_data, quality, secrets, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(table(spark, sf, "documents"))
 
@@ -56,6 +60,7 @@ def op10_private_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_top_k": op4_top_k,
