@@ -11,14 +11,21 @@ the byte-level tokenizer, a NUL in the text) the text is encoded whole.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
 END_ID = 2
-#: Words in a worker's memo before it starts anew: some 100 MB.
-MEMO_WORDS = 500_000
+#: Words in a worker's memo before it starts anew: some 200 MB.
+MEMO_WORDS = 1_000_000
 #: Texts whose missing words share a call, by characters.
 SLICE_CHARS = 1 << 20
+#: Words of Latin letters, and at most one mark behind: one or two units that no normalizer but lower-casing changes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)").fullmatch
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -49,13 +56,39 @@ class Encoder:
         sign = self.tokenizer.id_to_token(int(nul[0]))[0]
         self.nul = int(nul[0]) if len(nul) == 1 and sum(sign in token for token in self.tokenizer.get_vocab()) <= 2 else None
         self.memo: dict[str, bytes] = {}
+        self.marks = {mark: self._ids(mark).tobytes() for mark in ("", ",", ".")}
+        self.model, self.fast = self.tokenizer.model, True
+        probe = ["Probe", "Été,", "Straßenöl.", "thtionhe", "l'eau"]
+        self.fast = all(self._plain(w) in (None, self._ids(self.lead + w).tobytes()) for w in probe)
         self.end = np.asarray([END_ID], "<u4").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _plain(self, word: str) -> bytes | None:
+        """The ids of a plain word straight from the tokenizer's model; None if the word isn't plain."""
+        m = _PLAIN(word) if self.fast else None
+        if m is None:
+            return None
+        stem, mark = m.groups()
+        if mark and (known := self.memo.get(stem)) is not None:
+            return known + self.marks[mark]
+        unit = (self.lead + (stem.lower() if self.drops else stem)).encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes() + self.marks[mark]
+
     def _learn(self, words: list[str]) -> None:
         """Put the ids of words (no spaces, no NUL) into the memo."""
+        rest = []
+        for word in words:
+            ids = self._plain(word)
+            if ids is None:
+                rest.append(word)
+            else:
+                self.memo[word] = ids
+        if rest:
+            self._learn_others(rest)
+
+    def _learn_others(self, words: list[str]) -> None:
         if self.nul is None:
             self.memo.update((w, self._ids(self.lead + w).tobytes()) for w in words)
             return
