@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kgspark.plans import graph
+from kgspark.plans import graph, learning, network
 
-MODULES = [graph]
+MODULES = [graph, network, learning]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
