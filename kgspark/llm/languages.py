@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.extras import extras_aside
+
 SHARE = 1e-5
 PLACES = 1 << 20
 HASHES = 3
@@ -156,6 +158,7 @@ def languages(docs: DataFrame, share: float = SHARE) -> DataFrame:
     return identify(docs, learn(docs, share))
 
 
+@extras_aside("doc_id", "text", "lang")
 def keep(docs: DataFrame, share: float = SHARE, least_score: float = LEAST_SCORE) -> DataFrame:
     """docs in a learned language by their text; others (no letter, or a score below least_score) go. lang is the prediction."""
     held = docs.sparkSession.sparkContext.broadcast(learn(docs, share))

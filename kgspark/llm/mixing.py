@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.llm.extras import extras_aside
 from kgspark.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -152,6 +153,7 @@ def _residuals(rows: DataFrame) -> DataFrame:
     return out
 
 
+@extras_aside("doc_id", "text", "source")
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document's row as often as it is taken; columns as they are in docs."""
     key = W.partitionBy("doc_id").orderBy("source", "_mix_size", "_mix_hash")

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.llm.extras import extras_aside
 from kgspark.operators.components import components
 from kgspark.session import written
 
@@ -293,6 +294,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return out.unionAll(empty)
 
 
+@extras_aside("doc_id", "text")
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the documents whose class has one of a smaller doc_id; of rows of equal doc_id, one stays.
 

@@ -23,6 +23,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm.extras import extras_aside
+
 
 class Rule(NamedTuple):
     """kind; pattern, valid in Java and RE2; the group whose length counts (0: the match), and the least length."""
@@ -206,6 +208,7 @@ def digest(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     return rows.select("doc_id", *map(count, base), F.sha2(line(F.filter("_spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), line(F.col("_spans")).alias("spans"))
 
 
+@extras_aside("doc_id", "text", "n_chars")
 def redacted(docs: DataFrame, rules: tuple = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret, overlapping ones as one, replaced by `mark`; n_chars, if there, follows the text."""
     rows = scan(docs, rules)
