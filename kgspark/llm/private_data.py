@@ -5,12 +5,12 @@ protected entities. A term (a lower-cased word within WINDOW words of a
 mention) reveals an entity e by the pointwise mutual information of the two
 over documents, PMI(e, t) = log2(N n(e, t) / (n(e) n(t))); as a part of the
 entity's own information log2(N / n(e)) it is 1 for a term that occurs with e
-alone. n(e, t) and n(e) count documents of different texts, n(t) all
-documents. A term found with e in at least SUPPORT different texts and
+alone. N and all n count different texts, whatever the number of their copies.
+Of an entity that every text holds there is nothing to reveal: its terms score
+0. A term found with e in at least SUPPORT different texts and
 revealing at least DISCLOSED of it is a span of kind `term`.
 
-Null texts are empty; documents of equal doc_id and text are one for terms;
-repeated rows give repeated results; an empty table none. Other columns are
+Null texts are empty; documents of equal text are one for terms; repeated rows give repeated results; an empty table none. Other columns are
 ignored by digest() and kept by sanitised().
 """
 
@@ -111,6 +111,12 @@ def _term_hash(words: list[str]) -> np.ndarray:
     return word_hashes([w.encode("utf-8", "surrogatepass") for w in words])[0]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))
+
+
 FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, mentions array<struct<entity:long,term:long,start:long,stop:long>>"
 
 
@@ -136,28 +142,52 @@ def scan(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(mention)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "mentions"])
 
-    text = F.coalesce("text", F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text")).mapInArrow(find, FOUND)
+    return _texts(docs).mapInArrow(find, FOUND)
+
 
+def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
+    """(term, n_term): different texts that hold each term which the table of first bits lets through.
 
-def _document_counts(docs: DataFrame, wanted) -> DataFrame:
-    """(term, n): documents that hold each term which the table of first bits lets through."""
+    Of texts (text_hash, text), those which `repeated` may name are sent one by
+    one and count once each; the others occur once, and are counted where they
+    are read, under the hash of one of them.
+    """
 
     def count(batches):
         from kgspark.llm.words import slices, word_hashes
 
-        table = wanted.value
+        table, copied, done = wanted.value, repeated.value, set()
         for batch in batches:
-            found = []
-            for _, encoded in slices(batch.column("text").to_pylist()):
+            keys = batch.column("text_hash").to_numpy()
+            single = copied[(keys.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] == 0
+            rows, alone, key = [], [], None
+            for first, encoded in slices(batch.column("text").to_pylist()):
                 hashes, ends = word_hashes(encoded)
-                asked = np.flatnonzero(table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-                owner = np.searchsorted(ends, asked, "right")
-                found.append(np.unique(np.stack([hashes[asked], owner.astype(np.uint64)]), axis=1)[0] if len(asked) else hashes[:0])
-            terms, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
-
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+                asked = table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] > 0
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), first):
+                    if not single[i]:
+                        if keys[i] in done:
+                            continue
+                        if len(done) > 200_000:
+                            done.clear()
+                        done.add(keys[i])
+                    terms = np.unique(hashes[a:b][asked[a:b]])
+                    if single[i]:
+                        alone.append(terms)
+                        key = keys[i]
+                    elif len(terms):
+                        rows.append((keys[i], terms, np.ones(len(terms), np.int64)))
+            if alone:
+                rows.append((key, *np.unique(np.concatenate(alone), return_counts=True)))
+            if rows:
+                names, terms, n = zip(*rows, strict=True)
+                counts = pa.StructArray.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(np.concatenate(n))], ["term", "n"])
+                stops = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)), pa.ListArray.from_arrays(stops, counts)], names=["text_hash", "terms"])
+
+    counted = texts.select("text_hash", "text").mapInArrow(count, "text_hash long, terms array<struct<term:long,n:long>>")
+    counted = counted.groupBy("text_hash").agg(F.first("terms").alias("terms")).select(F.inline("terms"))
+    return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -167,11 +197,15 @@ def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclos
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = written(together, "private-pairs")
     alone = pairs.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_table(together.select("term").distinct(), "term"))
-    n = docs.count()
-    both = together.join(alone, "entity").join(_document_counts(docs, wanted), "term")
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(_table(together.select("term").distinct(), "term"))
+    copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
+    n = copies.count()
+    repeated = context.broadcast(_table(copies.where("rows > 1"), "text_hash"))
+    both = together.join(alone, "entity").join(_document_counts(_texts(docs), wanted, repeated), "term")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    both = both.withColumn("disclosure", pmi / F.log2(F.lit(float(n)) / F.col("n_entity")))
+    share = F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
+    both = both.withColumn("disclosure", share)
     return both.where(F.col("disclosure") >= disclosed).select("entity", "term", "disclosure")
 
 
