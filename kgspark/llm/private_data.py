@@ -1,14 +1,15 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that reveal it.
 
 Base kinds (email, ip, card, phone) are found by pattern. Their values are the
-protected entities. A term (a lower-cased word within WINDOW words of a
-mention) reveals an entity e by the pointwise mutual information of the two
+protected entities. A term (a lower-cased word outside all base spans, anywhere in a text
+that mentions the entity) reveals an entity e by the pointwise mutual information of the two
 over documents, PMI(e, t) = log2(N n(e, t) / (n(e) n(t))); as a part of the
 entity's own information log2(N / n(e)) it is 1 for a term that occurs with e
 alone. N and all n count different texts, whatever the number of their copies.
 Of an entity that every text holds there is nothing to reveal: its terms score
 0. A term found with e in at least SUPPORT different texts and
-revealing at least DISCLOSED of it is a span of kind `term`.
+revealing at least DISCLOSED of it is a span of kind `term` wherever it stands,
+in texts without the entity too.
 
 Null texts are empty; documents of equal text are one for terms; repeated rows give repeated results; an empty table none. Other columns are
 ignored by digest() and kept by sanitised().
@@ -29,9 +30,12 @@ from kgspark.llm.near_copies import TABLE_BITS, _table
 from kgspark.session import written
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 8
 SUPPORT = 2
 DISCLOSED = 0.9
+#: Bits of the filters that name the entities and the terms to look for; a value sets two of them.
+FILTER_BITS = 26
+#: Parts into which the places of a term are dealt, so that a frequent one is no single task's work.
+SALT = 16
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,32 +87,36 @@ def _hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _around(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """The WINDOW words before and after a span."""
-    low = max(0, start - 1)
-    before = []
-    while low > 0 and len(before) <= WINDOW:
-        low = max(0, low - 256)
-        # A word cut by the window's edge is not whole; the next, longer window has it.
-        edge = low if low == 0 or text[low - 1] in " \t\n\v\f\r" else next((m.end() for m in [_WORD.match(text, low)] if m), low)
-        before = [m.span() for m in _WORD.finditer(text, edge, start)]
-        if start - low > 4096:
-            break
-    after = []
-    for m in _WORD.finditer(text, end):
-        after.append(m.span())
-        if len(after) > WINDOW or m.end() - end > 4096:
-            break
-    # What touches the mention is part of it.
-    before = [s for s in before if s[1] < start or text[s[1] - 1] in " \t\n\v\f\r"][-WINDOW:]
-    after = [s for s in after if s[0] > end][:WINDOW]
-    return before + after
+def _filter(rows: DataFrame, key: str) -> np.ndarray:
+    """2^(FILTER_BITS - 6) words of 64 bits: those set that the first and the last FILTER_BITS bits of a key name."""
+    ends = F.array(F.shiftrightunsigned(key, 64 - FILTER_BITS), F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
+    bits = rows.select(F.explode(ends).alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
 
 
-def _term_hash(words: list[str]) -> np.ndarray:
-    from kgspark.llm.words import word_hashes
+def _let_through(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may name."""
+    out = np.ones(len(hashes), bool)
+    for place in (hashes >> np.uint64(64 - FILTER_BITS), hashes & np.uint64((1 << FILTER_BITS) - 1)):
+        out &= (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def _entity(kind: str, value: str) -> int:
+    return _hash(f"{kind}:{value}")
 
-    return word_hashes([w.encode("utf-8", "surrogatepass") for w in words])[0]
+
+def _free(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, free) of a text's words; those that overlap no base span are free."""
+    places = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    first, last = np.ascontiguousarray(places[:, 0]), np.ascontiguousarray(places[:, 1])
+    free = np.ones(len(places), bool)
+    for _, start, end in spans:
+        free[np.searchsorted(last, start, "right") : np.searchsorted(first, end, "left")] = False
+    return first, last, free
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -117,36 +125,60 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))
 
 
-FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, mentions array<struct<entity:long,term:long,start:long,stop:long>>"
+FOUND = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, entities array<long>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, digest and spans of the base kinds, and each mention's terms."""
-    mention = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    """One row per document: counts, digest and spans of the base kinds, and the entities it names."""
 
     def find(batches):
         for batch in batches:
             rows = []
             for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
                 spans = base_spans(text)
-                near = []
-                for kind, start, end in spans:
-                    entity, places = _hash(f"{kind}:{text[start:end]}"), _around(text, start, end)
-                    places = [p for p in places if not any(p[0] < e and s < p[1] for _, s, e in spans)]
-                    terms = _term_hash([text[a:b] for a, b in places]).view(np.int64).tolist() if places else []
-                    near += [{"entity": entity, "term": t, "start": a, "stop": b} for t, (a, b) in zip(terms, places, strict=True)]
+                entities = sorted({_entity(k, text[a:b]) for k, a, b in spans})
                 line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
                 counts = [sum(s[0] == k for s in spans) for k in KINDS]
-                rows.append((doc_id, text_hash, *counts, hashlib.sha256(line.encode()).hexdigest(), line, near))
+                rows.append((doc_id, text_hash, *counts, hashlib.sha256(line.encode()).hexdigest(), line, entities))
             columns = list(zip(*rows, strict=True)) or [[]] * 9
-            types = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(mention)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "mentions"])
+            types = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "entities"])
 
     return _texts(docs).mapInArrow(find, FOUND)
 
 
+def _mentioning(texts: DataFrame, wanted) -> DataFrame:
+    """(text_hash, entities, terms): once each, the texts that name entities which the filter lets through, with all their terms."""
+
+    def read(batches):
+        from kgspark.llm.words import word_hashes
+
+        table, done = wanted.value, set()
+        for batch in batches:
+            keys, entities, terms = [], [], []
+            for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                spans = base_spans(text) if key not in done else []
+                named = np.unique(np.array([_entity(k, text[a:b]) for k, a, b in spans], np.int64))
+                named = named[_let_through(table, named.view(np.uint64))]
+                if not len(named):
+                    continue
+                if len(done) > 200_000:
+                    done.clear()
+                done.add(key)
+                hashes = word_hashes([text.encode("utf-8", "surrogatepass")])[0]
+                keys.append(key)
+                entities.append(named)
+                terms.append(np.unique(hashes[_free(text, spans)[2]]).view(np.int64))
+            if keys:
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (entities, terms)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["text_hash", "entities", "terms"])
+
+    once = texts.select("text_hash", "text").mapInArrow(read, "text_hash long, entities array<long>, terms array<long>")
+    return once.groupBy("text_hash").agg(F.first(F.struct("entities", "terms")).alias("s")).select("text_hash", "s.*")
+
+
 def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
-    """(term, n_term): different texts that hold each term which the table of first bits lets through.
+    """(term, n_term): different texts that hold each term which the filter lets through.
 
     Of texts (text_hash, text), those which `repeated` may name are sent one by
     one and count once each; the others occur once, and are counted where they
@@ -163,7 +195,7 @@ def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
             rows, alone, key = [], [], None
             for first, encoded in slices(batch.column("text").to_pylist()):
                 hashes, ends = word_hashes(encoded)
-                asked = table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] > 0
+                asked = _let_through(table, hashes)
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), first):
                     if not single[i]:
                         if keys[i] in done:
@@ -192,27 +224,58 @@ def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
 
 def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(entity, term, disclosure) of the pairs above the threshold, from scan()'s rows and all documents."""
-    seen = found.where(F.size("mentions") > 0).select("text_hash", F.explode("mentions").alias("m"))
-    pairs = seen.select("m.entity", "m.term", "text_hash").distinct()
+    context, texts = docs.sparkSession.sparkContext, _texts(docs)
+    pairs = found.select("text_hash", F.explode("entities").alias("entity")).distinct()
+    alone = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    alone = written(alone, "private-entities")
+    pairs = _mentioning(texts, context.broadcast(_filter(alone, "entity"))).select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = written(together, "private-pairs")
-    alone = pairs.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    context = docs.sparkSession.sparkContext
-    wanted = context.broadcast(_table(together.select("term").distinct(), "term"))
+    wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
     copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
     n = copies.count()
     repeated = context.broadcast(_table(copies.where("rows > 1"), "text_hash"))
-    both = together.join(alone, "entity").join(_document_counts(_texts(docs), wanted, repeated), "term")
+    both = together.join(alone, "entity").join(_document_counts(texts, wanted, repeated), "term")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
     both = both.withColumn("disclosure", share)
     return both.where(F.col("disclosure") >= disclosed).select("entity", "term", "disclosure")
 
 
+def _places(texts: DataFrame, wanted) -> DataFrame:
+    """(doc_id, text_hash, term, start, stop): the words outside base spans which the filter lets through."""
+
+    def look(batches):
+        from kgspark.llm.words import slices, word_hashes
+
+        table = wanted.value
+        for batch in batches:
+            texts, rows, found = batch.column("text").to_pylist(), [], []
+            for low, encoded in slices(texts):
+                hashes, ends = word_hashes(encoded)
+                asked = _let_through(table, hashes)
+                held = np.concatenate([[0], np.cumsum(asked)])[ends]
+                for i in np.flatnonzero(held[1:] > held[:-1]).tolist():
+                    text, mine = texts[low + i], slice(ends[i], ends[i + 1])
+                    start, stop, free = _free(text, base_spans(text))
+                    at = np.flatnonzero(asked[mine] & free)
+                    rows.append(np.full(len(at), low + i))
+                    found.append((hashes[mine][at].view(np.int64), start[at], stop[at]))
+            if rows:
+                part = batch.select(["doc_id", "text_hash"]).take(pa.array(np.concatenate(rows)))
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=["doc_id", "text_hash", "term", "start", "stop"])
+
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(look, "doc_id long, text_hash long, term long, start long, stop long")
+
+
 def _term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, terms): array of (start, stop) of revealing terms, by start."""
-    seen = found.where(F.size("mentions") > 0).select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.*")
-    hits = seen.join(revealing(docs, found), ["entity", "term"]).select("doc_id", "text_hash", "start", "stop").distinct()
+    """(doc_id, text_hash, terms): array of (start, stop) of revealing terms, by start, in all documents."""
+    terms = written(revealing(docs, found).select("term").distinct(), "private-terms")
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(terms, "term"))
+    places = _places(_texts(docs), wanted).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALT)))
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    hits = places.join(salted, ["term", "salt"]).select("doc_id", "text_hash", "start", "stop").distinct()
     return hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("terms"))
 
 
@@ -222,7 +285,7 @@ def _with_terms(docs: DataFrame) -> DataFrame:
     joined = found.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     line = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["stop"].cast("string"))), ",")
     parts = F.array(F.when(F.col("spans") != "", F.col("spans")), F.when(F.size("terms") > 0, line))
-    return joined.withColumn("spans", F.array_join(F.array_compact(parts), ",")).drop("d", "h", "mentions", "terms")
+    return joined.withColumn("spans", F.array_join(F.array_compact(parts), ",")).drop("d", "h", "entities", "terms")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -16,3 +16,18 @@ def test_copies_of_a_text_count_once(spark):
 def test_an_entity_of_every_text_has_no_terms(spark):
     spans = spans_of(spark, [(k, f"note {k} of zarkon from z@ex.org") for k in range(5)])
     assert set(spans.values()) == {"email:22:30"}
+
+
+def test_terms_are_found_and_marked_at_any_distance(spark):
+    far = " ".join(f"w{k}" for k in range(50))
+    rows = [(k, f"zarkon {far} note {k} from z@ex.org and zarkon") for k in range(30)]
+    rows += [(100, "Zarkon alone"), (101, "nothing here")]
+    rows += [(1000 + k, f"{far} note {k} from nobody and nothing here alone") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in private_data.digest(docs).collect()}
+    for k in range(30):
+        text = rows[k][1]
+        at, last = text.index("z@"), text.rindex("zarkon")
+        assert spans[k] == f"email:{at}:{at + 8},term:0:6,term:{last}:{last + 6}"
+    assert spans[100] == "term:0:6" and spans[101] == spans[1000] == ""
+    assert {r.text for r in private_data.sanitised(docs).where("doc_id = 100").collect()} == {"[TERM] alone"}
