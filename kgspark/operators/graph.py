@@ -230,3 +230,25 @@ def vocabulary(rows: DataFrame, column: str, start: int = 0) -> DataFrame:
     parts = values.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_part").orderBy("value"))
     return values.withColumn("_rank", rank).join(F.broadcast(parts), "_part").select("value", (F.col("_before") + F.col("_rank") - 1 + start).alias("id"))
+
+
+def predecessors(trials: DataFrame, check_phase: bool = False, check_drug: bool = False, salt: int = 16) -> DataFrame:
+    """(before, id): pairs of different trials of which `before` is a predecessor of `id`.
+
+    trials: id, diseases, countries, start_year, end_year, and phase or drugs
+    where asked. The two share a disease and a country, and before's end year is
+    at most id's start year; with check_phase id's phase is the next one, with
+    check_drug both have the same drugs. A null or zero year makes no pair.
+    """
+    keys = ["disease", "country", *(["drugs"] if check_drug else []), *(["phase"] if check_phase else [])]
+    rows = trials.withColumns({"disease": F.explode(F.array_distinct("diseases")), "start": F.col("start_year"), "end": F.col("end_year")})
+    rows = rows.withColumn("country", F.explode(F.array_distinct("countries")))
+    if check_drug:
+        rows = rows.withColumn("drugs", F.array_sort("drugs"))
+    first = rows.where("end != 0").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
+    if check_phase:
+        first = first.withColumn("phase", F.col("phase") + 1)
+    first = first.select(*keys, "salt", F.col("id").alias("before"), "end")
+    second = rows.where("start != 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    second = second.select(*keys, "salt", "id", "start")
+    return first.join(second, [*keys, "salt"]).where("end <= start and before != id").select("before", "id").distinct()
