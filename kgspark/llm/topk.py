@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, groups
             v = _matrix(frame["v"].tolist(), heads.shape[1])
             size = np.sqrt((v * v).sum(1))
             reach = v @ heads.T + size[:, None] * u[None, :]
-            wanted = reach * (1 + 1e-9) + 1e-6 >= theta[None, :]
+            wanted = reach + 1e-9 * np.abs(reach) + 1e-6 >= theta[None, :]
             for g in range(n_groups):
                 near = wanted[:, of == g].any(1)
                 if near.any():
