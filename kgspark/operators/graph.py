@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import components
+from kgspark.operators.ordered import running_sums
 from kgspark.session import written
 
 SAME = "KG-MERGE-SAME"
@@ -223,13 +224,17 @@ def inject_node(edges: DataFrame, node: int, new_edges: DataFrame, n_relations:
     return kept.select("src", "dst", "etype").unionByName(own).unionByName(bidirectional(filler, n_relations))
 
 
-def vocabulary(rows: DataFrame, column: str, start: int = 0) -> DataFrame:
-    """(value, id): ids from start in ascending order of value, without a global sort of rows: ranks within ranges plus the ranges' offsets."""
-    values = written(rows.select(F.col(column).alias("value")).where("value is not null").distinct().repartitionByRange("value").sortWithinPartitions("value").withColumn("_part", F.spark_partition_id()), "vocabulary")
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = values.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy("value"))
-    return values.withColumn("_rank", rank).join(F.broadcast(parts), "_part").select("value", (F.col("_before") + F.col("_rank") - 1 + start).alias("id"))
+def vocabulary(rows: DataFrame, column: str, start: int = 0, seq: str | None = None) -> DataFrame:
+    """(value, id): ids from start in ascending order of value, or of a value's least seq (the order in which it was first met)."""
+    known = rows.where(F.col(column).isNotNull())
+    values = known.select(F.col(column).alias("value")).distinct() if seq is None else known.groupBy(F.col(column).alias("value")).agg(F.min(seq).alias("_seq"))
+    return running_sums(values, ["value"] if seq is None else ["_seq", "value"], {"_before": F.lit(1)}, "vocabulary").select("value", (F.col("_before") + start).alias("id"))
+
+
+def with_ids(rows: DataFrame, column: str, start: int = 0, id: str = "id") -> DataFrame:
+    """rows with the id of their value in vocabulary(): the inverse index."""
+    ids = vocabulary(rows, column, start).select(F.col("value").alias("_value"), F.col("id").alias(id))
+    return rows.join(ids, F.col(column) == F.col("_value"), "left").drop("_value")
 
 
 def predecessors(trials: DataFrame, check_phase: bool = False, check_drug: bool = False, salt: int = 16) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import components
+from kgspark.operators.ordered import running_sums
 
 
 def by_year_left_out(start: Column, complete: Column, year: int, mode: str = "one-start") -> Column:
@@ -42,15 +43,16 @@ def temporal_end(rows: DataFrame, year: str, merge_validation: bool = False) ->
 def quota(groups: DataFrame, size: str, order: list, fractions: tuple = (0.7, 0.15), total: int | None = None) -> DataFrame:
     """groups with split: walked in order, each goes to train while train's rows are below int(0.7 n), then val likewise, then test.
 
-    A group may overshoot its quota, as a greedy fill does. One row per group reaches the window, not the rows.
+    A group may overshoot its quota, as a greedy fill does. Running sums are
+    taken by ranges of the order, so no task holds all groups.
     """
-    walk = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    n = F.lit(total) if total is not None else F.sum(size).over(W.partitionBy())
-    ranked = groups.withColumn("_n", n).withColumn("_before", F.coalesce(F.sum(size).over(walk), F.lit(0)))
-    ranked = ranked.withColumn("_train", F.col("_before") < F.floor(F.col("_n") * fractions[0]))
-    in_train = F.sum(F.when(F.col("_train"), F.col(size)).otherwise(0)).over(W.partitionBy())
-    val = ~F.col("_train") & (F.col("_before") - in_train < F.floor(F.col("_n") * fractions[1]))
-    return ranked.withColumn("split", F.when(F.col("_train"), "train").when(val, "val").otherwise("test")).drop("_n", "_before", "_train")
+    walked = running_sums(groups, order, {"_before": F.col(size)}, "quota")
+    n = walked.agg(F.lit(total).alias("_n") if total is not None else F.sum(size).alias("_n"))
+    ranked = walked.crossJoin(F.broadcast(n)).withColumn("_train", F.col("_before") < F.floor(F.col("_n") * fractions[0]))  # one row
+    trained = ranked.agg(F.coalesce(F.sum(F.when(F.col("_train"), F.col(size))), F.lit(0)).alias("_trained"))
+    ranked = ranked.crossJoin(F.broadcast(trained))  # one row
+    val = ~F.col("_train") & (F.col("_before") - F.col("_trained") < F.floor(F.col("_n") * fractions[1]))
+    return ranked.withColumn("split", F.when(F.col("_train"), "train").when(val, "val").otherwise("test")).drop("_n", "_before", "_train", "_trained")
 
 
 def hash_order(*columns: str, seed: int = 34) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (tests, a laptop).
 LOCAL_SHARED = "file:///tmp/checkpoints"
+_cleaned: set[str] = set()
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -25,10 +26,26 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def _root(spark: SparkSession) -> str:
+    """This application's folder in the shared one; what is left in it goes when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        root = LOCAL_SHARED
+    return f"{root.rstrip('/')}/kgspark/{spark.sparkContext.applicationId}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_SHARED)
-    return f"{root.rstrip('/')}/kgspark/{name}-{uuid.uuid4().hex}"
+    root = _root(spark)
+    if root not in _cleaned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _cleaned.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
