@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.extras import extras_aside
+from kgspark.session import written
 
 
 class Rule(NamedTuple):
@@ -52,6 +53,8 @@ RULES = BASE + EXTRA
 CLASS_LIMIT = 8
 #: Strings followed at once; beyond it, the trigrams so far are all that is asked.
 STRINGS_LIMIT = 64
+#: Candidates up to this number are broadcast (some 30 MB).
+BROADCAST_ROWS = 500_000
 
 
 def _strings(parsed) -> list[set[str]]:
@@ -138,7 +141,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     if not runs:
         return None
     best = max(runs, key=lambda r: (min(map(len, r)), -len(r)))
-    terms = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in best}
+    # Every third trigram and the last: they cover the string, and fewer postings are made.
+    terms = {frozenset(s[i : i + 3] for i in {*range(0, len(s) - 2, 3), len(s) - 3}) for s in best}
     return sorted((t for t in terms if not any(o < t for o in terms)), key=sorted)
 
 
@@ -188,7 +192,9 @@ def scan(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     index = postings(docs, sorted({t for q in queries.values() for terms in q for t in terms}))
-    hits = candidates(index, queries).withColumnsRenamed({"doc_id": "_hit_id", "kinds": "_kinds"})
+    hits = written(candidates(index, queries).withColumnsRenamed({"doc_id": "_hit_id", "kinds": "_kinds"}), "secret-candidates")
+    # Few candidates go to the texts; many meet them in a shuffle.
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
     joined = docs.join(hits, F.col("doc_id") == F.col("_hit_id"), "left")
     none = _no_spans()
     found = []
