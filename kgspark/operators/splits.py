@@ -65,17 +65,72 @@ def random_split(rows: DataFrame, key: str, seed: int = 34) -> DataFrame:
     return rows.withColumn("split", F.when(part < 7000, "train").when(part < 8500, "val").otherwise("test"))
 
 
-def component_split(rows: DataFrame, left: str, right: str, seed: int = 34) -> DataFrame:
-    """rows with split such that no value of left or right straddles it: components of the bipartite graph, filled by quota."""
+def component_split(rows: DataFrame, left: str, right: str, seed: int = 34, order: list | None = None) -> DataFrame:
+    """rows with split such that no value of left or right straddles it: components of the bipartite graph, filled by quota.
+
+    Components are walked in a seeded order of their least nodes (`l:` and the
+    least left value), or in the order given.
+    """
     tag = lambda c, k: F.concat(F.lit(k), F.col(c).cast("string"))
     edges = rows.select(tag(left, "l:").alias("src"), tag(right, "r:").alias("dst"))
     found = components(edges)
     member = rows.withColumn("_node", tag(left, "l:")).join(found, F.col("_node") == F.col("node"))
     sizes = member.groupBy("component").agg(F.count("*").alias("n"))
-    parts = quota(sizes, "n", [hash_order("component", seed=seed), "component"])
+    parts = quota(sizes, "n", order or [hash_order("component", seed=seed), "component"])
     return member.join(parts.select("component", "split"), "component").drop("_node", "node", "component")
 
 
+def by_group(rows: DataFrame, group: str, order: list, fractions: tuple = (0.7, 0.15), subsample: int = 0) -> DataFrame:
+    """rows with the split of their group, groups filled by quota in the order given.
+
+    With subsample, training groups that bring the training rows to that number
+    or above it, walked in the same order, take part in no split: `none`.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
+    parts = quota(sizes, "_size", order, fractions)
+    if subsample > 0:
+        train = running_sums(parts.where("split = 'train'"), order, {"_upto": F.col("_size")}, "subsample")
+        kept = F.when(F.col("_upto") + F.col("_size") < subsample, "train").otherwise("none")
+        parts = train.withColumn("split", kept).drop("_upto").unionByName(parts.where("split <> 'train'"))
+    return rows.join(parts.select(F.col(group).alias("_group"), "split"), F.col(group) == F.col("_group")).drop("_group")
+
+
+def by_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, split: str = "split") -> DataFrame:
+    """rows with the split that a table names for their key; null where it names none."""
+    known = table.select(F.col(table_key).alias("_key"), F.col(split).alias("_split"))
+    return rows.join(known, F.col(key) == F.col("_key"), "left").withColumn("split", F.col("_split")).drop("_key", "_split")
+
+
+def train_on_validation(split: Column) -> Column:
+    """Training rows left out, validation rows trained on: for a final run."""
+    return F.when(split == "val", "train").when(split == "test", "test")
+
+
+def split_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def drawn(rows: DataFrame, key: str, draws: int, seed: int = 34) -> DataFrame:
+    """rows, as often as `draws` seeded draws with replacement hit them: a row of n is hit about Poisson(draws / n) times.
+
+    Each row's number comes from a hash of its key alone, so no order over rows is needed.
+    """
+    n = rows.agg(F.count("*").alias("_n"))
+    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+    joined = rows.crossJoin(F.broadcast(n)).withColumn("_rate", F.lit(float(draws)) / F.col("_n"))  # one row
+    # Quantile of a Poisson number at u: how many of its cumulated probabilities lie at or below u.
+    term, steps = F.exp(-F.col("_rate")), []
+    total = term
+    for k in range(1, 64):
+        steps.append(F.when(u >= total, 1).otherwise(0))
+        term = term * F.col("_rate") / k
+        total = total + term
+    times = steps[0]
+    for more in steps[1:]:
+        times = times + more
+    return joined.withColumn("_times", times).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_rate", "_times")
+
+
 def by_list(values: Column, listed: list) -> Column:
     """test if any of the values is listed, else train."""
     return F.when(F.arrays_overlap(values, F.array(*map(F.lit, listed))), "test").otherwise("train")
@@ -102,8 +157,11 @@ def repeated(rows: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
-def balanced(rows: DataFrame, label: str, key: str, ratio: int = 10, seed: int = 34) -> DataFrame:
-    """All positives, and negatives by hash up to about ratio times as many."""
+def balanced(rows: DataFrame, label: str, key: str, ratio: int = 10, seed: int = 34, replace: bool = False) -> DataFrame:
+    """All positives, and negatives by hash up to about ratio times as many; with `replace`, drawn with replacement."""
+    if replace:
+        positives = rows.where(F.col(label) == 1)
+        return positives.withColumn("draw", F.lit(1)).unionByName(drawn(rows.where(F.col(label) == 0), key, ratio * positives.count(), seed))
     counts = rows.agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
     part = F.pmod(hash_order(key, seed=seed), F.lit(1_000_000)) / 1e6
     joined = rows.crossJoin(F.broadcast(counts))  # one row
