@@ -1,11 +1,17 @@
 """Exact token ids of whole texts, with a memo of the words met so far.
 
 Both tokenizers split a text before they merge: no merge crosses the start of
-a word. A text is therefore cut before its single spaces, and only words that
-the memo lacks go through the tokenizers library, many in one call: a NUL
-character, whose id takes part in no merge, ends each. The ids of the words,
-joined, are those of the text. Where that doesn't hold (a run of spaces under
-the byte-level tokenizer, a NUL in the text) the text is encoded whole.
+a word. A text is therefore cut before its single spaces (and before its
+single line breaks, where these are kept), and only words that the memo lacks
+go through the tokenizers library. A word of letters with marks behind it is
+two units, whose ids are taken apart: the letters straight from the
+tokenizer's model, the marks from a table of their own. Where the cut doesn't
+hold (two white-space characters in a row under the byte-level tokenizer, a NUL)
+the text is encoded whole.
+
+The memo has two generations of bounded size: words of the older one move to
+the younger when they are met, and the older one goes when the younger is
+full. So its memory has a bound, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,15 +23,16 @@ from array import array
 import numpy as np
 
 END_ID = 2
-#: Words in a worker's memo before it starts anew: some 200 MB.
-MEMO_WORDS = 1_000_000
-#: Texts whose missing words share a call, by characters.
-SLICE_CHARS = 1 << 20
-#: Words of Latin letters, and at most one mark behind: one or two units that no normalizer but lower-casing changes.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)").fullmatch
+#: Words in a generation of a worker's memo: two take some 90 MB.
+MEMO_WORDS = 300_000
+#: Characters of a word that the memo keeps; longer ones are encoded each time.
+MEMO_CHARS = 64
+#: Words of Latin letters, and marks behind: one or two units that no normalizer but lower-casing changes.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SELF)))}
+_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -36,11 +43,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class _Memo(dict):
+    """word -> ids as bytes; a word that it lacks is learned when asked for."""
+
+    def __init__(self, learn):
+        self.learn, self.old = learn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """encode(texts) -> bytes of little-endian unsigned 32-bit ids of each, the end id included.
 
     Strings of special tokens inside a text are ordinary text. A null text is
-    an empty one: the end id alone.
+    an empty one: the end id alone. A very long text takes memory in
+    proportion to its length.
     """
 
     def __init__(self, path: str):
@@ -50,79 +76,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # A tokenizer that drops white space gives the same ids with and without it.
-        self.drops = self._ids(" a").tolist() == self._ids("a").tolist()
+        self.drops = self._ids(" a") == self._ids("a")
         self.lead = "" if self.drops else " "
-        nul = self._ids("\0")
-        sign = self.tokenizer.id_to_token(int(nul[0]))[0]
-        self.nul = int(nul[0]) if len(nul) == 1 and sum(sign in token for token in self.tokenizer.get_vocab()) <= 2 else None
-        self.memo: dict[str, bytes] = {}
-        self.marks = {mark: self._ids(mark).tobytes() for mark in ("", ",", ".")}
+        self.line = self._ids("\n")
+        self.memo, self.marks = _Memo(self._learn), _Memo(self._ids)
         self.model, self.fast = self.tokenizer.model, True
-        probe = ["Probe", "Été,", "Straßenöl.", "thtionhe", "l'eau"]
-        self.fast = all(self._plain(w) in (None, self._ids(self.lead + w).tobytes()) for w in probe)
+        probe = ["Probe", "Été,", "Straßenöl.", "thtionhe", "l'eau", "end.)", "\nNext:", "x&&&"]
+        self.fast = all(self._learn(w) == self._ids(w if w[0] == "\n" else self.lead + w) for w in probe)
         self.end = np.asarray([END_ID], "<u4").tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _plain(self, word: str) -> bytes | None:
-        """The ids of a plain word straight from the tokenizer's model; None if the word isn't plain."""
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word as it stands in a text: behind a space, or led by its line break."""
+        if self.fast and word.isascii() and word.isalpha():
+            return self._model(word.lower() if self.drops else "Ġ" + word)
         m = _PLAIN(word) if self.fast else None
         if m is None:
-            return None
-        stem, mark = m.groups()
-        if mark and (known := self.memo.get(stem)) is not None:
-            return known + self.marks[mark]
-        unit = (self.lead + (stem.lower() if self.drops else stem)).encode().decode("latin-1").translate(_ALPHABET)
-        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes() + self.marks[mark]
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of words (no spaces, no NUL) into the memo."""
-        rest = []
-        for word in words:
-            ids = self._plain(word)
-            if ids is None:
-                rest.append(word)
-            else:
-                self.memo[word] = ids
-        if rest:
-            self._learn_others(rest)
-
-    def _learn_others(self, words: list[str]) -> None:
-        if self.nul is None:
-            self.memo.update((w, self._ids(self.lead + w).tobytes()) for w in words)
-            return
-        # White space that ends a word is split as before a space, as it stands in a text; where it counts, that space has an id.
-        ids = self._ids("".join(f"{self.lead}{w} \0{'' if self.lead else ' '}" for w in words))
-        ends, space = np.flatnonzero(ids == self.nul) * 4, 4 * len(self.lead)
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, ends.tolist(), strict=True):
-            self.memo[word] = raw[at : end - space]
-            at = end + 4
+            return self._ids(word if word[:1] == "\n" else self.lead + word)
+        line, stem, marks = m.groups()
+        if marks:
+            return self.memo[line + stem] + self.marks[marks]
+        unit = (stem.lower() if self.drops else stem).encode().decode("latin-1").translate(_ALPHABET)
+        return self.line + self._model(unit) if line else self._model(unit if self.drops else "Ġ" + unit)
+
+    def _model(self, unit: str) -> bytes:
+        """The ids of one unit in the byte-level alphabet, where Ġ is a space."""
+        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, in slices so that no call grows with the number of texts."""
-        out, now, size = [], [], 0
-        for text in texts:
-            now.append(text or "")
-            size += len(now[-1])
-            if size > SLICE_CHARS:
-                out += self._slice(now)
-                now, size = [], 0
-        return out + self._slice(now)
-
-    def _slice(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        cut = [None if "\0" in t or (not self.drops and "  " in t) else (t.replace("\n", " ") if self.drops else t).split(" ") for t in texts]
-        firsts = [None if words is None or self.drops else words.pop(0) for words in cut]
-        missing = set().union(*(w for w in cut if w is not None)).difference(self.memo)
-        if missing:
-            self._learn(list(missing))
-        get, out = self.memo.__getitem__, []
-        for text, first, words in zip(texts, firsts, cut, strict=True):
-            if words is None:
-                out.append(self._ids(text).tobytes() + self.end)
-            else:
-                out.append((self._ids(first).tobytes() if first else b"") + b"".join(map(get, words)) + self.end)
-        return out
+        return [self._text(text or "") + self.end for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        if "\0" in text or (not self.drops and (_SPACES.search(text) or text.endswith("\n"))):
+            return self._ids(text)
+        if self.drops:
+            return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return (self._ids(first) if first else b"") + b"".join(map(self.memo.__getitem__, words))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts of a slice go through the arrays together; a slice ends at about this many bytes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Bytes hashed at once; a longer slice (one long text) is cut at white space.
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,12 +25,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(max(n, SLICE_BYTES), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers
+    """Powers of the base and of its inverse, n of each at least; only tables of CHUNK_BYTES are kept."""
+    if n <= CHUNK_BYTES and _powers:
+        return _powers
+    tables = []
+    for base in (_BASE, _INVERSE):
+        table = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table))
+    if n <= CHUNK_BYTES:
+        _powers.extend(tables)
+    return tables
 
 
 def slices(texts: list[str | None]):
@@ -45,18 +52,36 @@ def slices(texts: list[str | None]):
         yield first, now
 
 
+def _chunks(data: np.ndarray, space: np.ndarray):
+    """(first, last) of chunks of about CHUNK_BYTES bytes that end behind white space; a longer word makes a longer chunk."""
+    first = 0
+    while first < len(data):
+        last = min(first + CHUNK_BYTES - 1, len(data))
+        while last < len(data) and not space[last - 1]:
+            ahead = np.flatnonzero(space[last : last + CHUNK_BYTES])
+            last = last + int(ahead[0]) + 1 if len(ahead) else min(last + CHUNK_BYTES, len(data))
+        yield first, last
+        first = last
+
+
 def word_hashes(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, ends): of all words `[^ \\t-\\r]+` of the texts, A-Z lower-cased; text i has hashes[ends[i]:ends[i + 1]].
 
-    A word's hash is a polynomial over its bytes, taken from running sums.
+    A word's hash is a polynomial over its bytes, taken from running sums. Very
+    long texts go through in chunks cut at white space.
     """
     data = np.frombuffer(b"\n".join(encoded).translate(_LOWER) + b"\n", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, stops = edge[0::2], edge[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)])
-    hashes = mixed((total[stops] - total[starts]) * inverse[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    for first, last in _chunks(data, space):
+        low, high = np.searchsorted(starts, (first, last))
+        power, inverse = _power_tables(last - first + 1)
+        total = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_BYTES[data[first:last]] * power[: last - first], out=total[1:])
+        begin, end = starts[low:high] - first, stops[low:high] - first
+        hashes[low:high] = mixed((total[end] - total[begin]) * inverse[begin])
     begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in encoded])])
     return hashes, np.searchsorted(starts, begins)
 
