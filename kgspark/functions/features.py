@@ -61,6 +61,19 @@ def age_vector(age: Column) -> Column:
     return F.array(F.when(missing, 1.0).otherwise(0.0), *[number(F.when(~missing, c)) for c in (years, months, days)])
 
 
+def age_classes(least: Column, most: Column) -> Column:
+    """(child, adult, older adult) of an age range; a bound that isn't given is a day or 130 years, one not in years counts as 1."""
+    years = lambda c, missing: F.when(c.isNull() | (c == "N/A"), missing).when(F.split_part(c, F.lit(" "), F.lit(2)) == "Years", F.split_part(c, F.lit(" "), F.lit(1)).try_cast("int")).otherwise(1)
+    low, high = years(least, 1), years(most, 130)
+    return F.array(*[F.when(c, 1.0).otherwise(0.0) for c in ((low <= 17) | (high <= 17), (high > 17) & (low <= 64) | (high > 17) & (high <= 64), high > 64)])
+
+
+def softmaxed(v: Column) -> Column:
+    """exp of each entry over their sum, the largest taken off first."""
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
 def complete_year(primary: Column, end: Column) -> Column:
     """The primary completion year, or the end year where that is 0."""
     return F.when(primary == 0, end).otherwise(primary)

@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Adjectives without meaning for matching, in lower case (and capitalised).
-ADJECTIVES = (
-    "major active primary other desire probable additional severe significant poor poorer suspected prescribed normal chronic serious "
-    "adequate another or mild mildly uncontrolled treated untreated controlled"
-).split()
+ADJECTIVES = [
+    "major", "active", "primary", "other", "desire", "probable", "additional", "severe", "significant", "poor", "poorer", "suspected", "prescribed",
+    "normal", "chronic", "serious", "adequate", "another", "or", "mild", "mildly", "uncontrolled", "treated", "untreated", "controlled",
+]
 # Suffixes stripped from a drug code, in this order, once each.
 CODE_SUFFIXES = ["-", "-single", "-multiple", "-severe", "-moderate", "-xr", "-sr", ".", ";", ",", " er"]
 # Names that are looked up under another one.
@@ -70,11 +70,32 @@ DRUG_FORMS = [
     r"experimental:?|given|inhibitor|double",
     r"(\s+|^)i{1,3}v?(\s+|$)",
 ]
+# What the heavier normaliser of drug names replaces, in this order, each with its replacement.
+DRUG_STEPS = [
+    ('"', " "),
+    (":", " "),
+    (";.*", " "),
+    ("®|™", " "),
+    (r"([0-9]+[ ]?x[ ]?)?[0-9\.]+[ ]?(mcg|l|mg|milligram|µg|ug|ml|microgram(s)?|%|g|kg|tab.?|t)(/(mcg|mg|ml|l|µg|day|week|month|year|hour|min|sec|micrograms|milliliter|%|g|kg|tab.?|t))?(\s+|$|-|,|\)|\()", " $6 "),
+    (r"[0-9]+[ ]?(day|week|month|year|hour|min|sec)s?", " "),
+    (r"\s+[btq]\.?i\.?d\.?", " "),
+    ("(capsule|pill|tablet|injection)s?", " "),
+    ("intravenous|subcutaneous|oral|inhaled|intramuscular|intranasal|ophthalmic|liposomal|suspension|intravitreal|drug|dosage|administration|solution|ointment|nasal|injectable|inhalation", " "),
+    (r"[ ](cream|antibiotic|gel|spray|product|troche|oros|drink|dentifrice|lotion|ampoule|tab\.?|syrup|(immediate|slow|controlled|delayed|intermediate|sustained|extended)[ -]release|(dr|cr|sr|xr|er)(\s+tab\.?)?|block?)[ |$},]", " "),
+    (" [a-z]*[ai]te ", " "),
+    ("calcium|hcl", " "),
+    ("implant|extended release|concentrate", " "),
+    (r"(in)?(\s+|^)(low(er)?|high(er)?|mid|standard)(\s+|$|-)(dose(s)?)?", " "),
+    ("experimental( arm)?|given|double", " "),
+    ("[ ](following|prior) (.*)", " "),
+    (r"(\s+|^|,)i{1,3}\.?v\.?(\s+|,|$)", " "),
+]
 # Words dropped from a drug name by the heavier normaliser.
-DRUG_STOPWORDS = (
-    "bulk dose formulation water saline weekly daily monthly medicated non-medicated weight a an the of normal sugar traditional all subject "
-    "subjects treatment arm up to group initial for qd combination fixed once"
-).split()
+DRUG_STOPWORDS = [
+    "bulk", "dose", "formulation", "water", "saline", "weekly", "daily", "monthly", "medicated", "non-medicated", "weight", "a", "an", "the", "of",
+    "normal", "sugar", "traditional", "all", "subject", "subjects", "treatment", "arm", "up", "to", "group$", "initial", "for", "qd", "combination",
+    "fixed", "once",
+]
 # English stop words of the outcome tokenizer (off, who and t are kept as words).
 STOPWORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
@@ -85,6 +106,11 @@ STOPWORDS = (
 ).split()
 
 
+def trimmed(c: Column) -> Column:
+    """F.trim with one parameter: higher-order functions hand a function of two the index as well."""
+    return F.trim(c)
+
+
 def ascii_only(c: Column, by: str = " ") -> Column:
     """Non-ASCII characters replaced."""
     return F.regexp_replace(c, r"[^\x00-\x7F]", by)
@@ -100,13 +126,13 @@ def one_line(c: Column) -> Column:
     return F.regexp_replace(c, r"\n\s*", " ")
 
 
-def to_fixpoint(c: Column, step, rounds: int = 5) -> Column:
-    """step applied `rounds` times: a fixpoint for terms with up to that many nested findings."""
-    return reduce(lambda x, _: step(x), range(rounds), c)
+def to_fixpoint(c: Column, step) -> Column:
+    """step applied as often as c has words: for a step that drops a word or changes nothing, its fixpoint."""
+    return F.aggregate(F.split(c, " "), c, lambda x, _: step(x))
 
 
 def criterion_term(c: Column) -> Column:
-    """A criterion's term: possessives joined, dangling brackets cut, adjectives dropped (up to five nested)."""
+    """A criterion's term: possessives joined, dangling brackets cut, adjectives dropped until none is left."""
     words = "|".join(ADJECTIVES + [w.capitalize() for w in ADJECTIVES])
     c = F.regexp_replace(c, " 's", "'s")
     c = F.regexp_replace(c, r"\([^)]*$", "")
@@ -114,17 +140,24 @@ def criterion_term(c: Column) -> Column:
     return to_fixpoint(c, lambda x: F.regexp_replace(x, f"( |^|$)({words})( |^|$)", ""))
 
 
+#: Our own rule for a first word that only qualifies: determiners, and words that end as adjectives and adverbs do.
+QUALIFIER = r"(?i)^(a|an|the|any|all|some|no|this|that|these|those|each|every|either|neither|another|both|very|not|\w+(ly|ous|ive|al|ic|ful|less|able|ible|ary|ory|ish|ent|ant))$"
+
+
 def term_relaxations(c: Column) -> Column:
-    """array of candidate terms in order of trial: as it is, without grades and numbers, without non-, without its first word."""
+    """array of candidate terms in order of trial: as it is, without grades and numbers, without non-, without a qualifying first word.
+
+    A term found without its non- is a negated one: that of place 2.
+    """
     bare = F.regexp_replace(c, r"(grade)?\s?\d+", "")
     positive = F.regexp_replace(bare, "non-?", "")
-    rest = F.when(F.instr(c, " ") > 0, F.regexp_replace(c, r"^\S+\s+", ""))
+    rest = F.when((F.instr(c, " ") > 0) & F.substring_index(c, " ", 1).rlike(QUALIFIER), F.regexp_replace(c, r"^\S+\s+", ""))
     return F.array(c, bare, positive, rest)
 
 
 def split_alternatives(c: Column) -> Column:
     """Terms joined by or, and, or a comma."""
-    return F.filter(F.transform(F.split(c, " or | and |,"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, " or | and |,"), trimmed), lambda x: x != "")
 
 
 def clean_drug_name(c: Column) -> Column:
@@ -141,16 +174,11 @@ def clean_drug_name(c: Column) -> Column:
 def normalise_drug_name(c: Column) -> Column:
     """array of component names: placebo for placebos and for what nothing is left of."""
     low = F.concat(F.lit(" "), c, F.lit(" "))
-    low = F.regexp_replace(low, r"[\":®™]", " ")
-    low = F.regexp_replace(low, ";.*", " ")
-    dose = r"([0-9]+[ ]?x[ ]?)?[0-9\.]+[ ]?(mcg|l|mg|milligram|µg|ug|ml|micrograms?|%|g|kg|tab\.?|t)(/(mcg|mg|ml|l|µg|day|week|month|year|hour|min|sec|micrograms|milliliter|%|g|kg|tab\.?|t))?(\s+|$|-|,|\)|\()"
-    low = F.regexp_replace(low, dose, " $5 ")
-    low = F.regexp_replace(low, r"[0-9]+[ ]?(day|week|month|year|hour|min|sec)s?", " ")
-    for pattern in (DRUG_NOISE[1], *DRUG_FORMS[:3], DRUG_FORMS[4], DRUG_FORMS[7], DRUG_FORMS[8], DRUG_FORMS[10]):
-        low = F.regexp_replace(low, pattern, " ")
+    for pattern, by in DRUG_STEPS:
+        low = F.regexp_replace(low, pattern, by)
     low = to_fixpoint(low, lambda x: F.regexp_replace(x, r"(\s+|^|,|\()(" + "|".join(DRUG_STOPWORDS) + r")(\s+|$|\)|,)", " "))
-    parts = F.split(squeeze(low), r" (?:and|\+|plus|with|or) |&|,|[()\[\]]|/(?=[^0-9])")
-    parts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"^[ -]+|[ -]+$", ""))), lambda x: x != "")
+    parts = F.split(squeeze(low), r" (?:and|\+|plus|with|or)|&|,|/[^0-9]|[()\[\]]")
+    parts = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[ ()-]+|[ ()-]+$", "")), lambda x: x != "")
     return F.when(c.contains("placebo") | c.contains("mimic") | (F.size(parts) == 0), F.array(F.lit("placebo"))).otherwise(parts)
 
 
@@ -162,15 +190,14 @@ def alias_parts(c: Column) -> Column:
     c = F.regexp_replace(c, r"^\(([^()]{2,})\)$", "$1")
     pattern = r"^([^()]{2,}?)[ ]?\(([^()]{2,})\)"
     both = F.array(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))
-    parts = F.filter(F.transform(F.split(c, r" \+(?: |$)| /(?: |$)"), F.trim), lambda x: F.length(x) > 1)
-    return F.when(c.rlike(pattern), F.transform(both, F.trim)).otherwise(parts)
+    parts = F.filter(F.transform(F.split(c, r" \+(?: |$)| /(?: |$)"), trimmed), lambda x: F.length(x) > 1)
+    return F.when(c.rlike(pattern), F.transform(both, trimmed)).otherwise(parts)
 
 
 def strip_code(c: Column) -> Column:
     """A drug code without trailing dosage marks (each suffix once, in order) and without a leading colon."""
-    for suffix in CODE_SUFFIXES:
-        c = F.when(F.endswith(c, F.lit(suffix)), F.trim(F.substring(c, F.lit(1), F.length(c) - len(suffix)))).otherwise(c)
-    return F.regexp_replace(c, "^:\\s*", "")
+    cut = lambda x, s: F.when(F.endswith(x, s), F.trim(F.substring(x, F.lit(1), F.length(x) - F.length(s)))).otherwise(x)
+    return F.regexp_replace(F.aggregate(F.array(*map(F.lit, CODE_SUFFIXES)), c, cut), "^:\\s*", "")
 
 
 def complete_code(code: Column, full_name: Column) -> Column:
@@ -209,10 +236,23 @@ def is_healthy(c: Column) -> Column:
     return F.lower(c).rlike(HEALTHY)
 
 
+def _folds() -> tuple[str, str]:
+    """Latin letters with marks, and the letters that are left without them, by Unicode decomposition."""
+    import unicodedata
+
+    pairs = [(chr(k), "".join(x for x in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(x))) for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def without_accents(c: Column) -> Column:
+    return F.translate(c, *_folds())
+
+
 def tokens(c: Column) -> Column:
-    """Lower-case letter tokens of 1 to 25 characters, accents folded, without stop words."""
-    folded = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    words = F.filter(F.regexp_extract_all(folded, F.lit(r"[^\W\d_]+"), F.lit(0)), lambda w: F.length(w) <= 25)
+    """Lower-case letter tokens of 1 to 25 characters, quotes dropped and accents folded, without stop words."""
+    folded = without_accents(F.lower(F.replace(c, F.lit("'"), F.lit(""))))
+    words = F.filter(F.regexp_extract_all(folded, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) <= 25)
     return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
@@ -224,7 +264,7 @@ def list_literal(c: Column) -> Column:
 
 def mention_fields(line: Column) -> Column:
     """struct of a mention line's fields: id<TAB>text|drug[..]|brand|form|strength|dose|route|freq|duration|necessity|cui|rx|rx_generic|generic."""
-    names = "drug brand form strength dose route frequency duration necessity cui rxnorm rxnorm_generic generic".split()
+    names = ["drug", "brand", "form", "strength", "dose", "route", "frequency", "duration", "necessity", "cui", "rxnorm", "rxnorm_generic", "generic"]
     body = F.split(F.substring_index(line, "\t", -1), r"\|")
     at = lambda k: F.coalesce(F.get(body, F.lit(k)), F.lit(""))
     fields = [F.regexp_replace(at(k + 1), r"\[.*\]", "").alias(n) for k, n in enumerate(names)]
@@ -243,6 +283,26 @@ def year_of(c: Column) -> Column:
     return F.right(F.trim(c), F.lit(4)).try_cast("int")
 
 
+def common_part(titles: Column) -> Column:
+    """The longest string that all titles of an array hold, the first of those in the first title; for a few short titles."""
+    first = titles[0]
+    cuts = F.sequence(F.lit(1), F.length(first))
+    every = F.flatten(F.transform(cuts, lambda i: F.transform(F.sequence(F.lit(1), F.length(first) - i + 1), lambda n: F.struct(n.alias("n"), (-i).alias("at"), F.substring(first, i, n).alias("part")))))
+    shared = F.filter(every, lambda x: F.forall(titles, lambda t: t.contains(x["part"])))
+    return F.when(F.length(first) > 0, F.coalesce(F.array_max(shared)["part"], F.lit(""))).otherwise("")
+
+
+def preferred_hit(hits: Column, vocabularies: list[str], most: int = 10) -> Column:
+    """Of search hits in order: the first of the first `most` from an approved vocabulary (field source), else the first."""
+    good = F.filter(F.slice(hits, 1, most), lambda h: h["source"].isin(vocabularies))
+    return F.coalesce(F.get(good, F.lit(0)), F.get(hits, F.lit(0)))
+
+
+def property_value(properties: Column, kind: str) -> Column:
+    """The value of the first property of a kind; empty if there is none."""
+    return F.coalesce(F.get(F.filter(properties, lambda p: p["kind"] == kind), F.lit(0))["value"], F.lit(""))
+
+
 def canonical_tokens(c: Column, by: str = " ") -> Column:
     """The tokens, sorted and joined: equal for any order of words."""
     return F.array_join(F.array_sort(F.split(c, by)), "")

@@ -11,11 +11,12 @@ from kgspark.functions import text as T
 # The order in which a drug's name categories are tried.
 NAME_PRIORITY = ["primary", "synonym", "brand", "product", "mixture", "external", "chemical"]
 # Words that two arm titles may differ in.
-FILLER_WORDS = (
-    "( . ) : + / cohort arm group phase currently subjects prescriptions study base treatment mg , - then dose control period g part "
-    "double-blind alone total to active first oral only participants follow-up open-label gel patients experiments kg day % randomized "
-    "intervention pill followed by mcg drug of er"
-).split() + [""]
+FILLER_WORDS = [
+    "(", ".", ")", ":", "+", "/", "cohort", "arm", "group", "phase", "currently", "subjects", "prescriptions", "study", "base", "treatment", "", "mg",
+    ",", "-", "then", "dose", "control", "period", "g", "part", "double-blind", "alone", "total", "to", "active", "first", "oral", "only",
+    "participants", "follow-up", "open-label", "gel", "patients", "experiments", "kg", "day", "%", "randomized", "intervention", "pill", "followed",
+    "by", "mcg", "drug", "of", "er",
+]
 
 
 def first_match(keys: DataFrame, key: str, stages: list[tuple[str, Column]], names: DataFrame, name: str = "name", id: str = "id") -> DataFrame:
@@ -152,26 +153,41 @@ def match_groups(groups: DataFrame, arms: DataFrame) -> DataFrame:
     """(trial, group_id, arm_id, stage): each result group's arm, by the first stage that fits; groups(trial, group_id, title, description), arms(trial, arm_id, label).
 
     0 one group and one arm; 1 equal titles; 2 without spaces and hyphens;
-    3, 4 the description alike; 5 equal word sets, or sets that differ in
-    filler words alone; 6 what follows a colon.
+    3, 4 the description alike; 5 to 8 the same with what all titles of the
+    trial share cut away; 9 a disease abbreviated; 10 equal word sets, or sets
+    that differ in filler words alone; 11 what follows a colon; 12 the parts of
+    a title around + are the arm's drugs (column drugs, if arms have it); 13 the
+    same arm or group number at the start.
     """
     low = lambda c: F.lower(F.trim(c))
     tight = lambda c: F.regexp_replace(low(c), "[ -]", "")
     words = lambda c: F.array_distinct(F.split(low(c), "[ /+]"))
-    of_groups, of_arms = (df.groupBy("trial").agg(F.count("*").alias(n)) for df, n in ((groups, "_groups"), (arms, "_arms")))
-    pairs = groups.join(of_groups, "trial").join(arms.join(of_arms, "trial"), "trial")  # pairs within a trial: a few arms each
+    stems = groups.groupBy("trial").agg(F.count("*").alias("_groups"), F.array_sort(F.collect_list(F.lower(F.trim("title")))).alias("_titles"))  # a trial's few titles
+    stems = stems.select("trial", "_groups", F.when(F.col("_groups") > 1, T.common_part(F.col("_titles"))).otherwise("").alias("_stem"))
+    pairs = groups.join(stems, "trial").join(arms.join(arms.groupBy("trial").agg(F.count("*").alias("_arms")), "trial"), "trial")  # pairs within a trial: a few arms each
+    pairs = pairs.withColumn("_cut", F.when(F.length("_stem") > 0, F.replace(low(F.col("title")), F.col("_stem"), F.lit(""))).otherwise(low(F.col("title"))))
     differing = F.array_union(F.array_except(words("title"), words("label")), F.array_except(words("label"), words("title")))
     after = lambda c: F.trim(F.regexp_extract(low(c), ":(.*)$", 1))
     title = F.when(low("title").contains(":"), after("title")).otherwise(low("title"))
+    title = F.trim(F.regexp_replace(title, "subjects receiving", ""))
+    number = lambda c: F.regexp_extract(low(c), r"^(?:arm|group) ?([0-9]+|[a-z])\b", 1)
+    cut_known = F.trim("_cut") != ""
     stage = (
         F.when((F.col("_groups") == 1) & (F.col("_arms") == 1), 0)
         .when(low("title") == low("label"), 1)
         .when(tight("title") == tight("label"), 2)
         .when(low("description") == low("label"), 3)
         .when(tight("description") == tight("label"), 4)
-        .when(F.size(F.array_except(differing, F.array(*map(F.lit, FILLER_WORDS)))) == 0, 5)
-        .when((title == low("label")) | (F.col("label").contains(":") & (after("label") == title)), 6)
+        .when(cut_known & (low("_cut") == low("label")), 5)
+        .when(cut_known & (tight("_cut") == tight("label")), 6)
+        .when(F.replace(low("title"), F.lit("cystic fibrosis"), F.lit("cf")) == low("label"), 9)
+        .when(F.size(F.array_except(differing, F.array(*map(F.lit, FILLER_WORDS)))) == 0, 10)
+        .when((title == low("label")) | (F.col("label").contains(":") & (after("label") == title)), 11)
     )
+    if "drugs" in arms.columns:
+        parts = F.array_sort(F.array_distinct(F.transform(F.split(title, r"\+"), T.trimmed)))
+        stage = stage.when((F.size("drugs") > 0) & (F.array_sort(F.array_distinct(F.transform("drugs", F.lower))) == parts), 12)
+    stage = stage.when((number("title") != "") & (number("title") == number("label")), 13)
     fits = pairs.withColumn("stage", stage).where("stage is not null")
     best = W.partitionBy("trial", "group_id").orderBy("stage", "arm_id")
     matched = fits.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").select("trial", "group_id", "arm_id", "stage")
@@ -251,6 +267,11 @@ def phrases(docs: DataFrame, id: str, words: str, min_count: int = 5, threshold:
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
+def _run(words: str, n: int):
+    """The n words from a place on, joined; a higher-order function takes lambdas of one parameter as they are meant."""
+    return lambda i: F.array_join(F.slice(words, i, n), "_")
+
+
 def vocabulary_hits(docs: DataFrame, id: str, words: str, vocabulary: DataFrame, max_words: int = 3) -> DataFrame:
     """(id, cluster): documents that hold a vocabulary token(token, cluster) as a run of whole words, joined by _.
 
@@ -259,7 +280,7 @@ def vocabulary_hits(docs: DataFrame, id: str, words: str, vocabulary: DataFrame,
     """
     runs = None
     for n in range(1, max_words + 1):
-        run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), "_"))
+        run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), _run(words, n))
         part = docs.where(F.size(words) >= n).select(id, F.explode(run).alias("token"))
         runs = part if runs is None else runs.union(part)
     return runs.distinct().join(vocabulary, "token").select(id, "cluster").distinct()
@@ -270,3 +291,72 @@ def uncontained(rows: DataFrame, key: str, name: str) -> DataFrame:
     other = rows.select(F.col(key).alias("_key"), F.col(name).alias("_other")).distinct()
     inside = (F.col(key) == F.col("_key")) & (F.col(name) != F.col("_other")) & F.col("_other").contains(F.col(name))
     return rows.join(other, inside, "left_anti")
+
+
+def term_map(criteria: DataFrame, names: DataFrame) -> DataFrame:
+    """(term, cui) of criteria(seq, term, orig_term, cui, parents): terms as written and cleaned, and the names of concepts and their parents.
+
+    names(cui, name). Of a term met with several concepts the last one counts,
+    and an unresolved one counts as null.
+    """
+    term = criteria.select("seq", F.lit(1).alias("k"), "term", "cui")
+    orig = criteria.select("seq", F.lit(2).alias("k"), T.ascii_only(F.col("orig_term")).alias("term"), "cui")
+    of = names.select(F.col("cui").alias("_c"), F.col("name").alias("term"))
+    own = criteria.join(of, F.col("cui") == F.col("_c")).select("seq", F.lit(0).alias("k"), of["term"].alias("term"), "cui")
+    up = criteria.where("cui is not null").select("seq", F.lit(3).alias("k"), F.explode("parents").alias("cui"))
+    up = up.join(of, F.col("cui") == F.col("_c")).select("seq", "k", "term", "cui")
+    every = term.unionByName(orig).unionByName(own).unionByName(up)
+    return every.groupBy("term").agg(F.max_by("cui", F.struct("seq", "k")).alias("cui"))
+
+
+def matched_share(interventions: DataFrame, names: DataFrame) -> DataFrame:
+    """(trial, matched, ambiguous, total, percentage) of drug interventions(trial, key, name, others): each by its first name with an id.
+
+    names(name, id, category). A name that isn't known is tried by its components. One id is
+    unambiguous, or one of the first category that has any.
+    """
+    base = interventions.select("trial", "key", F.posexplode(F.concat(F.array(F.lower("name")), F.coalesce("others", F.array().cast("array<string>")))).alias("at", "name"))
+    tried = base.select("trial", "key", "at", F.posexplode(F.concat(F.array("name"), T.normalise_drug_name(F.col("name")))).alias("part", "name"))
+    known = by_priority(names, tried, ["primary", "synonyms", "international_brand_names", "external-identifiers", "product_names", "mixture_names"])
+    single = names.groupBy("name").agg(F.count("*").alias("_n"))
+    known = known.join(single, "name").select("name", F.col("ids")[0].alias("id"), ((F.size("ids") > 1) & (F.col("_n") > 1)).alias("twice"))
+    best = tried.join(known, "name").groupBy("trial", "key").agg(F.min(F.struct("at", "part", "id", "twice")).alias("b")).select("trial", "key", "b.id", "b.twice")
+    joined = interventions.select("trial", "key").distinct().join(best, ["trial", "key"], "left")
+    out = joined.groupBy("trial").agg(F.count("id").alias("matched"), F.count_if(F.col("twice")).alias("ambiguous"), F.count("*").alias("total"))
+    return out.withColumn("percentage", 100.0 * F.col("matched") / F.col("total"))
+
+
+def population(trials: DataFrame, names: DataFrame, associated: DataFrame) -> DataFrame:
+    """(trial, ids, healthy, associated_ids) of trials(trial, terms): headings by lower-cased name, whether any term is a healthy one, and the ids that are among associated(id)."""
+    each = trials.select("trial", F.explode("terms").alias("term"))
+    look = names.select(F.lower(F.trim("name")).alias("_name"), "id")
+    met = each.join(look, F.lower(F.trim("term")) == F.col("_name"), "left").join(associated.select(F.col("id").alias("_a")).distinct(), F.col("id") == F.col("_a"), "left")
+    found = met.groupBy("trial").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.bool_or(F.lower("term").rlike(r"healthy\s*(human)?\s*(volunteer(s)?|subject(s)?)?")).alias("healthy"), F.array_sort(F.collect_set("_a")).alias("associated_ids"))
+    none = F.array().cast("array<string>")
+    return trials.select("trial").join(found, "trial", "left").select("trial", F.coalesce("ids", none).alias("ids"), F.coalesce("healthy", F.lit(False)).alias("healthy"), F.coalesce("associated_ids", none).alias("associated_ids"))
+
+
+def join_phrases(docs: DataFrame, id: str, words: str, pairs: DataFrame, by: str = "_") -> DataFrame:
+    """docs' (id, words) with each pair (a, b) of neighbours joined, from left to right, a word in one pair at most.
+
+    In a run of neighbouring matches every second one is taken. Applied twice,
+    with the pairs found in between, it makes phrases of three and four words.
+    """
+    at = docs.select(id, F.posexplode(words).alias("pos", "a"))
+    order = W.partitionBy(id).orderBy("pos")
+    marked = at.withColumn("b", F.lead("a").over(order)).join(pairs.select("a", "b").distinct().withColumn("_hit", F.lit(True)), ["a", "b"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    runs = marked.withColumn("_run", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    nth = F.row_number().over(W.partitionBy(id, "_run", "_hit").orderBy("pos"))
+    taken = runs.withColumn("_take", F.col("_hit") & (nth % 2 == 1))
+    kept = taken.withColumn("_gone", F.coalesce(F.lag("_take").over(order), F.lit(False))).where("not _gone")
+    one = F.struct("pos", F.when(F.col("_take"), F.concat_ws(by, "a", "b")).otherwise(F.col("a")).alias("w"))
+    out = kept.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["w"]).alias(words))  # one document's words
+    return docs.select(id).join(out, id, "left").select(id, F.coalesce(words, F.array().cast("array<string>")).alias(words))
+
+
+def stemmed(rows: DataFrame, word: str, out: str = "stem") -> DataFrame:
+    """rows with the Porter stem of a word, the parts around _ each by itself; each distinct word is stemmed once."""
+    from kgspark.functions.stemmer import stem_column
+
+    stems = rows.select(F.col(word).alias("_word")).where("_word is not null").distinct().withColumn(out, stem_column(F.col("_word")))
+    return rows.join(stems, F.col(word) == F.col("_word"), "left").drop("_word")

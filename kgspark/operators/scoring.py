@@ -21,6 +21,10 @@ def neighbour_means(edges: DataFrame, features: DataFrame, how: str = "avg") ->
     return element_mean(sent, ["node", "etype"], "vector", how=how)
 
 
+def _times_constant(w: float):
+    return lambda x: x * w
+
+
 def relation_concat(edges: DataFrame, features: DataFrame, relations: list[int], width: int, weights: dict[int, float] | None = None) -> DataFrame:
     """(node, vector): a node's own vector and its means by relation, one behind the other in the order given, zeros where there are none.
 
@@ -34,7 +38,8 @@ def relation_concat(edges: DataFrame, features: DataFrame, relations: list[int],
         return joined.select("node", F.concat(*map(mean, relations), F.col("own")).alias("vector"))
     total = F.col("own")
     for r in relations:
-        total = F.zip_with(total, mean(r), lambda a, b, r=r: a + weights.get(r, 1.0) * b)
+        scaled = F.transform(mean(r), _times_constant(weights.get(r, 1.0)))
+        total = F.zip_with(total, scaled, lambda a, b: a + b)
     return joined.select("node", total.alias("vector"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kgspark.plans import graph, labels, learning, network, trials
+from kgspark.plans import graph, labels, learning, linking, network, trials
 
-MODULES = [graph, network, learning, trials, labels]
+MODULES = [graph, network, learning, trials, labels, linking]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -82,7 +82,7 @@ def _graph(spark, sf):
 
 
 def _long(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode("vector").alias("pos", "val")).select(*keys, "pos", F.round("val", 4).alias("val"))
+    return df.select(*keys, F.posexplode("vector").alias("pos", "val")).withColumn("val", F.round("val", 4)).select(*keys, "pos", F.when(F.col("val") == 0, 0.0).otherwise(F.col("val")).alias("val"))  # no negative zeros
 
 
 def relation_mean_features(spark, sf):
@@ -213,7 +213,7 @@ ORACLES = {
     "event_head_scores": f"WITH {FEATURES}, h AS (SELECT node, sum(x) AS t FROM f WHERE node < 100 GROUP BY 1) SELECT node AS arm, n_nationkey AS ae, round(n_nationkey / 10 * (t + n_regionkey / 2) + n_regionkey, 4) AS score FROM h, nation",
     "self_adversarial_loss": "WITH e AS (SELECT user_id, value / 100 AS s FROM events), w AS (SELECT user_id, s, exp(s * 0.5) / sum(exp(s * 0.5)) OVER (PARTITION BY user_id) AS w FROM e) SELECT user_id, round(-(ln(1 / (1 + exp(-max(s)))) + sum(w * ln(1 / (1 + exp(s))))) / 2, 4) AS loss FROM w GROUP BY 1",
     "knn_cosine_topk": "WITH u AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS x FROM embeddings, range(1, 65) AS g(i)), s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(sum(a.x * b.x), 4) AS score FROM u a JOIN u b USING (i) WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS rank, id, score FROM s) WHERE rank <= 3",
-    "l2_normalise": "SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS val FROM embeddings, range(1, 65) AS g(i)",
+    "l2_normalise": "WITH n AS (SELECT vec_id, i, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS v FROM embeddings, range(1, 65) AS g(i)) SELECT vec_id, CAST(i - 1 AS INT) AS pos, CASE WHEN v = 0 THEN 0 ELSE v END AS val FROM n",
     "split_withdrawn_list": "SELECT l_orderkey, CASE WHEN bool_or(l_partkey IN (3, 7, 50, 77, 120)) THEN 'test' ELSE 'train' END AS split FROM lineitem GROUP BY 1",
     "split_component_quota": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 1),
         n AS (SELECT DISTINCT a.o AS x, b.o AS y FROM e a JOIN e b USING (p)),

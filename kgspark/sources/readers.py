@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import trimmed
 from kgspark.operators.graph import last_writer
 from kgspark.operators.ordered import running_sums
 
@@ -139,7 +140,7 @@ def headings(spark: SparkSession, path: str, categories: tuple = DISEASE_CATEGOR
     found = spark.read.option("lineSep", "*NEWREC").text(path).where(F.trim("value") != "")
     entries = F.transform(_all(r, r"(?:PRINT )?(?:ENTRY|PRINT ENTRY)[^=\n]*=(.*)$"), lambda e: F.trim(F.substring_index(F.trim(e), "|", 1)))
     inside = lambda t: F.exists(F.array(*map(F.lit, categories)), lambda c: F.startswith(t, c))
-    trees = F.array_sort(F.array_distinct(F.filter(F.transform(_all(r, r"MN =(.*)$"), F.trim), inside)))
+    trees = F.array_sort(F.array_distinct(F.filter(F.transform(_all(r, r"MN =(.*)$"), trimmed), inside)))
     rows = found.select(F.trim(_first(r, "UI =")).alias("id"), F.trim(_first(r, "MH =")).alias("name"), F.array_sort(F.array_distinct(entries)).alias("entries"), trees.alias("tree_numbers"), F.trim(_first(r, "MS =")).alias("note"))
     return rows.where(F.size("tree_numbers") > 0)
 
@@ -166,7 +167,7 @@ def ontology(spark: SparkSession, path: str) -> DataFrame:
         "obsolete": plain("is_obsolete") == "true",
         "parents": F.transform(_all(r, r"is_a:(.*)$"), target),
         "relations": linked,
-        "alt_ids": F.transform(_all(r, r"alt_id:(.*)$"), F.trim),
+        "alt_ids": F.transform(_all(r, r"alt_id:(.*)$"), trimmed),
     }
     return found.select(*[c.alias(k) for k, c in columns.items()]).where("id <> ''")
 
@@ -192,7 +193,7 @@ def drug_names(spark: SparkSession, path: str, row_tag: str = "drug") -> DataFra
     none = F.array().cast("array<string>")
     brands = F.transform(F.col("`international-brands`.`international-brand`"), lambda b: b["name"])
     names = F.concat(F.array("name"), F.coalesce("synonyms.synonym", none), F.coalesce(brands, none))
-    names = F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != ""))
+    names = F.filter(F.transform(names, trimmed), lambda n: n.isNotNull() & (n != ""))
     main = F.filter("`drugbank-id`", lambda i: i["_primary"].isNotNull())
     return rows.select(F.get(main, F.lit(0))["_VALUE"].alias("id"), names.alias("names")).where("id is not null")
 
