@@ -187,6 +187,11 @@ def _matches(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, pattern), spans).otherwise(none)
 
 
+def _ranked(nth: int):
+    """A span with its rule's place; a higher-order function would hand a second parameter the index."""
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(nth).alias("nth"), s["kind"].alias("kind"), s["stop"].alias("stop"))
+
+
 def scan(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """docs, with null texts empty, and `_spans`: array<struct<start, nth, kind, stop>> by start, then order of the rules."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
@@ -201,7 +206,7 @@ def scan(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     for nth, rule in enumerate(rules):
         hit = F.lit(True) if rule.kind not in queries else F.coalesce(F.array_contains("_kinds", rule.kind), F.col("doc_id").isNull())
         spans = F.when(hit, _matches(F.col("text"), rule)).otherwise(none)
-        found.append(F.transform(spans, lambda s, nth=nth: F.struct(s["start"].alias("start"), F.lit(nth).alias("nth"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
+        found.append(F.transform(spans, _ranked(nth)))
     return joined.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_hit_id", "_kinds")
 
 
