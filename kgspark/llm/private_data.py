@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.extras import extras_aside
-from kgspark.llm.near_copies import TABLE_BITS, _table
+from kgspark.llm.near_copies import place_table, placed
 from kgspark.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -191,7 +191,7 @@ def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
         table, copied, done = wanted.value, repeated.value, set()
         for batch in batches:
             keys = batch.column("text_hash").to_numpy()
-            single = copied[(keys.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] == 0
+            single = placed(copied, keys.view(np.uint64)) == 0
             rows, alone, key = [], [], None
             for first, encoded in slices(batch.column("text").to_pylist()):
                 hashes, ends = word_hashes(encoded)
@@ -234,7 +234,7 @@ def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclos
     wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
     copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
     n = copies.count()
-    repeated = context.broadcast(_table(copies.where("rows > 1"), "text_hash"))
+    repeated = context.broadcast(place_table(copies.where("rows > 1"), "text_hash"))
     both = together.join(alone, "entity").join(_document_counts(texts, wanted, repeated), "term")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
