@@ -23,8 +23,8 @@ from array import array
 import numpy as np
 
 END_ID = 2
-#: Words in a generation of a worker's memo: two take some 90 MB.
-MEMO_WORDS = 300_000
+#: Words in a generation of a worker's memo: two take some 180 MB.
+MEMO_WORDS = 600_000
 #: Characters of a word that the memo keeps; longer ones are encoded each time.
 MEMO_CHARS = 64
 #: Words of Latin letters, and marks behind: one or two units that no normalizer but lower-casing changes.
