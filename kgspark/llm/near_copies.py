@@ -59,6 +59,8 @@ TABLE_BITS = (16, 26)
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Columns of a strip of the matrix that counts overlaps.
 STRIP = 4096
+#: Rows of the index that a task works on at once, and entries of one list that it holds at most.
+CHUNK_ROWS, LIST_ROWS = 1 << 17, 1 << 20
 #: Parts into which the positions of a prefix are cut for the blocks of a list.
 STRIPES = 4
 #: Share of a set's size by which its prefix is longer than it must be; a link then shares as many tokens more.
@@ -189,32 +191,90 @@ def _sets(docs: DataFrame, words: int, wanted) -> DataFrame:
     return docs.select("text").mapInArrow(read, "name long, tokens array<long>").groupBy("name").agg(F.first("tokens").alias("tokens"))
 
 
+def answered(token: np.ndarray, block: np.ndarray, n: np.ndarray, reach: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries, sorted by list (token) and block, some block of their list may answer.
+
+    A block is known by its extreme sizes and its largest reach. An entry
+    skips a block whose sizes don't fit its own, or lie beyond its reach, or
+    whose reach ends before it.
+    """
+    first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])]))
+    held = np.diff(np.append(first, len(token)))
+    low, high, most = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(reach, first)
+    of, lists = np.repeat(np.arange(len(first)), held), token[first]
+    live = held[of] > 1
+    for step in range(1, len(first)):  # as far as the blocks of the longest list go
+        beside = False
+        for other in (of + step, of - step):
+            there = np.flatnonzero((other >= 0) & (other < len(first)))
+            there = there[lists[other[there]] == token[there]]
+            beside |= len(there) > 0
+            there = there[~live[there]]
+            k = other[there]
+            live[there] = (100 * high[k] >= percent * n[there]) & (low[k] <= reach[there]) & (most[k] >= n[there])
+        if not beside:
+            break
+    return live
+
+
 def _live(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries that some block of their list may answer, of sets with enough of them for a link.
+    """Entries (token, name, n, pos, held) that some block of their list may answer, of sets with enough of them (held) for a link.
 
     A linked pair x, y has percent * n_y <= 100 * n_x, and shares at least
     1 + extra(smaller) tokens of the prefixes. At one of these, at place pos of
     x, the overlap is at most extra(n_x) + n_x - pos, which bounds n_y: the
-    reach of x there.
+    reach of x there. Skipping only saves work: of a list of more than
+    LIST_ROWS entries, all are kept, so that no task holds it.
     """
     size = F.col("n").cast("long")
-    left = size - F.col("pos") + F.floor(size * LONGER)
-    reach = F.least(F.floor(size * 100 / percent), F.floor(left * (100 + percent) / percent) - size)
     longest = size - F.ceil(size * percent / 100) + 1 + F.floor(size * LONGER)
-    rows = entries.withColumns({
-        "reach": reach.cast("long"),
-        "class": F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))).cast("int"),
-        "stripe": F.least(F.floor(F.col("pos") * STRIPES / longest), F.lit(STRIPES - 1)).cast("int"),
-    })
-    blocks = rows.groupBy("token", "class", "stripe").agg(F.count("*").alias("held"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"))
-    lists = blocks.groupBy("token").agg(F.sum("held").alias("all"), F.collect_list(F.struct("class", "stripe", "held", "low", "high", "most")).alias("blocks"))  # some hundred blocks at most
-    met = rows.join(lists.where("all > 1").drop("all"), "token")
-    own = lambda b: (b["class"] == F.col("class")) & (b["stripe"] == F.col("stripe"))
-    answers = lambda b: (b["high"] * 100 >= size * percent) & (b["low"] <= F.col("reach")) & (b["most"] >= size) & (~own(b) | (b["held"] > 1))
-    kept = met.where(F.exists("blocks", answers)).select("token", "name", "n", "pos")
+    stripe = F.least(F.floor(F.col("pos") * STRIPES / longest), F.lit(STRIPES - 1))
+    block = (F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))) * STRIPES + stripe).cast("int")
+    rows = entries.select("token", "name", "n", "pos", block.alias("block")).repartition("token").sortWithinPartitions("token", "block", "name")
+    names = ["token", "name", "n", "pos", "block"]
+
+    def kept(columns: list[np.ndarray]) -> pa.RecordBatch:
+        token, name, n, pos, block = columns
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (name[1:] != name[:-1])]) if len(token) else np.zeros(0, bool)
+        token, name, n, pos, block = (c[once] for c in columns)
+        if len(token):
+            wide = n.astype(np.int64)
+            reach = np.minimum(100 * wide // percent, (wide - pos + extra(wide)) * (100 + percent) // percent - wide)
+            live = answered(token, block, wide, reach, percent)
+            token, name, n, pos = token[live], name[live], n[live], pos[live]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, name, n, pos)], names=names[:4])
+
+    def walk(batches):
+        waiting, rows, large = [], 0, None  # rows of whole lists and of one begun; the list that is too large to hold
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            if large is not None:
+                same = columns[0] == large
+                if same.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c[same]) for c in columns[:4]], names=names[:4])
+                    columns = [c[~same] for c in columns]
+                if not len(columns[0]):
+                    continue
+                large = None
+            waiting.append(columns)
+            rows += len(columns[0])
+            if rows < CHUNK_ROWS:
+                continue
+            columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            begun = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield kept([c[:begun] for c in columns])
+            waiting, rows = [[c[begun:] for c in columns]], len(columns[0]) - begun
+            if rows > LIST_ROWS:
+                large = waiting[0][0][0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in waiting[0][:4]], names=names[:4])
+                waiting, rows = [], 0
+        if waiting:
+            yield kept([np.concatenate(c) for c in zip(*waiting, strict=True)])
+
+    found = written(rows.mapInArrow(walk, "token long, name long, n int, pos int"), "join-live")
     need = F.floor(F.floor(F.col("n") * percent / 100) * LONGER) + 1
-    enough = kept.groupBy("name", "n").agg(F.count("*").alias("held")).where(F.col("held") >= need).select("name", "held")
-    return kept.join(enough, "name")
+    enough = found.groupBy("name", "n").agg(F.count("*").alias("held")).where(F.col("held") >= need).select("name", "held")
+    return found.join(enough, "name")
 
 
 def band(overlap: np.ndarray, n: np.ndarray, leader: int, percent: int) -> np.ndarray:
@@ -343,10 +403,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     often = scanned.where("kind = 1").groupBy("id").agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
     frequency = context.broadcast(place_table(written(often, "join-frequent"), "id", F.floor(F.log2("times"))))
 
-    entries = _entries(docs, words, percent, frequency).repartition("token")
-    entries = entries.groupBy("token", "name", "n", "pos").agg(F.lit(0).alias("held")).drop("held")
+    entries = _live(_entries(docs, words, percent, frequency), percent)
     entries = written(_live(entries, percent), "join-entries")
-    entries = written(_live(entries.drop("held"), percent), "join-entries")
     lead = F.max(F.struct((F.col("held") / F.col("n")).alias("share"), "name"))["name"]
     heads = written(entries.groupBy("token").agg(lead.alias("leader")), "join-heads")
     groups = entries.join(heads, "token").select("leader", "name", F.col("n").cast("long").alias("n")).distinct()
