@@ -289,8 +289,8 @@ def _with_terms(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base kinds, and all spans as kind:start:end."""
-    return _with_terms(docs).drop("text_hash")
+    """doc_id, counts and digest of the base kinds, all spans as kind:start:end, and n_private: values of all base kinds together."""
+    return _with_terms(docs).drop("text_hash").withColumn("n_private", F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))
 
 
 @extras_aside("doc_id", "text")
