@@ -303,6 +303,24 @@ def property_value(properties: Column, kind: str) -> Column:
     return F.coalesce(F.get(F.filter(properties, lambda p: p["kind"] == kind), F.lit(0))["value"], F.lit(""))
 
 
+def json_field(c: Column, path: str) -> Column:
+    """A JSON text's field by its dotted path; null where it is missing."""
+    return F.get_json_object(c, f"$.{path}")
+
+
+def html_text(page: Column, tag: str) -> Column:
+    """The text of the first element of a tag that holds no other element."""
+    return F.regexp_extract(page, f"<{tag}>([^<]*)</{tag}>", 1)
+
+
+def html_attribute(page: Column, tag: str, attribute: str) -> Column:
+    return F.regexp_extract(page, f'<{tag} {attribute}="([a-z]*)"', 1)
+
+
+def occurrences(c: Column, part: str) -> Column:
+    return F.floor((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("long")
+
+
 def canonical_tokens(c: Column, by: str = " ") -> Column:
     """The tokens, sorted and joined: equal for any order of words."""
     return F.array_join(F.array_sort(F.split(c, by)), "")

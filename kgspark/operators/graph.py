@@ -53,6 +53,22 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
+def neighbour_sets(edges: DataFrame, keys: list[str], dst: str) -> DataFrame:
+    """(keys, neighbours): the sorted set of what a node leads to."""
+    return edges.groupBy(*keys).agg(F.array_sort(F.collect_set(dst)).alias("neighbours"))
+
+
+def any_of(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """(keys, flags): whether each holds for any row of a key."""
+    return rows.groupBy(*keys).agg(*[F.bool_or(c).alias(k) for k, c in flags.items()])
+
+
+def frequent(rows: DataFrame, value: str, by: str, least: int) -> DataFrame:
+    """rows of the values that at least `least` different `by` have."""
+    often = rows.groupBy(value).agg(F.count_distinct(by).alias("_n")).where(F.col("_n") >= least).select(value)
+    return rows.join(often, value, "left_semi")
+
+
 def concept_map(nodes: DataFrame, same: DataFrame, node: str = "id") -> DataFrame:
     """(node, concept) for every node: its component under the equivalences in same(src, dst), itself if alone."""
     found = components(same)

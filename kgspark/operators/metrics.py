@@ -44,6 +44,11 @@ def balanced_auprc(scores: DataFrame, keys: list[str], repeats: int = 10, ratio:
     return auprc(drawn, [*keys, "turn"]).groupBy(*keys).agg(F.avg("auprc").alias("balanced_auprc"))
 
 
+def top_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each key, with their rank from 1."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def label_metrics(scores: DataFrame, keys: list[str]) -> DataFrame:
     counts = scores.groupBy(*keys).agg(F.sum(F.col("y").cast("long")).alias("n_pos"), F.count("*").alias("n"))
     return counts.join(auroc(scores, keys), keys).join(auprc(scores, keys), keys)

@@ -11,14 +11,17 @@ def kg_edge_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: edge counts by (head, relation, tail) after aliases of a part are merged."""
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     rep = t("part").select("p_partkey", F.min("p_partkey").over(W.partitionBy("p_brand", "p_type", "p_size")).alias("rep"), "p_brand")
-    arm = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    edge = lambda df, head, relation, tail, a, b: df.select(F.lit(head).alias("head"), F.lit(relation).alias("relation"), F.lit(tail).alias("tail"), a.cast("string").alias("src"), b.cast("string").alias("dst"))
-    line, orders = t("lineitem"), t("orders")
-    tests = edge(line.join(rep, line.l_partkey == rep.p_partkey), "arm", "arm_tests_drug", "drug", arm, F.col("rep"))
-    study = edge(line.join(orders, line.l_orderkey == orders.o_orderkey), "arm", "study-disease", "disease", arm, F.col("o_custkey"))
-    outcome = edge(line.join(orders, line.l_orderkey == orders.o_orderkey), "arm", "primary_outcome", "outcome", arm, F.col("o_orderpriority"))
-    parent = edge(rep, "drug", "has_parent", "drug_class", F.col("rep"), F.col("p_brand"))
-    edges = tests.unionByName(study).unionByName(outcome).unionByName(parent).distinct()
+    # Lines meet their parts and orders once; an arm is its two numbers until it is counted.
+    line = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    joined = line.join(rep.select("p_partkey", "rep"), line.l_partkey == rep.p_partkey, "left").join(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), line.l_orderkey == F.col("o_orderkey"), "left")
+    ends = F.array(
+        F.struct(F.lit("arm_tests_drug").alias("relation"), F.lit("drug").alias("tail"), F.col("rep").cast("string").alias("dst")),
+        F.struct(F.lit("study-disease").alias("relation"), F.lit("disease").alias("tail"), F.col("o_custkey").cast("string").alias("dst")),
+        F.struct(F.lit("primary_outcome").alias("relation"), F.lit("outcome").alias("tail"), F.col("o_orderpriority").alias("dst")),
+    )
+    tests = joined.select(F.lit("arm").alias("head"), F.struct("l_orderkey", "l_linenumber").alias("src"), F.inline(ends)).where("dst is not null")
+    parent = rep.select(F.lit("drug").alias("head"), F.struct(F.col("rep").alias("l_orderkey"), F.lit(0).alias("l_linenumber")).alias("src"), F.lit("has_parent").alias("relation"), F.lit("drug_class").alias("tail"), F.col("p_brand").alias("dst"))
+    edges = tests.unionByName(parent).distinct()
     return edges.groupBy("head", "relation", "tail").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import features, text, vectors
 from kgspark.operators import linking, metrics, splits
+from kgspark.streaming import events
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -119,30 +119,27 @@ def triple_scores(spark, sf):
 
 
 def top_k_per_arm(spark, sf):
-    turn = W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return _table(spark, sf, "events").select("user_id", "event_id", "value", F.row_number().over(turn).alias("rank")).where("rank <= 3")
+    return metrics.top_k(_table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 3)
 
 
 def json_path_props(spark, sf):
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = text.json_field(F.col("props"), "k").cast("long")
     return _table(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n_k"))
 
 
 def html_record_extract(spark, sf):
-    found = lambda p: F.regexp_extract("html", p, 1)
-    return _table(spark, sf, "pages").select("page_id", found("<title>([^<]*)</title>").alias("title"), found('<html lang="([a-z]*)"').alias("lang"), F.regexp_count("html", F.lit('<a href="')).cast("long").alias("n_links"))
+    page = F.col("html")
+    return _table(spark, sf, "pages").select("page_id", text.html_text(page, "title").alias("title"), text.html_attribute(page, "html", "lang").alias("lang"), text.occurrences(page, '<a href="').alias("n_links"))
 
 
 def events_daily_windows(spark, sf):
-    day = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")
-    return _table(spark, sf, "events").groupBy(day, "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+    found = events.per_window(events.with_time(_table(spark, sf, "events")), "1 day", users=True)
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "n_users")
 
 
 def events_sessions(spark, sf):
-    turn = W.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(turn)
-    marked = _table(spark, sf, "events").withColumn("new", F.when(gap.isNull() | (gap > 7200), 1).otherwise(0))
-    return marked.groupBy("user_id").agg(F.sum("new").alias("n_sessions"), F.count("*").alias("n_events"))
+    found = events.sessions(events.with_time(_table(spark, sf, "events")), "2 hours")
+    return found.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))
 
 
 def _fold(pattern_and_words: tuple, inner: str, times: int) -> str:
@@ -199,6 +196,6 @@ ORACLES = {
     "json_path_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY 1",
     "html_record_extract": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, len(string_split(html, '<a href="')) - 1 AS n_links FROM pages""",
     "events_daily_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2",
-    "events_sessions": "WITH g AS (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, count(*) FILTER (gap IS NULL OR gap > 7200) AS n_sessions, count(*) AS n_events FROM g GROUP BY 1",
+    "events_sessions": "WITH g AS (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, count(*) FILTER (gap IS NULL OR gap >= 7200) AS n_sessions, count(*) AS n_events FROM g GROUP BY 1",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

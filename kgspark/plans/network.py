@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.operators import graph, linking
+from kgspark.operators import builders, graph, linking, trials
 from kgspark.operators.components import components
 
 
@@ -39,15 +39,16 @@ def _same(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kg_node_type_counts(spark, sf):
-    t = lambda name, kind, key: _table(spark, sf, name).select(F.lit(kind).alias("type"), F.col(key).cast("string").alias("id"))
+    t = lambda name, kind, key: _table(spark, sf, name).select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("key"), F.array(F.lit(kind)).alias("etypes"))
     parts = [t("part", "drug", "p_partkey"), t("customer", "disease", "c_custkey"), t("orders", "outcome", "o_orderpriority"), t("supplier", "criterion", "s_suppkey")]
-    nodes = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
-    return nodes.groupBy("type").agg(F.count_distinct("id").alias("n_nodes"))
+    nodes = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
+    return trials.type_counts(nodes, nodes.select(F.col("key").alias("arm")).where("false")).select(F.col("etype").alias("type"), F.col("n").alias("n_nodes"))
 
 
 def kg_missing_endpoint_rejects(spark, sf):
-    edges = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
-    nodes = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).unionAll(_table(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey"))
+    """Orders of customers in debt, who are no nodes."""
+    edges = _table(spark, sf, "orders").select(_tagged("o", "o_orderkey").alias("src"), _tagged("c", "o_custkey").alias("dst"))
+    nodes = _table(spark, sf, "orders").select(_tagged("o", "o_orderkey").alias("id")).unionAll(_table(spark, sf, "customer").where("c_acctbal >= 0").select(_tagged("c", "c_custkey")))
     return graph.missing_endpoints(edges, nodes)
 
 
@@ -57,19 +58,20 @@ def kg_relation_denylist(spark, sf):
 
 
 def arm_drug_sets(spark, sf):
-    arm = _table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber")
-    return arm.agg(F.array_join(F.array_sort(F.collect_set("l_partkey")), ",").alias("drugs"))
+    sets = graph.neighbour_sets(_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")
+    return sets.select("l_orderkey", "l_linenumber", F.array_join("neighbours", ",").alias("drugs"))
 
 
 def arm_flags(spark, sf):
-    arm = _table(spark, sf, "lineitem").groupBy("l_orderkey")
-    return arm.agg(F.bool_or(F.col("l_returnflag") == "R").alias("excluded"), F.bool_or(F.col("l_linestatus") == "O").alias("running"), F.count_distinct("l_linenumber").alias("n_arms"))
+    flagged = graph.any_of(_table(spark, sf, "lineitem"), ["l_orderkey"], {"excluded": F.col("l_returnflag") == "R", "running": F.col("l_linestatus") == "O"})
+    arms = graph.neighbour_sets(_table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber")
+    return flagged.join(arms, "l_orderkey").select("l_orderkey", "excluded", "running", F.size("neighbours").cast("long").alias("n_arms"))
 
 
 def arm_eligibility_edges(spark, sf):
-    line = _table(spark, sf, "lineitem")
-    relation = F.when(F.col("l_returnflag") == "R", "exclusion").otherwise("inclusion").alias("relation")
-    return line.select("l_orderkey", "l_suppkey", relation).distinct().groupBy("l_suppkey", "relation").agg(F.count("*").alias("n_trials"))
+    relation = F.when(F.col("l_returnflag") == "R", "exclusion").otherwise("inclusion")
+    edges = builders.edges_of(_table(spark, sf, "lineitem"), F.col("l_orderkey"), F.col("l_suppkey"), relation, trials.TRIAL)
+    return edges.groupBy(F.col("dst").alias("l_suppkey"), "relation").agg(F.count("*").alias("n_trials"))
 
 
 def components_alias_parts(spark, sf):
@@ -113,18 +115,23 @@ def propagate_to_ancestors(spark, sf):
 
 def fanout_bridge(spark, sf):
     o, c, n = _table(spark, sf, "orders"), _table(spark, sf, "customer"), _table(spark, sf, "nation")
-    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("n_name", "o_orderpriority", "c_mktsegment").distinct()
+    left = o.select(F.col("o_orderpriority").alias("src"), F.col("o_custkey").alias("code"))
+    bridge = c.select(F.col("c_custkey").alias("code"), F.col("c_nationkey").alias("nation"))
+    return builders.bridged(left, bridge, n.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("dst")), "nation")
 
 
 def frequency_threshold_network(spark, sf):
     line = _table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
-    often = line.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_orders")).where("n_orders >= 30")
-    return line.join(often, "l_partkey").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"))
+    often = graph.frequent(line, "l_partkey", "l_orderkey", 30)
+    return often.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"))
 
 
 def predecessor_pairs(spark, sf):
-    turn = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return _table(spark, sf, "orders").select("o_orderkey", F.lag("o_orderkey").over(turn).alias("before")).where("before is not null")
+    """Orders as trials: of one customer and one of two priorities, ended by the year in which the other starts; open orders have not ended."""
+    o = _table(spark, sf, "orders")
+    year = F.year("o_orderdate")
+    rows = o.select(F.col("o_orderkey").alias("id"), F.array("o_custkey", F.col("o_custkey") + 1).alias("diseases"), F.array(F.substring("o_orderpriority", 1, 1)).alias("countries"), year.alias("start_year"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(year + 1).alias("end_year"))
+    return graph.predecessors(rows)
 
 
 def duplicate_keys(spark, sf):
@@ -168,7 +175,7 @@ PLACES = "places AS (SELECT c_custkey AS key, 'n' || c_nationkey AS id FROM cust
 _independent = lambda mine, other: f"WITH {CLOSED}, {PLACES} SELECT key, id FROM places p WHERE NOT EXISTS (SELECT 1 FROM up JOIN places q ON q.key = p.key AND q.id = up.{other} WHERE up.{mine} = p.id)"
 ORACLES = {
     "kg_node_type_counts": "SELECT type, count(DISTINCT id) AS n_nodes FROM (SELECT 'drug' AS type, CAST(p_partkey AS VARCHAR) AS id FROM part UNION ALL SELECT 'disease', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'outcome', o_orderpriority FROM orders UNION ALL SELECT 'criterion', CAST(s_suppkey AS VARCHAR) FROM supplier) GROUP BY type",
-    "kg_missing_endpoint_rejects": "WITH n AS (SELECT o_orderkey AS id FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal >= 0) SELECT DISTINCT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT id FROM n) OR o_orderkey NOT IN (SELECT id FROM n)",
+    "kg_missing_endpoint_rejects": "SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
     "kg_relation_denylist": "SELECT event_type AS relation, count(*) AS n, count(DISTINCT user_id) AS n_src FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1",
     "arm_drug_sets": "SELECT l_orderkey, l_linenumber, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY lpad(CAST(l_partkey AS VARCHAR), 20, '0')) AS drugs FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY 1, 2",
     "arm_flags": "SELECT l_orderkey, bool_or(l_returnflag = 'R') AS excluded, bool_or(l_linestatus = 'O') AS running, count(DISTINCT l_linenumber) AS n_arms FROM lineitem GROUP BY 1",
@@ -180,9 +187,9 @@ ORACLES = {
     "filter_specific_ids": _independent("ancestor", "node"),
     "cut_tree_level": "SELECT o_orderkey AS key, 'n' || c_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey",
     "propagate_to_ancestors": f"WITH {CLOSED}, p AS (SELECT 'c' || o_custkey AS id, o_orderpriority AS value FROM orders) SELECT id, count(*) AS n_values FROM (SELECT id, value FROM p UNION SELECT ancestor, value FROM p JOIN up ON id = node) GROUP BY id",
-    "fanout_bridge": "SELECT DISTINCT n_name, o_orderpriority, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    "fanout_bridge": "SELECT DISTINCT o_orderpriority AS src, n_name AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     "frequency_threshold_network": "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 30) GROUP BY 1",
-    "predecessor_pairs": "SELECT * FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL",
+    "predecessor_pairs": "WITH o AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority[1] AS p, year(o_orderdate) AS s, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE year(o_orderdate) + 1 END AS e FROM orders) SELECT DISTINCT a.id AS before, b.id FROM o a JOIN o b ON a.p = b.p AND a.id <> b.id AND abs(a.c - b.c) <= 1 AND a.e <> 0 AND a.e <= b.s",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "last_writer": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
     "bidirectional_edges": "SELECT o_orderkey AS src, o_custkey AS dst, CAST(o_orderkey % 3 AS INT) AS etype FROM orders UNION ALL SELECT o_custkey, o_orderkey, CAST(o_orderkey % 3 + 3 AS INT) FROM orders",
