@@ -119,15 +119,14 @@ def drawn(rows: DataFrame, key: str, draws: int, seed: int = 34) -> DataFrame:
     u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
     joined = rows.crossJoin(F.broadcast(n)).withColumn("_rate", F.lit(float(draws)) / F.col("_n"))  # one row
     # Quantile of a Poisson number at u: how many of its cumulated probabilities lie at or below u.
-    term, steps = F.exp(-F.col("_rate")), []
-    total = term
-    for k in range(1, 64):
-        steps.append(F.when(u >= total, 1).otherwise(0))
-        term = term * F.col("_rate") / k
-        total = total + term
-    times = steps[0]
-    for more in steps[1:]:
-        times = times + more
+    first = F.exp(-F.col("_rate"))
+    start = F.struct(first.alias("term"), first.alias("total"), F.lit(0).alias("times"))
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * F.col("_rate") / k
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"), (s["times"] + F.when(u >= s["total"], 1).otherwise(0)).alias("times"))
+
+    times = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["times"])
     return joined.withColumn("_times", times).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_rate", "_times")
 
 
