@@ -57,14 +57,24 @@ class Rows(NamedTuple):
     ends: np.ndarray
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.index] * self.value, dtype=np.float64)])
-        return total[self.ends[1:]] - total[self.ends[:-1]]
+        """Products with w, in blocks of rows, so that what they take is bounded."""
+        out = np.empty(len(self.ends) - 1)
+        for low in range(0, len(out), 512):
+            ends = self.ends[low : low + 513]
+            part = slice(ends[0], ends[-1])
+            total = np.concatenate([[0.0], np.cumsum(w[self.index[part]] * self.value[part], dtype=np.float64)])
+            out[low : low + 512] = total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
+        return out
 
     def take(self, rows: np.ndarray) -> Rows:
         n = (self.ends[1:] - self.ends[:-1])[rows]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - self.ends[rows], n)
-        return Rows(self.index[at], self.value[at], ends)
+        index, value = np.empty(ends[-1], self.index.dtype), np.empty(ends[-1], self.value.dtype)
+        for low in range(0, len(rows), 512):
+            part, m = slice(ends[low], ends[min(low + 512, len(rows))]), n[low : low + 512]
+            at = np.arange(part.start, part.stop) - np.repeat(ends[low : low + len(m)] - self.ends[rows[low : low + 512]], m)
+            index[part], value[part] = self.index[at], self.value[at]
+        return Rows(index, value, ends)
 
 
 def text_rows(encoded: list[bytes]) -> Rows:
@@ -133,9 +143,9 @@ def fit(x: Rows, y: np.ndarray, size: int, steps: int = 150, decay: float = 1e-3
     w = np.zeros(size + 1)
     kept = used[x.index]
     ends = np.concatenate([[0], np.cumsum(kept)])[x.ends]
-    x = Rows(x.index[kept], x.value[kept] * scale[x.index[kept]], ends)
+    x = Rows(x.index[kept], x.value[kept] * scale.astype(np.float32)[x.index[kept]], ends)
     first, second = np.zeros_like(w), np.zeros_like(w)
-    owner = np.repeat(np.arange(len(y)), np.diff(x.ends))
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(x.ends))
     for step in range(1, steps + 1):
         error = (_sigmoid(x.dot(w) + w[-1]) - y) / len(y)
         grad = np.bincount(x.index, x.value * error[owner], size + 1).astype(float)
@@ -336,7 +346,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: tuple = ("quality", "toxi
         goals.append(Target(np.nan_to_num(y), there & (chance >= HELD), there & (chance < HELD)))
     open_ = [k for k, g in enumerate(goals) if g.constant is None]
     handed = {k: [[], []] for k in open_}
-    sampled = table.column("hash").to_numpy()
+    sampled = table.column("hash").to_numpy().copy()
+    del table
     for turn in range(rounds + 1):
         weights = {k: fitted(views, goals[k], handed[k]) for k in open_}
         if turn == rounds or not open_:
