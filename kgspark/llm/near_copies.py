@@ -363,6 +363,7 @@ def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = near.where("band > 0").select("leader").distinct()
     rows = _spread(near.join(apart, "leader", "left_semi"), ["leader", "band"])
     per = rows.select("leader", "band", "blocks").distinct().groupBy("leader").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("all"))  # as many entries as bands
+    per = written(per, "join-bands")  # so that Spark can split a hot leader in the join below
     beside = F.filter(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: (b >= 0) & ((b > 0) | (F.col("band") > 0)) & F.map_contains_key("all", b))
     others = F.flatten(F.transform(beside, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("all", b) - 1), lambda k: F.struct(b.alias("band"), k.alias("block")))))
     mine = F.struct("band", "block")
