@@ -245,11 +245,19 @@ def weighted(counts: DataFrame, idf: DataFrame, id: str) -> DataFrame:
 
 
 def most_similar(queries: DataFrame, rows: DataFrame, query: str, id: str, least: float = 0.8, digits: int = 6) -> DataFrame:
-    """(query, id, score): each query's most similar row by cosine of weights, if at least `least`; ties to the least id.
+    """(query, id, score): each query's most similar row by cosine of unit weights, if at least `least`; ties to the least id.
 
-    Pairs come from shared terms alone; frequent terms were left out by tf_idf's max_df.
+    A query's most frequent terms whose weights together are shorter than
+    `least` can't reach it alone, so a similar row shares one of the others:
+    only these meet the rows' terms, and what they meet is scored in full.
     """
-    met = queries.select(query, "term", F.col("w").alias("_q")).join(rows.select(id, "term", F.col("w").alias("_r")), "term")
+    frequency = rows.groupBy("term").agg(F.count("*").alias("_df"))
+    often = W.partitionBy(query).orderBy(F.desc("_df"), "term").rowsBetween(W.unboundedPreceding, 0)
+    asked = queries.select(query, "term", F.col("w").alias("_q"))
+    rare = asked.join(frequency, "term").withColumn("_length", F.sum(F.col("_q") * F.col("_q")).over(often)).where(F.col("_length") >= max(0.0, least - 10.0**-digits) ** 2)
+    held = rows.select(id, "term", F.col("w").alias("_r"))
+    candidates = rare.select(query, "term").join(held.select(id, "term"), "term").select(query, id).distinct()
+    met = candidates.join(asked, query).join(held, [id, "term"])
     scores = met.groupBy(query, id).agg(F.round(F.sum(F.col("_q") * F.col("_r")), digits).alias("score")).where(F.col("score") >= least)
     best = W.partitionBy(query).orderBy(F.desc("score"), id)
     return scores.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").drop("_turn")

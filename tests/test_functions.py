@@ -232,3 +232,23 @@ def test_trial_filters(spark):
     rows = spark.createDataFrame([("1", "Interventional", 5, [("Drug",)]), ("2", "Interventional", 50, [("Device",)]), ("3", "Observational", 500, [("Drug",)])], kind)
     assert [r.nct_id for r in trials.drug_trials(rows).collect()] == ["1"]
     assert trials.larger_than(rows, "enrollment", 10).count() == 2 and trials.larger_than(rows, "enrollment", 0).count() == 3
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.8])
+def test_most_similar_rows_match_brute_force(spark, least):
+    import random
+
+    r = random.Random(8)
+    texts = [(k, [r.choice("aaaabbbcdefghij") for _ in range(r.randint(2, 8))]) for k in range(60)]
+    docs = spark.createDataFrame(texts, "id int, words array<string>")
+    weights, _ = linking.tf_idf(docs, "id", "words", 1.0)
+    vectors = {}
+    for row in weights.collect():
+        vectors.setdefault(row.id, {})[row.term] = row.w
+    wanted = []
+    for q in vectors:
+        scored = sorted((-round(sum(w * vectors[i].get(t, 0) for t, w in vectors[q].items()), 6), i) for i in vectors if i % 2 and not q % 2)
+        if scored and -scored[0][0] >= least:
+            wanted.append((q, scored[0][1], -scored[0][0]))
+    found = linking.most_similar(weights.where("id % 2 = 0").withColumnRenamed("id", "query"), weights.where("id % 2 = 1"), "query", "id", least)
+    assert sorted((x.query, x.id, x.score) for x in found.collect()) == sorted(wanted)
