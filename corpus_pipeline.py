@@ -1,4 +1,10 @@
-"""The corpus pipeline: language, near copies, secrets, mix, packing, each stage on all that its predecessor kept."""
+"""The corpus pipeline: language, near copies, secrets, mix, packing, each stage on all that its predecessor kept.
+
+Every stage takes and returns the columns of its documents, whatever else is
+among them and under whatever names; the last returns pieces. An empty table
+gives an empty one. What becomes of null and empty texts, null ids, repeated
+rows and very long texts is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +16,41 @@ from kgspark.session import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; lang becomes the prediction."""
+    """Documents in a learned language; lang becomes the prediction.
+
+    Null texts and texts without a letter are in no language and go, and so do
+    all if no document teaches a language. Repeated rows stay or go together;
+    a document without an id is judged, but teaches nothing.
+    """
     return languages.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents: that of the smallest doc_id."""
+    """One document of each class of linked documents: that of the smallest doc_id.
+
+    Texts without words, and documents without an id, are linked with nothing
+    and stay. Of rows equal in id and text one stays; rows of one id with texts
+    that aren't linked stay. Long texts are sets like any other.
+    """
     return near_copies.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced by a mark."""
+    """Every document, with its secrets replaced by a mark; a null text becomes an empty one."""
     return secrets.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Documents without words are not taken. A null source is one of the
+    sources, the last; repeated rows are documents of their own.
+    """
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences; a document taken twice is packed twice."""
+    """The pieces of the packed sequences; a document taken twice is packed twice, an empty one gives its end id alone."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
