@@ -76,14 +76,26 @@ def concept_map(nodes: DataFrame, same: DataFrame, node: str = "id") -> DataFram
     return every.select(F.col("_id").alias("node"), F.coalesce("component", "_id").alias("concept"))
 
 
-def contract(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Edges between concepts: equivalences go, parallel edges become one with the list of their attributes."""
+def contract(edges: DataFrame, concepts: DataFrame, lists: bool = True) -> DataFrame:
+    """Edges between concepts: equivalences go, parallel edges become one with the list of their attributes.
+
+    A pair of concepts with very many parallel edges makes a long list; with
+    lists=False there are none, and contracted_attrs() has them row by row.
+    """
+    grouped = _between_concepts(edges, concepts).groupBy(F.col("src_concept").alias("src"), F.col("dst_concept").alias("dst"), "relation")
+    attrs = F.array_sort(F.collect_list("attrs")) if lists and "attrs" in edges.columns else F.array().cast("array<string>")
+    return grouped.agg(F.count("*").alias("n"), attrs.alias("attrs"))
+
+
+def _between_concepts(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     of = lambda end: concepts.select(F.col("node").alias(f"_{end}"), F.col("concept").alias(f"{end}_concept"))
     kept = edges.where(F.col("relation") != SAME)
-    joined = kept.join(of("src"), F.col("src") == F.col("_src")).join(of("dst"), F.col("dst") == F.col("_dst"))
-    grouped = joined.groupBy(F.col("src_concept").alias("src"), F.col("dst_concept").alias("dst"), "relation")
-    attrs = F.array_sort(F.collect_list("attrs")) if "attrs" in edges.columns else F.array().cast("array<string>")
-    return grouped.agg(F.count("*").alias("n"), attrs.alias("attrs"))
+    return kept.join(of("src"), F.col("src") == F.col("_src")).join(of("dst"), F.col("dst") == F.col("_dst"))
+
+
+def contracted_attrs(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(src, dst, relation, attrs) between concepts, one row per parallel edge with attributes."""
+    return _between_concepts(edges, concepts).where("attrs is not null").select(F.col("src_concept").alias("src"), F.col("dst_concept").alias("dst"), "relation", "attrs")
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_depth: int = 64) -> DataFrame:

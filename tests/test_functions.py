@@ -252,3 +252,12 @@ def test_most_similar_rows_match_brute_force(spark, least):
             wanted.append((q, scored[0][1], -scored[0][0]))
     found = linking.most_similar(weights.where("id % 2 = 0").withColumnRenamed("id", "query"), weights.where("id % 2 = 1"), "query", "id", least)
     assert sorted((x.query, x.id, x.score) for x in found.collect()) == sorted(wanted)
+
+
+def test_contraction_keeps_attributes(spark):
+    edges = spark.createDataFrame([(1, 3, "r", "x"), (2, 3, "r", "a"), (1, 2, graph.SAME, "s"), (1, 4, "r", None)], "src int, dst int, relation string, attrs string")
+    nodes = spark.createDataFrame([(k,) for k in range(1, 5)], "id int")
+    concepts = graph.concept_map(nodes, edges.where(F.col("relation") == graph.SAME))
+    assert sorted(map(tuple, graph.contract(edges, concepts).collect())) == [(1, 3, "r", 2, ["a", "x"]), (1, 4, "r", 1, [])]
+    assert sorted(map(tuple, graph.contracted_attrs(edges, concepts).collect())) == [(1, 3, "r", "a"), (1, 3, "r", "x")]
+    assert sorted(r.n for r in graph.contract(edges, concepts, lists=False).collect()) == [1, 2]
