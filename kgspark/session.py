@@ -30,7 +30,7 @@ def _root(spark: SparkSession) -> str:
     """This application's folder in the shared one; what is left in it goes when the driver's JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         root = LOCAL_SHARED
     return f"{root.rstrip('/')}/kgspark/{spark.sparkContext.applicationId}"
