@@ -91,8 +91,7 @@ def _round(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _keyed(docs: DataFrame, id, source, text) -> DataFrame:
     """docs with _id, _source, _size, _hash; rows of equal key are equal to the mix, and _nth numbers them."""
-    keyed = docs.withColumns({"_id": F.col(id).cast("long"), "_source": F.col(source).cast("string"), "_size": n_words(F.col(text)), "_hash": F.xxhash64(text)})
-    return keyed
+    return docs.withColumns({"_id": F.col(id).cast("long"), "_source": F.col(source).cast("string"), "_size": n_words(F.col(text)), "_hash": F.xxhash64(text)})
 
 
 def _numbered(keyed: DataFrame) -> DataFrame:

@@ -359,12 +359,48 @@ def test_pipeline_packs_what_the_stages_keep(spark):
     assert packed.agg(F.sum("length")).first()[0] == sum(len(encode(t)) for _, t in texts(docs))
 
 
-def test_stages_take_edge_cases(spark, edges):
+def test_stages_take_edge_cases(spark, edges, empty):
+    """Each stage by itself on the table of edge cases: what its docstring says of them."""
     import corpus_pipeline
 
-    docs = edges
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        assert name == "pack" or out.columns == edges.columns
-        assert out.count() >= 0
-        docs = out
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(known(r.doc_id) for r in df.select("doc_id").collect())
+    every = ids(edges)
+    kept = stage["language"](spark, edges, SF)
+    assert kept.columns == edges.columns and not {1_000_001, 1_000_002, 1_000_003} & set(ids(kept)) and {1_000_009, 1_000_010} <= set(ids(kept))
+    assert all(r.lang in ("en", "de", "fr") for r in kept.select("lang").collect())
+    one = stage["near_duplicates"](spark, edges, SF)
+    assert one.columns == edges.columns
+    gone = sorted(set(every) - set(ids(one)))
+    assert gone == [1_000_006] and ids(one).count(1_000_008) == 2 and ids(one).count(1_000_009) == 1 and {-1, 1_000_001, 1_000_002, 1_000_003} <= set(ids(one))
+    clean = stage["secrets"](spark, edges, SF)
+    assert clean.columns == edges.columns and ids(clean) == every
+    of = {r.doc_id: r.text for r in clean.collect()}
+    assert of[1_000_001] == "" and "[SECRET]" in of[1_000_007] and "deadbeefdeadbeef00" not in of[1_000_007] and of[1_000_010] == "long words of a very long text " * 20_000
+    taken = stage["mix"](spark, edges, SF)
+    assert taken.columns == edges.columns and not {1_000_001, 1_000_002, 1_000_003} & set(ids(taken)) and max(map(ids(taken).count, set(ids(taken)))) <= 4
+    packed = stage["pack"](spark, edges, SF)
+    encode = ids_of("word_bpe_49k.json")
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(encode(t)) for _, t in texts(edges))
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, SF).count() == 0, name
+
+
+def test_stages_act_on_all_that_was_kept(spark):
+    """On a whole table each stage's own digest explains what it kept."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = queries.table(spark, SF, "documents")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    kept = stage["language"](spark, docs, SF)
+    assert set(ids(kept)) <= lettered and len(ids(kept)) >= 0.95 * len(lettered)
+    least = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert ids(stage["near_duplicates"](spark, docs, SF)) == sorted(set(least.values()))
+    clean = {r.doc_id: r.text for r in stage["secrets"](spark, docs, SF).collect()}
+    for r in secrets.digest(docs).collect():
+        assert ("[SECRET]" in clean[r.doc_id]) == (r.spans != "") and sum(brute_secrets(clean[r.doc_id])[:3]) == 0
+    copies = {r.doc_id: r.copies for r in mixing.mixed(docs).collect()}
+    taken = ids(stage["mix"](spark, docs, SF))
+    assert {i: taken.count(i) for i in copies} == copies
