@@ -128,8 +128,12 @@ def meta_rows(langs: list, sources: list, sizes: list) -> Rows:
 
 def evidence(x: Rows, y: np.ndarray, size: int) -> np.ndarray:
     """What each column counts, from 0 to 1, by how far its log-odds ratio is from zero: rare columns count less, and none is cut at a height."""
-    owner = np.repeat(y > 0.5, np.diff(x.ends))
-    with_one, without = np.bincount(x.index[owner], minlength=size) + 0.5, np.bincount(x.index[~owner], minlength=size) + 0.5
+    with_one, without = np.full(size, 0.5), np.full(size, 0.5)
+    for low in range(0, len(y), 512):  # in blocks of rows, so that what they take is bounded
+        ends = x.ends[low : low + 513]
+        index, owner = x.index[ends[0] : ends[-1]], np.repeat(y[low : low + 512] > 0.5, np.diff(ends))
+        with_one += np.bincount(index[owner], minlength=size)
+        without += np.bincount(index[~owner], minlength=size)
     ones, zeros = (y > 0.5).sum() + 1, (y <= 0.5).sum() + 1
     ratio = np.log(with_one / (ones - with_one)) - np.log(without / (zeros - without))
     sure = np.abs(ratio) / np.sqrt(1 / with_one + 1 / (ones - with_one) + 1 / without + 1 / (zeros - without))
