@@ -55,6 +55,8 @@ PERCENT = 75
 FREQUENT = 64
 #: Least and most bits of a hash that place it in the table of frequencies, and of a set's name in the filter of names.
 TABLE_BITS = (16, 26)
+#: Documents whose tokens are counted together where they are read.
+SCAN_ROWS = 2500
 #: Sets and tokens in a block; a task holds two blocks at most.
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Columns of a strip of the matrix that counts overlaps.
@@ -86,7 +88,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     def read(batches):
         from kgspark.llm.words import shingle_sets, slices
 
-        for batch in batches:
+        for batch in (b.slice(at, SCAN_ROWS) for b in batches for at in range(0, b.num_rows, SCAN_ROWS)):
             texts, ids, seen, sizes, names = batch.column("text").to_pylist(), batch.column("doc_id"), [], [], []
             for _, encoded in slices(texts):
                 for tokens in shingle_sets(encoded, words):
