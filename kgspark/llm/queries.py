@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import fingerprints, languages, mixing, near_copies, orc_tokens, packing, private_data, quality, secrets, topk
+from kgspark.llm import byte_pairs, fingerprints, languages, mixing, near_copies, orc_tokens, packing, private_data, quality, secrets, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op10_private_data(spark: SparkSession, sf: str) -> DataFrame:
     return private_data.digest(table(spark, sf, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.digest(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -70,6 +76,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_copies": op9_near_copies,
     "op10_private_data": op10_private_data,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 TOP_K_SQL = """
     WITH e AS (SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT))) AS v FROM embeddings
