@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm import byte_pairs, fingerprints, languages, merkle, mixing, near_copies, orc_tokens, packing, private_data, quality, secrets, topk
+from kgspark.llm import byte_pairs, fingerprints, languages, merkle, mixing, near_copies, orc_tokens, packing, private_data, quality, secrets, topk, vector_codes
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_private_data(spark: SparkSession, sf: str) -> DataFrame:
     return private_data.digest(table(spark, sf, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(table(spark, sf, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_copies": op9_near_copies,
     "op10_private_data": op10_private_data,
+    "op11_vector_codes": op11_vector_codes,
     "op12_merkle": op12_merkle,
     "op13_byte_pairs": op13_byte_pairs,
 }
@@ -103,4 +108,4 @@ NEAR_COPIES_SQL = r"""
     c AS (SELECT a, min(b) AS c FROM r GROUP BY 1)
     SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id
     FROM s LEFT JOIN e USING (doc_id) LEFT JOIN one USING (name) LEFT JOIN c ON c.a = one.a"""
-ORACLES = {"op2_secrets": secrets.oracle(), "op4_top_k": TOP_K_SQL, "op9_near_copies": NEAR_COPIES_SQL, "op12_merkle": merkle.ORACLE}
+ORACLES = {"op2_secrets": secrets.oracle(), "op4_top_k": TOP_K_SQL, "op9_near_copies": NEAR_COPIES_SQL, "op11_vector_codes": vector_codes.ORACLE, "op12_merkle": merkle.ORACLE}
