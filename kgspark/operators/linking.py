@@ -275,25 +275,6 @@ def phrases(docs: DataFrame, id: str, words: str, min_count: int = 5, threshold:
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
-def _run(words: str, n: int):
-    """The n words from a place on, joined; a higher-order function takes lambdas of one parameter as they are meant."""
-    return lambda i: F.array_join(F.slice(words, i, n), "_")
-
-
-def vocabulary_hits(docs: DataFrame, id: str, words: str, vocabulary: DataFrame, max_words: int = 3) -> DataFrame:
-    """(id, cluster): documents that hold a vocabulary token(token, cluster) as a run of whole words, joined by _.
-
-    Runs of up to max_words words are joined to the tokens: an equi-join in
-    place of a substring test against every token.
-    """
-    runs = None
-    for n in range(1, max_words + 1):
-        run = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), _run(words, n))
-        part = docs.where(F.size(words) >= n).select(id, F.explode(run).alias("token"))
-        runs = part if runs is None else runs.union(part)
-    return runs.distinct().join(vocabulary, "token").select(id, "cluster").distinct()
-
-
 def uncontained(rows: DataFrame, key: str, name: str) -> DataFrame:
     """rows without the names that another name of the same key contains."""
     other = rows.select(F.col(key).alias("_key"), F.col(name).alias("_other")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import linking
+from kgspark.operators import automata, linking
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,7 +50,23 @@ def vocab_token_contains(spark, sf):
     """Documents that hold the first three words of a benchmark item in a row."""
     items = _words(_table(spark, sf, "benchmark"), "item_id").where(F.size("words") >= 3)
     vocabulary = items.select(F.array_join(F.slice("words", 1, 3), "_").alias("token"), F.col("item_id").alias("cluster"))
-    return linking.vocabulary_hits(_words(_table(spark, sf, "documents"), "doc_id"), "doc_id", "words", vocabulary, 3)
+    return automata.vocabulary_hits(_words(_table(spark, sf, "documents"), "doc_id"), "doc_id", "words", vocabulary)
+
+
+def vocab_phrase_contains(spark, sf):
+    """Documents, their words joined in twos and threes as phrases are, that hold the first two to six words of a benchmark item in a row."""
+    items = _words(_table(spark, sf, "benchmark"), "item_id").where(F.size("words") >= 6)
+    first = F.slice("words", F.lit(1), (F.lit(2) + F.col("item_id") % 5).cast("int"))
+    vocabulary = items.select(F.array_join(first, "_").alias("token"), (F.col("item_id") % 50).alias("cluster"))
+    docs = _words(_table(spark, sf, "documents"), "doc_id")
+    joined = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 5)).cast("int")), _phrases_at)
+    return automata.vocabulary_hits(docs.select("doc_id", F.flatten(joined).alias("words")), "doc_id", "words", vocabulary)
+
+
+def _phrases_at(k):
+    """The phrase of two words and that of three from word 5 k on."""
+    pair = lambda start, n: F.array_join(F.slice("words", start, F.lit(n)), "_")
+    return F.filter(F.array(pair(k * 5 + 1, 2), pair(k * 5 + 3, 3)), lambda w: w != "")
 
 
 def synonym_index(spark, sf):
@@ -171,6 +187,7 @@ ORACLES = {
         z AS (SELECT item_id, words, 1 AS i, 0 AS n FROM w UNION ALL SELECT item_id, words, i + CASE WHEN k.a IS NULL THEN 1 ELSE 2 END, n + 1 FROM z LEFT JOIN k ON k.a = words[i] AND k.b = words[i + 1] WHERE i <= len(words))
         SELECT item_id, CAST(max(n) AS INT) AS n, array_to_string(any_value(words), ' ') AS text FROM z GROUP BY 1""",
     "vocab_token_contains": f"WITH q AS ({W('benchmark', 'item_id')}), d AS ({W('documents', 'doc_id')}) SELECT DISTINCT doc_id, item_id AS cluster FROM d, q WHERE len(q.words) >= 3 AND contains(' ' || array_to_string(d.words, ' ') || ' ', ' ' || array_to_string(q.words[1:3], ' ') || ' ')",
+    "vocab_phrase_contains": f"WITH q AS ({W('benchmark', 'item_id')}), d AS ({W('documents', 'doc_id')}) SELECT DISTINCT doc_id, item_id % 50 AS cluster FROM d, q WHERE len(q.words) >= 6 AND contains(' ' || array_to_string(d.words, ' ') || ' ', ' ' || array_to_string(q.words[1:2 + item_id % 5], ' ') || ' ')",
     "synonym_index": "WITH s AS (SELECT lower(p_name) AS name, p_partkey AS id FROM part UNION SELECT lower(p_brand), p_partkey FROM part) SELECT name, CAST(count(*) AS INT) AS n, min(id) AS least, max(id) AS most FROM s WHERE length(name) >= 4 GROUP BY 1",
     "condition_links": "SELECT c_custkey AS trial, CASE WHEN c_custkey % 7 = 0 THEN 'D' || n_nationkey WHEN c_custkey % 5 = 0 THEN 'D' || n_nationkey || ',HEALTHY' ELSE 'D' || n_nationkey || ',S' || c_mktsegment[1] END AS ids, c_custkey % 7 <> 0 AS complete FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "drug_code_chain": """WITH b AS (SELECT p_partkey, p_size, p_partkey % 6 AS k, lower(replace(p_brand, '#', '')) AS brand FROM part), s AS (SELECT brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), ',' ORDER BY p_partkey) AS ids, count(*) AS n FROM b WHERE k = 1 GROUP BY 1)
