@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import components
+from kgspark.operators.draws import drawn_by
 from kgspark.operators.ordered import running_sums
 from kgspark.session import written
 
@@ -237,9 +238,14 @@ def negatives(triples: DataFrame, n_nodes: int, per_positive: int, seed: int = 0
 
 
 def divide_edges(triples: DataFrame, share: float = 0.3, seed: int = 0) -> DataFrame:
-    """triples with `supervised`: about `share` of each relation's edges, by a hash of the edge."""
-    bucket = F.pmod(F.xxhash64("h", "r", "t", F.lit(seed)), F.lit(1_000_000))
-    return triples.withColumn("supervised", bucket < int(share * 1_000_000))
+    """triples with `supervised`: the edges that int(share * n) draws with replacement hit, of the n edges of each relation; the others pass messages.
+
+    An edge that stands in several rows is supervised in all of them or in none.
+    """
+    hit = drawn_by(triples.select("h", "r", "t"), F.col("r"), ["h", "r", "t"], F.floor(F.col("n") * share), seed).select("h", "r", "t").distinct()
+    hit = hit.select(F.col("h").alias("_h"), F.col("r").alias("_r"), F.col("t").alias("_t"), F.lit(True).alias("_hit"))
+    same = F.col("h").eqNullSafe(F.col("_h")) & F.col("r").eqNullSafe(F.col("_r")) & F.col("t").eqNullSafe(F.col("_t"))
+    return triples.join(hit, same, "left").withColumn("supervised", F.coalesce("_hit", F.lit(False))).drop("_h", "_r", "_t", "_hit")
 
 
 def inject_node(edges: DataFrame, node: int, new_edges: DataFrame, n_relations: int, required: list[int], dummy: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.components import components
+from kgspark.operators.draws import drawn
 from kgspark.operators.ordered import running_sums
 
 
@@ -110,26 +111,6 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"))
 
 
-def drawn(rows: DataFrame, key: str, draws: int, seed: int = 34) -> DataFrame:
-    """rows, as often as `draws` seeded draws with replacement hit them: a row of n is hit about Poisson(draws / n) times.
-
-    Each row's number comes from a hash of its key alone, so no order over rows is needed.
-    """
-    n = rows.agg(F.count("*").alias("_n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
-    joined = rows.crossJoin(F.broadcast(n)).withColumn("_rate", F.lit(float(draws)) / F.col("_n"))  # one row
-    # Quantile of a Poisson number at u: how many of its cumulated probabilities lie at or below u.
-    first = F.exp(-F.col("_rate"))
-    start = F.struct(first.alias("term"), first.alias("total"), F.lit(0).alias("times"))
-
-    def step(s: Column, k: Column) -> Column:
-        term = s["term"] * F.col("_rate") / k
-        return F.struct(term.alias("term"), (s["total"] + term).alias("total"), (s["times"] + F.when(u >= s["total"], 1).otherwise(0)).alias("times"))
-
-    times = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["times"])
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_rate", "_times")
-
-
 def by_list(values: Column, listed: list) -> Column:
     """test if any of the values is listed, else train."""
     return F.when(F.arrays_overlap(values, F.array(*map(F.lit, listed))), "test").otherwise("train")
@@ -160,7 +141,7 @@ def balanced(rows: DataFrame, label: str, key: str, ratio: int = 10, seed: int =
     """All positives, and negatives by hash up to about ratio times as many; with `replace`, drawn with replacement."""
     if replace:
         positives = rows.where(F.col(label) == 1)
-        return positives.withColumn("draw", F.lit(1)).unionByName(drawn(rows.where(F.col(label) == 0), key, ratio * positives.count(), seed))
+        return positives.withColumn("draw", F.lit(1).cast("long")).unionByName(drawn(rows.where(F.col(label) == 0), key, ratio * positives.count(), seed))
     counts = rows.agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
     part = F.pmod(hash_order(key, seed=seed), F.lit(1_000_000)) / 1e6
     joined = rows.crossJoin(F.broadcast(counts))  # one row
