@@ -85,70 +85,6 @@ def consistent_code(mentions: DataFrame, key: str, code: str) -> DataFrame:
     return codes.where("low = high").select(key, F.col("low").alias(code))
 
 
-def drug_chain(drugs: DataFrame, names: DataFrame, codes: DataFrame, preferred: DataFrame) -> DataFrame:
-    """(key, tier, ids) for drugs(key, name, code): the first tier of the chain that resolves.
-
-    1 the name, if it has exactly one id; 2 the code among external ids, 3 in
-    the vocabulary's map (codes: code, map, id with map external or
-    vocabulary or precomputed); 4 the parts of the code's preferred name; 5 the
-    precomputed map; 6 the name with several ids; 7 the name with its hyphens
-    as spaces; 8 both halves of a two-part name, each longer than 3.
-    """
-    base = drugs.withColumn("name", T.rewritten(T.strip_code(F.col("name")), T.NAME_REWRITES))
-    spaced = F.replace("name", F.lit("-"), F.lit(" "))
-    wanted = base.select(F.explode(F.array_union(F.array("name", spaced), F.split("name", "-"))).alias("name"))
-    parts = preferred.select("code", F.explode(T.alias_parts(F.lower("preferred"))).alias("name"))
-    known = by_priority(names, wanted.union(parts.select("name"))).select("name", "ids")
-    look = known.select(F.col("name").alias("_n"), F.col("ids").alias("_ids"))
-    by_name = lambda column: base.select("key", column.alias("_c")).join(look, F.col("_c") == F.col("_n")).select("key", "_ids")
-    tier = lambda df, k: df.select("key", F.lit(k).alias("tier"), F.col("_ids").alias("ids"))
-    named = by_name(F.col("name"))
-    coded = lambda kind: base.join(codes.where(F.col("map") == kind), "code").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("_ids"))
-    via = base.select("key", "code").join(parts, "code").join(look, F.col("name") == F.col("_n")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("_ids"))
-    halves = base.where(F.size(F.split("name", "-")) == 2).select("key", F.explode(F.split("name", "-")).alias("_c")).where(F.length("_c") > 3)
-    both = halves.join(look, F.col("_c") == F.col("_n")).groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ids")))).alias("_ids")).where("n = 2")
-    tiers = [
-        tier(named.where(F.size("_ids") == 1), 1),
-        tier(coded("external"), 2),
-        tier(coded("vocabulary"), 3),
-        tier(via, 4),
-        tier(coded("precomputed"), 5),
-        tier(named, 6),
-        tier(by_name(F.when(F.col("name").contains("-"), spaced)), 7),
-        tier(both, 8),
-    ]
-    found = tiers[0]
-    for more in tiers[1:]:
-        found = found.union(more)
-    best = found.groupBy("key").agg(F.min(F.struct("tier", "ids")).alias("b")).select("key", "b.tier", "b.ids")
-    return drugs.select("key").join(best, "key", "left")
-
-
-def link_interventions(interventions: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, ids, incomplete, non_drug) for interventions(key, type, name, other_names).
-
-    Placebos without a conjunction are PLACEBO; other kinds than Drug are
-    non-drug. If all other names resolve, their ids count unless the name
-    gives fewer; else the name's; else what some other name gives, incomplete.
-    """
-    low = F.lower("name")
-    placebo = T.is_placebo(low) & ~low.rlike(r" (and|with|or|plus) |\+|/")
-    base = interventions.select("key", "type", low.alias("name"), F.transform(F.coalesce("other_names", F.array().cast("array<string>")), F.lower).alias("others"), placebo.alias("placebo"))
-    look = names.select(F.lower("name").alias("_n"), F.col("id").alias("_id"))
-    mine = base.join(look, F.col("name") == F.col("_n")).groupBy("key").agg(F.array_sort(F.collect_set("_id")).alias("mine"))
-    other = base.select("key", F.explode("others").alias("o")).join(look, F.col("o") == F.col("_n"), "left")
-    other = other.groupBy("key").agg(F.array_sort(F.collect_set("_id")).alias("theirs"), F.bool_and(F.col("_id").isNotNull()).alias("all_found"))
-    joined = base.join(mine, "key", "left").join(other, "key", "left")
-    none = F.array().cast("array<string>")
-    theirs, own = F.coalesce("theirs", none), F.coalesce("mine", none)
-    fewer = (F.size(own) > 0) & (F.size(own) < F.size(theirs))
-    found = F.when(F.col("all_found") & ~fewer, theirs).when(F.size(own) > 0, own).otherwise(theirs)
-    non_drug = F.col("type") != "Drug"
-    ids = F.when(F.col("placebo"), F.array(F.lit("PLACEBO"))).when(non_drug, none).otherwise(found)
-    resolved = F.col("placebo") | F.coalesce(F.col("all_found"), F.lit(False)) | (F.size(own) > 0)
-    return joined.select("key", ids.alias("ids"), (~non_drug & ~resolved).alias("incomplete"), (non_drug & ~F.col("placebo")).alias("non_drug"))
-
-
 def match_groups(groups: DataFrame, arms: DataFrame) -> DataFrame:
     """(trial, group_id, arm_id, stage): each result group's arm, by the first stage that fits; groups(trial, group_id, title, description), arms(trial, arm_id, label).
 

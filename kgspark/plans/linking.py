@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import automata, linking
+from kgspark.operators import automata, linking, resolution
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -100,7 +100,28 @@ def drug_code_chain(spark, sf):
     codes = part.where("p_size % 3 = 0").select(_text("p_size").alias("code"), F.lit("external").alias("map"), F.concat(F.lit("E"), _text("p_size")).alias("id")).distinct()
     codes = codes.unionByName(part.where("p_size % 3 <> 2").select(_text("p_size").alias("code"), F.lit("precomputed").alias("map"), F.concat(F.lit("P"), _text("p_size")).alias("id")).distinct())
     preferred = part.where("p_size = 20").select(_text("p_size").alias("code"), F.lit("Half (Brandless)").alias("preferred")).distinct()
-    return linking.drug_chain(drugs, names, codes, preferred).select("key", "tier", F.array_join("ids", ",").alias("ids"))
+    return resolution.resolve(drugs, names, codes, preferred).select("key", "tier", F.array_join("ids", ",").alias("ids"))
+
+
+def intervention_drugs(spark, sf):
+    """Parts as interventions of eight kinds: devices, placebos, known names, other names, mixtures with placebo, unknown ones, coded mentions, drugs' own names."""
+    part, kind, k = _table(spark, sf, "part"), F.col("p_partkey") % 8, _text("p_partkey")
+    size = _text("p_size")
+    none = F.array().cast("array<string>")
+    mention = lambda *m: F.array(*[F.struct(a.alias("text"), b.alias("code")) for a, b in m])
+    no_mention = F.array().cast("array<struct<text:string,code:string>>")
+    name = F.when(kind == 0, F.lit("Pump")).when(kind == 1, "Placebo tablets").when(kind == 2, F.concat(F.lit("Single"), k)).when(kind == 3, F.concat(F.lit("Mixed "), k)).when(kind == 4, F.concat(F.lit("Single"), k, F.lit(" plus placebo")))
+    name = name.when(kind == 5, F.concat(F.lit("unheard of "), k)).when(kind == 6, F.concat(F.lit("extract number "), size)).otherwise(F.concat(F.lit("Owned"), k, F.lit(" or single"), k))
+    others = F.when(kind == 3, F.array(F.concat(F.lit("single"), k), F.concat(F.lit("common "), size))).otherwise(none)
+    mentions = F.when(kind == 4, mention((F.concat(F.lit("single"), k), F.lit("")))).when(kind == 5, mention((F.lit("unheard of"), F.lit("")))).when(kind == 6, mention((F.lit("extract number"), size)))
+    mentions = mentions.when(kind == 7, mention((F.concat(F.lit("single"), k), F.lit("")), (F.lit("owned"), F.lit("77")))).otherwise(no_mention)
+    rows = part.select(F.col("p_partkey").alias("key"), F.when(kind == 0, "Device").otherwise("Drug").alias("type"), name.alias("name"), others.alias("other_names"), mentions.alias("mentions"), no_mention.alias("other_mentions"))
+    names = part.select(F.concat(F.lit("single"), k).alias("name"), F.lit("primary").alias("category"), F.concat(F.lit("S"), k).alias("id"))
+    names = names.unionByName(part.where("p_size % 2 = 0").select(F.concat(F.lit("common "), size).alias("name"), F.lit("brand").alias("category"), F.concat(F.lit("C"), size).alias("id")).distinct())
+    codes = part.where("p_size % 3 = 0").select(size.alias("code"), F.lit("external").alias("map"), F.concat(F.lit("E"), size).alias("id")).distinct()
+    primary = part.where((kind == 7) & (F.col("p_size") % 2 == 0)).select(F.concat(F.lit("S"), k).alias("id"), F.concat(F.lit("OWNED"), k, F.lit(" or single"), k).alias("name"))
+    found = resolution.link_interventions(rows, names, codes, codes.select("code", F.lit("").alias("preferred")).where("false"), primary)
+    return found.select("key", F.array_join("ids", ",").alias("ids"), "incomplete", "non_drug")
 
 
 def concept_back_fill(spark, sf):
@@ -193,6 +214,10 @@ ORACLES = {
     "drug_code_chain": """WITH b AS (SELECT p_partkey, p_size, p_partkey % 6 AS k, lower(replace(p_brand, '#', '')) AS brand FROM part), s AS (SELECT brand, string_agg(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), ',' ORDER BY p_partkey) AS ids, count(*) AS n FROM b WHERE k = 1 GROUP BY 1)
         SELECT p_partkey AS key, CAST(CASE WHEN k = 0 THEN 1 WHEN k IN (1, 5) THEN CASE WHEN n = 1 THEN 1 WHEN n > 1 THEN 6 END WHEN k = 2 THEN CASE WHEN p_size % 3 = 0 THEN 2 WHEN p_size = 20 THEN 4 WHEN p_size % 3 = 1 THEN 5 END WHEN k = 3 THEN 7 ELSE 8 END AS INT) AS tier,
         CASE WHEN k = 0 THEN CAST(p_partkey AS VARCHAR) WHEN k IN (1, 5) THEN s.ids WHEN k = 2 THEN CASE WHEN p_size % 3 = 0 THEN 'E' || p_size WHEN p_size = 20 THEN 'H1,H2' WHEN p_size % 3 = 1 THEN 'P' || p_size END WHEN k = 3 THEN 'S' || p_size ELSE 'H1,H2' END AS ids FROM b LEFT JOIN s USING (brand)""",
+    "intervention_drugs": """WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 8 AS t FROM part)
+        SELECT k AS key, CASE t WHEN 0 THEN '' WHEN 1 THEN 'PLACEBO' WHEN 2 THEN 'S' || k WHEN 3 THEN CASE WHEN s % 2 = 0 THEN 'C' || s || ',' ELSE '' END || 'S' || k WHEN 4 THEN 'PLACEBO,S' || k
+            WHEN 5 THEN '' WHEN 6 THEN CASE WHEN s % 3 = 0 THEN 'E' || s ELSE '' END ELSE 'S' || k END AS ids,
+        t = 5 OR (t = 3 AND s % 2 <> 0) OR (t = 6 AND s % 3 <> 0) OR (t = 7 AND s % 2 <> 0) AS incomplete, t = 0 AS non_drug FROM p""",
     "concept_back_fill": "SELECT c_custkey, lower(c_mktsegment) AS orig_term, 'n' || c_nationkey AS term, CASE WHEN c_acctbal < 0 THEN 'own' WHEN c_mktsegment = 'BUILDING' THEN 'B' WHEN c_nationkey < 15 THEN 'T' || c_nationkey END AS cui FROM customer",
     "term_map": "WITH c AS (SELECT o_orderkey AS s, 't' || o_custkey % 50 AS term, 'o' || o_custkey % 70 AS orig, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 25 AS VARCHAR) END AS cui, CAST(o_orderkey % 5 AS VARCHAR) AS up FROM orders), n AS (SELECT CAST(n_nationkey AS VARCHAR) AS cui, n_name AS name FROM nation), e AS (SELECT s, 1 AS k, term, cui FROM c UNION ALL SELECT s, 2, orig, cui FROM c UNION ALL SELECT s, 0, name, cui FROM c JOIN n USING (cui) UNION ALL SELECT s, 3, name, up FROM c JOIN n ON n.cui = up WHERE c.cui IS NOT NULL) SELECT term, cui FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, k DESC) AS turn FROM e) WHERE turn = 1",
     "label_group_match": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 1), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l) SELECT l_orderkey AS trial, CAST(l_linenumber AS VARCHAR) AS group_id, l_linenumber AS arm_id, CAST(CASE WHEN n = 1 THEN 0 WHEN l_orderkey % 4 = 0 THEN 1 WHEN l_orderkey % 4 = 1 THEN 2 WHEN l_orderkey % 4 = 2 THEN 10 ELSE 11 END AS INT) AS stage FROM n",

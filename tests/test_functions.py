@@ -218,11 +218,6 @@ def test_group_matching_by_drugs_and_numbers(spark):
 
 
 def test_interventions_and_placebos(spark):
-    rows = [("1", "Drug", "Zinc", None), ("2", "Drug", "Unknown", ["iron", "zinc"]), ("3", "Other", "Placebo", None), ("4", "Device", "Pump", None), ("5", "Drug", "nothing", ["nobody"])]
-    names = spark.createDataFrame([("zinc", "Z"), ("iron", "I")], "name string, id string")
-    found = {r.key: r for r in linking.link_interventions(spark.createDataFrame(rows, "key string, type string, name string, other_names array<string>"), names).collect()}
-    assert (found["1"].ids, found["2"].ids, found["3"].ids, found["4"].ids) == (["Z"], ["I", "Z"], ["PLACEBO"], [])
-    assert found["4"].non_drug and not found["3"].non_drug and found["5"].incomplete and not found["2"].incomplete
     codes = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", ""), ("2", "a"), ("2", "b")], "key string, code string")
     assert [tuple(r) for r in linking.consistent_code(codes, "key", "code").collect()] == [("1", "a")]
 
