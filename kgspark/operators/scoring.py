@@ -5,8 +5,6 @@ features: node, vector (array<double>); edges: src, dst, etype.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,43 +41,6 @@ def relation_concat(edges: DataFrame, features: DataFrame, relations: list[int],
     return joined.select("node", total.alias("vector"))
 
 
-def projection(name: str, rows: int, columns: int, seed: int = 0) -> list[list[float]]:
-    """A seeded matrix, rows x columns, uniform within the usual bound of its size: weights that are not learned."""
-    draw, bound = random.Random(f"{seed}:{name}"), (6 / (rows + columns)) ** 0.5
-    return [[draw.uniform(-bound, bound) for _ in range(columns)] for _ in range(rows)]
-
-
-def _matrix(m: list[list[float]]) -> Column:
-    return F.array(*[F.array(*map(F.lit, row)) for row in m])
-
-
-def times(m: list[list[float]] | Column, v: Column) -> Column:
-    """Matrix (rows of weights) times vector."""
-    return F.transform(_matrix(m) if isinstance(m, list) else m, lambda row: dot(row, v))
-
-
-def mixed_embedding(nodes: DataFrame, width: int, sizes: dict[str, int], seed: int = 0) -> DataFrame:
-    """(node, vector): nodes(node, etype, vector): the projection of a vector padded to its type's size, a seeded row for nodes without one."""
-    own = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), k), F.lit(2_000_001)) / 1_000_000.0 - 1.0)
-    out = own
-    for etype, size in sizes.items():
-        fit = F.slice(F.concat(F.transform("vector", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), size)), 1, size)
-        out = F.when((F.col("etype") == etype) & F.col("vector").isNotNull(), times(projection(etype, width, size, seed), fit)).otherwise(out)
-    return nodes.select("node", out.alias("vector"))
-
-
-def relational_layer(edges: DataFrame, features: DataFrame, root: list[list[float]], weights: dict[int, list[list[float]]], bias: list[float]) -> DataFrame:
-    """(node, vector): root x own + sum over relations of weights[r] x mean of the neighbours by r + bias."""
-    means = neighbour_means(edges.where(F.col("etype").isin(list(weights))), features)
-    sent = F.lit(None).cast("array<double>")
-    for r, m in weights.items():
-        sent = F.when(F.col("etype") == r, times(m, F.col("vector"))).otherwise(sent)
-    moved = element_mean(means.select("node", sent.alias("vector")), ["node"], "vector", "sent", "sum")
-    zeros = F.array_repeat(F.lit(0.0), len(bias))
-    own = F.zip_with(times(root, F.col("vector")), F.array(*map(F.lit, bias)), lambda a, b: a + b)
-    return features.join(moved, "node", "left").select("node", F.zip_with(own, F.coalesce("sent", zeros), lambda a, b: a + b).alias("vector"))
-
-
 def softmax(score: Column, keys: list[str]) -> Column:
     """exp(score) over its sum within the keys, the largest score taken off first."""
     over = W.partitionBy(*keys)
@@ -121,12 +82,6 @@ def event_scores(arms: DataFrame, events: DataFrame, salt: int = 8) -> DataFrame
     return dealt.join(copied, "_salt").select("arm", "ae", (dot(F.col("w"), F.concat("h", "e")) + F.col("b")).alias("score"))
 
 
-def dense(v: Column, weights: list[list[float]], bias: list[float], relu: bool = True) -> Column:
-    """One layer of a perceptron."""
-    out = F.zip_with(times(weights, v), F.array(*map(F.lit, bias)), lambda a, b: a + b)
-    return F.transform(out, lambda x: F.greatest(x, F.lit(0.0))) if relu else out
-
-
 def residual(x: Column, fx: Column, how: str = "res+") -> Column:
     """x + f(x) with the activation before (res+: f's own) or after (res); plain and dense give f(x)."""
     added = F.zip_with(x, fx, lambda a, b: a + b)

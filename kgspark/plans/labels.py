@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import features, vectors
-from kgspark.operators import labels, metrics, scoring, splits
+from kgspark.operators import heads, labels, layers, metrics, scoring, splits
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,12 +75,58 @@ def concept_feature_means(spark, sf):
     return found.select("concept", "etype", F.posexplode("vector").alias("pos", "val")).select("concept", "etype", "pos", F.round("val", 4).alias("val"))
 
 
+WIDTH = 64
+
+
 def _graph(spark, sf):
-    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("vector"))
-    edges = e.select(F.col("node").alias("src"), F.explode(F.array((F.col("node") * 7) % 500, (F.col("node") * 3 + 1) % 500)).alias("dst"), (F.col("node") % 3).cast("int").alias("etype")).distinct()
+    """All vectors, whole, as nodes of two edges each; the number of nodes bounds where the edges go."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    n = e.agg(F.count("*").alias("n"))
+    edges = e.select("node").crossJoin(F.broadcast(n))  # one row
+    edges = edges.select(F.col("node").alias("src"), F.explode(F.array((F.col("node") * 7) % F.col("n"), (F.col("node") * 3 + 1) % F.col("n"))).alias("dst"), (F.col("node") % 3).cast("int").alias("etype")).distinct()
     return edges, e
 
 
+def _part_weights(spark, sf, *keys):
+    """Matrices of two columns made of all parts, by keys over the part's number."""
+    part = _table(spark, sf, "part")
+    means = part.groupBy(*keys).agg(F.avg("p_size").alias("s"), F.avg(F.col("p_retailprice").cast("double")).alias("p"))
+    return means.withColumn("values", F.array(F.col("s") / 50, F.col("p") / 2000)).drop("s", "p")
+
+
+def relational_basis_layer(spark, sf):
+    """A layer of three relations over two bases, with root and bias."""
+    edges, e = _graph(spark, sf)
+    k = F.col("p_partkey")
+    bases = _part_weights(spark, sf, (F.floor(k / 64) % 2).alias("relation"), (k % 64).cast("int").alias("row")).withColumn("block", F.lit(0))
+    root = _part_weights(spark, sf, (k % 64).cast("int").alias("row"))
+    region = _table(spark, sf, "region")
+    comp = region.select(F.col("r_regionkey").alias("relation"), F.explode(F.array(F.lit(0), F.lit(1))).alias("basis")).select("relation", "basis", ((F.col("relation") + F.col("basis")) / 5.0).alias("c"))
+    bias = region.where("r_regionkey < 2").select(F.col("r_regionkey").cast("int").alias("place"), (F.col("r_regionkey") + 0.5).cast("double").alias("value"))
+    return _long(layers.relational_layer(edges, e, bases, root, bias, comp=comp), "node")
+
+
+def relational_block_layer(spark, sf):
+    """A layer of three relations with two diagonal blocks each; edges weigh by their source."""
+    edges, e = _graph(spark, sf)
+    k = F.col("p_partkey")
+    weights = _part_weights(spark, sf, (k % 3).alias("relation"), (F.floor(k / 3) % 2).alias("block"), (F.floor(k / 6) % 32).cast("int").alias("row"))
+    weighed = edges.withColumn("weight", (F.col("src") % 5 + 1) / 5.0)
+    return _long(layers.relational_layer(weighed, e, weights, blocks=2, how="sum").where(F.size("vector") > 0), "node")
+
+
+def fitted_heads(spark, sf):
+    """The slope of three fitted heads' loss at each of their coefficients, from their chances for all rows: none is left where they are best."""
+    e = _table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    truth = F.array(*[(F.col("label") % 3 == k).cast("double") for k in range(3)])
+    model = heads.fit(e.select("vector", truth.alias("ys")), 3, WIDTH, balanced=False)
+    p = heads.scored(e, model, "vec_id").withColumnRenamed("label", "head")
+    each = p.join(e, "vec_id").select("head", (F.col("p") - (F.col("label") % 3 == F.col("head")).cast("double")).alias("d"), F.posexplode(F.concat("vector", F.array(F.lit(1.0)))).alias("place", "x"))
+    held = spark.createDataFrame([(k, j, float(model[k, j]) if j < WIDTH else 0.0) for k in range(3) for j in range(WIDTH + 1)], "head int, place int, held double")  # the model
+    slope = each.groupBy("head", "place").agg(F.sum(F.col("d") * F.col("x")).alias("s")).join(held, ["head", "place"])
+    return slope.select("head", "place", F.abs(F.round(F.col("s") + F.col("held"), 3)).alias("slope"))
+
+
 def _long(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("vector").alias("pos", "val")).withColumn("val", F.round("val", 4)).select(*keys, "pos", F.when(F.col("val") == 0, 0.0).otherwise(F.col("val")).alias("val"))  # no negative zeros
 
@@ -92,7 +138,7 @@ def relation_mean_features(spark, sf):
 
 def relation_concat_features(spark, sf):
     edges, e = _graph(spark, sf)
-    return _long(scoring.relation_concat(edges, e, [0, 1, 2], 8), "node")
+    return _long(scoring.relation_concat(edges, e, [0, 1, 2], WIDTH), "node")
 
 
 def attention_within_relation(spark, sf):
@@ -103,13 +149,13 @@ def attention_within_relation(spark, sf):
 def set_pooling(spark, sf):
     _, e = _graph(spark, sf)
     sets = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n_nationkey").cast("long"))).alias("members"))
-    return _long(scoring.set_pool(sets, "key", "members", e, 8), "key")
+    return _long(scoring.set_pool(sets, "key", "members", e, WIDTH), "key")
 
 
 def event_head_scores(spark, sf):
     _, e = _graph(spark, sf)
-    arms = e.where("node < 100").select(F.col("node").alias("arm"), F.col("vector").alias("h"))
-    events = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("ae"), F.array(F.col("n_regionkey") / 2.0).alias("e"), F.array_repeat(F.col("n_nationkey") / 10.0, 9).alias("w"), F.col("n_regionkey").cast("double").alias("b"))
+    arms = e.select(F.col("node").alias("arm"), F.col("vector").alias("h"))
+    events = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("ae"), F.array(F.col("n_regionkey") / 2.0).alias("e"), F.array_repeat(F.col("n_nationkey") / 10.0, WIDTH + 1).alias("w"), F.col("n_regionkey").cast("double").alias("b"))
     return scoring.event_scores(arms, events).select("arm", "ae", F.round("score", 4).alias("score"))
 
 
@@ -188,8 +234,8 @@ def ranking_metrics(spark, sf):
 
 
 EFFECTS = "e AS (SELECT o_custkey AS arm, CASE WHEN o_orderpriority LIKE '1%' THEN 'total' ELSE o_orderpriority END AS ae, round(avg(l_discount) * 20, 6) AS serious, round(avg(l_tax) * 120, 6) AS other FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
-FEATURES = "f AS (SELECT vec_id AS node, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 9) AS g(i))"
-GRAPH = f"{FEATURES}, d AS (SELECT DISTINCT vec_id AS src, unnest([vec_id * 7 % 500, (vec_id * 3 + 1) % 500]) AS dst, CAST(vec_id % 3 AS INT) AS etype FROM embeddings)"
+FEATURES = "f AS (SELECT vec_id AS node, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS g(i))"
+GRAPH = f"{FEATURES}, d AS (SELECT DISTINCT vec_id AS src, unnest([vec_id * 7 % n, (vec_id * 3 + 1) % n]) AS dst, CAST(vec_id % 3 AS INT) AS etype FROM embeddings, (SELECT count(*) AS n FROM embeddings))"
 MEANS = f"{GRAPH}, m AS (SELECT dst AS node, etype, pos, avg(x) AS val FROM d JOIN f ON src = f.node GROUP BY 1, 2, 3)"
 SCORES = "s AS (SELECT user_id % 30 AS label_id, round(value, 1) AS p, count(*) FILTER (event_type = 'view') AS pos, count(*) FILTER (event_type <> 'view') AS neg FROM events GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY label_id) AS np, sum(neg) OVER (PARTITION BY label_id) AS nn FROM s WINDOW d AS (PARTITION BY label_id ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), a AS (SELECT label_id, sum(pos * (nn - fp) + pos * neg / 2) / any_value(np * nn) AS auroc, any_value(np) AS np, any_value(nn) AS nn FROM c GROUP BY 1), q AS (SELECT label_id, tp / np AS r, tp / (tp + fp) AS pr, p FROM c), b AS (SELECT label_id, sum(area) AS auprc FROM (SELECT label_id, (r - lag(r, 1, 0) OVER d) * (pr + lag(pr, 1, 1) OVER d) / 2 AS area FROM q WINDOW d AS (PARTITION BY label_id ORDER BY p DESC)) GROUP BY 1), z AS (SELECT * FROM a JOIN b USING (label_id))"
 CLASS = lambda c: f"CASE WHEN {c} * 100 < 0.01 THEN 1 WHEN {c} * 100 < 0.1 THEN 2 WHEN {c} * 100 < 1 THEN 3 WHEN {c} * 100 < 10 THEN 4 ELSE 5 END"
@@ -207,10 +253,17 @@ ORACLES = {
     "prediction_select": "SELECT event_id, round(1 / (1 + exp(-value / 1000)), 6) AS p FROM events WHERE 1 / (1 + exp(-value / 1000)) > 0.51",
     "concept_feature_means": "WITH m AS (SELECT vec_id % 60 AS concept, ['UMLS', 'DRUG', 'DISEASE', 'PROTEIN', 'FUNCTION'][label + 1] AS etype, [6, 1, 2, 3, 4][label + 1] AS rank, vec_id FROM embeddings WHERE label < 5), b AS (SELECT concept, min(rank) AS rank FROM m GROUP BY 1) SELECT concept, etype, CAST(i - 1 AS INT) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS val FROM m JOIN b USING (concept, rank) JOIN embeddings USING (vec_id), range(1, 65) AS g(i) WHERE vec_id % 4 <> 0 GROUP BY 1, 2, 3",
     "relation_mean_features": f"WITH {MEANS} SELECT node, etype, CAST(pos AS INT) AS pos, round(val, 4) AS val FROM m",
-    "relation_concat_features": f"WITH {MEANS} SELECT n.node, CAST(r * 8 + n.pos AS INT) AS pos, round(CASE WHEN r = 3 THEN n.x ELSE coalesce(m.val, 0) END, 4) AS val FROM (SELECT node, pos, x, r FROM f, range(4) AS g(r)) n LEFT JOIN m ON m.node = n.node AND m.pos = n.pos AND m.etype = n.r",
-    "attention_within_relation": f"WITH {GRAPH}, s AS (SELECT d.*, sum(a.x * b.x) / sqrt(8) AS s FROM d JOIN f a ON a.node = src JOIN f b ON b.node = dst AND b.pos = a.pos GROUP BY ALL), w AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY dst, etype) AS w FROM s) SELECT dst AS node, CAST(pos AS INT) AS pos, round(sum(w * x), 4) AS val FROM w JOIN f ON f.node = src GROUP BY 1, 2",
+    "relation_concat_features": f"WITH {MEANS} SELECT n.node, CAST(r * 64 + n.pos AS INT) AS pos, round(CASE WHEN r = 3 THEN n.x ELSE coalesce(m.val, 0) END, 4) AS val FROM (SELECT node, pos, x, r FROM f, range(4) AS g(r)) n LEFT JOIN m ON m.node = n.node AND m.pos = n.pos AND m.etype = n.r",
+    "attention_within_relation": f"WITH {GRAPH}, s AS (SELECT d.*, sum(a.x * b.x) / sqrt(64) AS s FROM d JOIN f a ON a.node = src JOIN f b ON b.node = dst AND b.pos = a.pos GROUP BY ALL), w AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY dst, etype) AS w FROM s) SELECT dst AS node, CAST(pos AS INT) AS pos, round(sum(w * x), 4) AS val FROM w JOIN f ON f.node = src GROUP BY 1, 2",
+    "relational_basis_layer": f"""WITH {MEANS}, w AS (SELECT p_partkey // 64 % 2 AS basis, p_partkey % 64 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1, 2), t AS (SELECT p_partkey % 64 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1),
+        o AS (SELECT node, sum(val * (etype + basis) / 5 * w0) AS a, sum(val * (etype + basis) / 5 * w1) AS b FROM m JOIN w ON row = pos GROUP BY 1), r AS (SELECT node, sum(x * w0) AS a, sum(x * w1) AS b FROM f JOIN t ON row = pos GROUP BY 1),
+        z AS (SELECT node, [coalesce(o.a, 0) + r.a + 0.5, coalesce(o.b, 0) + r.b + 1.5] AS v FROM r LEFT JOIN o USING (node)) SELECT node, CAST(k AS INT) AS pos, round(v[k + 1], 4) AS val FROM z, range(2) AS g(k)""",
+    "relational_block_layer": f"""WITH {GRAPH}, w AS (SELECT p_partkey % 3 AS etype, p_partkey // 3 % 2 AS block, p_partkey // 6 % 32 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1, 2, 3),
+        z AS (SELECT dst AS node, block, sum(x * (src % 5 + 1) / 5 * w0) AS a, sum(x * (src % 5 + 1) / 5 * w1) AS b FROM d JOIN f ON f.node = src JOIN w ON w.etype = d.etype AND block = pos // 32 AND row = pos % 32 GROUP BY 1, 2)
+        SELECT node, CAST(block * 2 + k AS INT) AS pos, round(CASE WHEN k = 0 THEN a ELSE b END, 4) AS val FROM z, range(2) AS g(k)""",
+    "fitted_heads": "SELECT CAST(h AS INT) AS head, CAST(p AS INT) AS place, 0.0 AS slope FROM range(3) AS a(h), range(65) AS b(p)",
     "set_pooling": f"WITH {FEATURES} SELECT n_nationkey AS key, CAST(f.pos AS INT) AS pos, round(CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE avg(x) END, 4) AS val FROM nation JOIN f ON f.node <= n_nationkey GROUP BY 1, 2",
-    "event_head_scores": f"WITH {FEATURES}, h AS (SELECT node, sum(x) AS t FROM f WHERE node < 100 GROUP BY 1) SELECT node AS arm, n_nationkey AS ae, round(n_nationkey / 10 * (t + n_regionkey / 2) + n_regionkey, 4) AS score FROM h, nation",
+    "event_head_scores": f"WITH {FEATURES}, h AS (SELECT node, sum(x) AS t FROM f GROUP BY 1) SELECT node AS arm, n_nationkey AS ae, round(n_nationkey / 10 * (t + n_regionkey / 2) + n_regionkey, 4) AS score FROM h, nation",
     "self_adversarial_loss": "WITH e AS (SELECT user_id, value / 100 AS s FROM events), w AS (SELECT user_id, s, exp(s * 0.5) / sum(exp(s * 0.5)) OVER (PARTITION BY user_id) AS w FROM e) SELECT user_id, round(-(ln(1 / (1 + exp(-max(s)))) + sum(w * ln(1 / (1 + exp(s))))) / 2, 4) AS loss FROM w GROUP BY 1",
     "knn_cosine_topk": "WITH u AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS x FROM embeddings, range(1, 65) AS g(i)), s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(sum(a.x * b.x), 4) AS score FROM u a JOIN u b USING (i) WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS rank, id, score FROM s) WHERE rank <= 3",
     "l2_normalise": "WITH n AS (SELECT vec_id, i, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS v FROM embeddings, range(1, 65) AS g(i)) SELECT vec_id, CAST(i - 1 AS INT) AS pos, CASE WHEN v = 0 THEN 0 ELSE v END AS val FROM n",

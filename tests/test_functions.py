@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import features, stemmer, text
-from kgspark.operators import builders, graph, labels, linking, metrics, scoring, splits, trials
+from kgspark.operators import builders, graph, labels, layers, linking, metrics, scoring, splits, trials
 
 
 def one(spark, value, f, kind="string"):
@@ -172,8 +172,9 @@ def test_relational_layer_by_hand(spark):
     """Two nodes send over relation 0, one over relation 1."""
     features_ = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0, 6.0])], "node long, vector array<double>")
     edges = spark.createDataFrame([(1, 3, 0), (2, 3, 0), (1, 2, 1)], "src long, dst long, etype int")
-    root, w0, w1 = [[1.0, 0.0], [0.0, 1.0]], [[1.0, 1.0], [0.0, 2.0]], [[0.5, 0.0], [0.0, 0.5]]
-    out = {r.node: r.vector for r in scoring.relational_layer(edges, features_, root, {0: w0, 1: w1}, [0.1, 0.2]).collect()}
+    weights = spark.createDataFrame([(0, 0, 0, [1.0, 0.0]), (0, 0, 1, [1.0, 2.0]), (1, 0, 0, [0.5, 0.0]), (1, 0, 1, [0.0, 0.5])], "relation int, block int, row int, values array<double>")
+    root, bias = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "row int, values array<double>"), spark.createDataFrame([(0, 0.1), (1, 0.2)], "place int, value double")
+    out = {r.node: r.vector for r in layers.relational_layer(edges, features_, weights, root, bias).collect()}
     assert out[1] == pytest.approx([1.1, 2.2]) and out[2] == pytest.approx([3.1 + 0.5, 4.2 + 1.0]) and out[3] == pytest.approx([5.1 + 2 + 3, 6.2 + 6])
     same = scoring.relation_concat(edges, features_, [0, 1], 2, weights={0: 2.0, 1: 1.0}).where("node = 3").first().vector
     assert same == pytest.approx([5 + 4, 6 + 6])
@@ -181,11 +182,6 @@ def test_relational_layer_by_hand(spark):
 
 def test_embeddings_heads_and_losses(spark):
     nodes = spark.createDataFrame([(1, "DRUG", [1.0]), (2, "DRUG", None), (3, "X", [1.0, 2.0])], "node long, etype string, vector array<double>")
-    a, b = ({r.node: r.vector for r in scoring.mixed_embedding(nodes, 3, {"DRUG": 2}, s).collect()} for s in (0, 0))
-    assert a == b and all(len(v) == 3 for v in a.values())
-    m = scoring.projection("DRUG", 3, 2)
-    assert a[1] == pytest.approx([row[0] for row in m])
-    assert one(spark, [1.0, -1.0], lambda c: scoring.dense(c, [[1.0, 2.0], [1.0, 0.0]], [0.0, 0.5]), "array<double>") == [0.0, 1.5]
     assert one(spark, [1.0, -3.0], lambda c: scoring.residual(c, F.array(F.lit(1.0), F.lit(1.0)), "res"), "array<double>") == [2.0, 0.0]
     assert one(spark, 2.0, lambda c: scoring.uncertainty_weighted([(c, F.lit(0.0)), (scoring.squared_error(c, F.lit(1.0)), F.lit(0.0))]), "double") == 3.0
     assert scoring.regularisation(nodes.where("vector is not null"), "vector", 3.0).first()[0] == pytest.approx(6.0)
