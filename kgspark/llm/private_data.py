@@ -11,6 +11,8 @@ Of an entity that every text holds there is nothing to reveal: its terms score
 revealing at least DISCLOSED of it is a span of kind `term` wherever it stands,
 in texts without the entity too.
 
+Entities that the same texts name (a directory's) are counted as one class.
+
 Null texts are empty; documents of equal text are one for terms; repeated rows give repeated results; an empty table none. Other columns are
 ignored by digest() and kept by sanitised().
 """
@@ -18,6 +20,7 @@ ignored by digest() and kept by sanitised().
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -32,8 +35,8 @@ from kgspark.session import written
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2
 DISCLOSED = 0.9
-#: Bits of the filters that name the entities and the terms to look for; a value sets two of them.
-FILTER_BITS = 26
+#: Bits of the filters that name the entities and the terms to look for, as powers of two: eight a value within these bounds; a value sets two.
+FILTER_BITS = (16, 27)
 #: Parts into which the places of a term are dealt, so that a frequent one is no single task's work.
 SALT = 16
 
@@ -88,19 +91,20 @@ def _hash(value: str) -> int:
 
 
 def _filter(rows: DataFrame, key: str) -> np.ndarray:
-    """2^(FILTER_BITS - 6) words of 64 bits: those set that the first and the last FILTER_BITS bits of a key name."""
-    ends = F.array(F.shiftrightunsigned(key, 64 - FILTER_BITS), F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
+    """A table of bits, in words of 64: those set that the first and the last bits of a key name. It grows with the rows."""
+    n = max(min(math.ceil(math.log2(8 * rows.count() + 1)), FILTER_BITS[1]), FILTER_BITS[0])
+    ends = F.array(F.shiftrightunsigned(key, 64 - n), F.col(key).bitwiseAND(F.lit((1 << n) - 1)))
     bits = rows.select(F.explode(ends).alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table = np.zeros(1 << (n - 6), np.uint64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
 
 
 def _let_through(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the filter may name."""
-    out = np.ones(len(hashes), bool)
-    for place in (hashes >> np.uint64(64 - FILTER_BITS), hashes & np.uint64((1 << FILTER_BITS) - 1)):
+    out, n = np.ones(len(hashes), bool), len(table).bit_length() + 5
+    for place in (hashes >> np.uint64(64 - n), hashes & np.uint64((1 << n) - 1)):
         out &= (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
 
@@ -148,33 +152,31 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _mentioning(texts: DataFrame, wanted) -> DataFrame:
-    """(text_hash, entities, terms): once each, the texts that name entities which the filter lets through, with all their terms."""
+    """(text_hash, terms): once each, the texts that name entities which the filter lets through, with all their terms."""
 
     def read(batches):
         from kgspark.llm.words import word_hashes
 
         table, done = wanted.value, set()
         for batch in batches:
-            keys, entities, terms = [], [], []
+            keys, terms = [], []
             for key, text in zip(batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 spans = base_spans(text) if key not in done else []
                 named = np.unique(np.array([_entity(k, text[a:b]) for k, a, b in spans], np.int64))
-                named = named[_let_through(table, named.view(np.uint64))]
-                if not len(named):
+                if not _let_through(table, named.view(np.uint64)).any():
                     continue
                 if len(done) > 200_000:
                     done.clear()
                 done.add(key)
                 hashes = word_hashes([text.encode("utf-8", "surrogatepass")])[0]
                 keys.append(key)
-                entities.append(named)
                 terms.append(np.unique(hashes[_free(text, spans)[2]]).view(np.int64))
             if keys:
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (entities, terms)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["text_hash", "entities", "terms"])
+                ends = pa.array(np.cumsum([0, *map(len, terms)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(terms)))], names=["text_hash", "terms"])
 
-    once = texts.select("text_hash", "text").mapInArrow(read, "text_hash long, entities array<long>, terms array<long>")
-    return once.groupBy("text_hash").agg(F.first(F.struct("entities", "terms")).alias("s")).select("text_hash", "s.*")
+    once = texts.select("text_hash", "text").mapInArrow(read, "text_hash long, terms array<long>")
+    return once.groupBy("text_hash").agg(F.first("terms").alias("terms"))
 
 
 def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
@@ -222,24 +224,42 @@ def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """(entity, term, disclosure) of the pairs above the threshold, from scan()'s rows and all documents."""
+def _classes(docs: DataFrame, found: DataFrame, support: int, disclosed: float) -> tuple[DataFrame, DataFrame]:
+    """(entities(entity, n_entity, one, two), disclosed(one, two, term, disclosure)).
+
+    Entities that the same texts name are one class, known by two sums of
+    those texts' hashes: all its entities reveal the same. Terms are counted
+    with classes, so a directory of many entities meets its words once.
+    """
     context, texts = docs.sparkSession.sparkContext, _texts(docs)
     pairs = found.select("text_hash", F.explode("entities").alias("entity")).distinct()
-    alone = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    sum_of = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "text_hash"))
+    alone = pairs.groupBy("entity").agg(F.count("*").alias("n_entity"), sum_of(1).alias("one"), sum_of(2).alias("two")).where(F.col("n_entity") >= support)
     alone = written(alone, "private-entities")
-    pairs = _mentioning(texts, context.broadcast(_filter(alone, "entity"))).select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    named = pairs.join(alone, "entity").select("text_hash", "one", "two", "n_entity").distinct()
+    met = named.join(_mentioning(texts, context.broadcast(_filter(alone, "entity"))), "text_hash")
+    together = met.select("one", "two", "n_entity", F.explode("terms").alias("term")).groupBy("one", "two", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = written(together, "private-pairs")
     wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
     copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
     n = copies.count()
     repeated = context.broadcast(place_table(copies.where("rows > 1"), "text_hash"))
-    both = together.join(alone, "entity").join(_document_counts(texts, wanted, repeated), "term")
+    both = together.join(_document_counts(texts, wanted, repeated), "term")
     pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     share = F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
     both = both.withColumn("disclosure", share)
-    return both.where(F.col("disclosure") >= disclosed).select("entity", "term", "disclosure")
+    return alone, both.where(F.col("disclosure") >= disclosed).select("one", "two", "term", "disclosure")
+
+
+def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    """(entity, term, disclosure) of the pairs above the threshold, from scan()'s rows and all documents."""
+    entities, pairs = _classes(docs, found, support, disclosed)
+    return entities.join(pairs, ["one", "two"]).select("entity", "term", "disclosure")
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+    """(term): the terms that reveal some entity, without a line for each such entity."""
+    return _classes(docs, found, support, disclosed)[1].select("term").distinct()
 
 
 def _places(texts: DataFrame, wanted) -> DataFrame:
@@ -271,7 +291,7 @@ def _places(texts: DataFrame, wanted) -> DataFrame:
 
 def _term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text_hash, terms): array of (start, stop) of revealing terms, by start, in all documents."""
-    terms = written(revealing(docs, found).select("term").distinct(), "private-terms")
+    terms = written(revealing_terms(docs, found), "private-terms")
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(terms, "term"))
     places = _places(_texts(docs), wanted).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALT)))
     salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))

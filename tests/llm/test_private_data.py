@@ -31,3 +31,25 @@ def test_terms_are_found_and_marked_at_any_distance(spark):
         assert spans[k] == f"email:{at}:{at + 8},term:0:6,term:{last}:{last + 6}"
     assert spans[100] == "term:0:6" and spans[101] == spans[1000] == ""
     assert {r.text for r in private_data.sanitised(docs).where("doc_id = 100").collect()} == {"[TERM] alone"}
+
+
+def test_directories_of_many_entities(spark):
+    """Two texts with the same 50,000 mails and words of their own, and a third with some of them: no line per mail and word."""
+    mails = [f"m{k}@ex.org" for k in range(50_000)]
+    words = [f"word{k}" for k in range(5000)]
+    both = " ".join(x for k, m in enumerate(mails) for x in ([words[k // 10], m] if k % 10 == 0 else [m]))
+    rows = [(1, both + " one"), (2, both + " two"), (3, " ".join(mails[:100]) + " word3"), *((10 + k, f"nothing {k} here") for k in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = private_data.scan(docs)
+    entities, pairs = private_data._classes(docs, found, 2, 0.9)
+    assert entities.select("one", "two").distinct().count() == 2 and entities.count() == 50_000
+    # Of the class of two texts every word of both but word3, which stands in a third; of the class of three, word3 alone: the others lack its third text.
+    assert pairs.count() == 5000
+    assert private_data.revealing_terms(docs, found).count() == 5000
+    spans = {r.doc_id: r.spans for r in private_data.digest(docs).collect()}
+    assert spans[1].count("term:") == 5000 and spans[3].count("term:") == 1 and spans[10] == ""
+
+
+def test_sanitised_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, terms string")
+    assert private_data.sanitised(docs).count() == 0 and private_data.sanitised(docs).columns == docs.columns
