@@ -180,10 +180,10 @@ def split_withdrawn_list(spark, sf):
 
 
 def split_component_quota(spark, sf):
-    """Orders and parts of a sparse part of the lines; components in ascending order of their least order."""
-    line = _table(spark, sf, "lineitem").where("l_orderkey % 40 = 1").select("l_orderkey", "l_partkey").distinct()
-    out = splits.component_split(line, "l_orderkey", "l_partkey", order=["component"])
-    return splits.violations(out, "l_partkey").unionByName(out.groupBy("split").agg(F.count("*").alias("n")).withColumnRenamed("split", "check"))
+    """Orders that ship a part on the same day belong together; components in ascending order of their least order."""
+    line = _table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws(":", "l_partkey", "l_shipdate").alias("shipped")).distinct()
+    out = splits.component_split(line, "l_orderkey", "shipped", order=["component"])
+    return splits.violations(out, "shipped").unionByName(out.groupBy("split").agg(F.count("*").alias("n")).withColumnRenamed("split", "check"))
 
 
 def split_checks(spark, sf):
@@ -268,7 +268,7 @@ ORACLES = {
     "knn_cosine_topk": "WITH u AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS x FROM embeddings, range(1, 65) AS g(i)), s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(sum(a.x * b.x), 4) AS score FROM u a JOIN u b USING (i) WHERE a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INT) AS rank, id, score FROM s) WHERE rank <= 3",
     "l2_normalise": "WITH n AS (SELECT vec_id, i, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS v FROM embeddings, range(1, 65) AS g(i)) SELECT vec_id, CAST(i - 1 AS INT) AS pos, CASE WHEN v = 0 THEN 0 ELSE v END AS val FROM n",
     "split_withdrawn_list": "SELECT l_orderkey, CASE WHEN bool_or(l_partkey IN (3, 7, 50, 77, 120)) THEN 'test' ELSE 'train' END AS split FROM lineitem GROUP BY 1",
-    "split_component_quota": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 1),
+    "split_component_quota": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey || ':' || l_shipdate AS p FROM lineitem),
         n AS (SELECT DISTINCT a.o AS x, b.o AS y FROM e a JOIN e b USING (p)),
         r AS (SELECT x, y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x),
         c AS (SELECT x AS o, min('l:' || y) AS comp FROM r GROUP BY 1),

@@ -139,7 +139,7 @@ def term_map(spark, sf):
 
 def label_group_match(spark, sf):
     """Lines as arms of an order, and as result groups under titles that several stages find."""
-    line = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().where("l_orderkey % 5 = 1")
+    line = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     arms = line.select(F.col("l_orderkey").alias("trial"), F.col("l_linenumber").alias("arm_id"), F.concat(F.lit("Arm "), F.element_at(F.array(*map(F.lit, ["one", "two", "three", "four", "five", "six", "seven"])), F.col("l_linenumber"))).alias("label"))
     shape = F.col("l_orderkey") % 4
     word = F.element_at(F.array(*map(F.lit, ["one", "two", "three", "four", "five", "six", "seven"])), F.col("l_linenumber"))
@@ -173,7 +173,7 @@ def folded_tokens(spark, sf):
 
 def trial_match_share(spark, sf):
     """Parts as drug interventions of orders, under names with a dose, known, shared or unknown."""
-    line = _table(spark, sf, "lineitem").where("l_orderkey % 20 = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    line = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     kind = F.col("l_partkey") % 3
     name = F.when(kind == 0, F.concat(F.lit("Sole"), _text("l_partkey"), F.lit(" tablets daily"))).when(kind == 1, F.concat(F.lit("Shared"), (F.col("l_partkey") % 10).cast("string"))).otherwise("Nobody knows")
     rows = line.select(F.col("l_orderkey").alias("trial"), F.struct("l_linenumber", "l_partkey").alias("key"), name.alias("name"), F.array().cast("array<string>").alias("others")).distinct()
@@ -220,12 +220,12 @@ ORACLES = {
         t = 5 OR (t = 3 AND s % 2 <> 0) OR (t = 6 AND s % 3 <> 0) OR (t = 7 AND s % 2 <> 0) AS incomplete, t = 0 AS non_drug FROM p""",
     "concept_back_fill": "SELECT c_custkey, lower(c_mktsegment) AS orig_term, 'n' || c_nationkey AS term, CASE WHEN c_acctbal < 0 THEN 'own' WHEN c_mktsegment = 'BUILDING' THEN 'B' WHEN c_nationkey < 15 THEN 'T' || c_nationkey END AS cui FROM customer",
     "term_map": "WITH c AS (SELECT o_orderkey AS s, 't' || o_custkey % 50 AS term, 'o' || o_custkey % 70 AS orig, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 25 AS VARCHAR) END AS cui, CAST(o_orderkey % 5 AS VARCHAR) AS up FROM orders), n AS (SELECT CAST(n_nationkey AS VARCHAR) AS cui, n_name AS name FROM nation), e AS (SELECT s, 1 AS k, term, cui FROM c UNION ALL SELECT s, 2, orig, cui FROM c UNION ALL SELECT s, 0, name, cui FROM c JOIN n USING (cui) UNION ALL SELECT s, 3, name, up FROM c JOIN n ON n.cui = up WHERE c.cui IS NOT NULL) SELECT term, cui FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, k DESC) AS turn FROM e) WHERE turn = 1",
-    "label_group_match": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 1), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l) SELECT l_orderkey AS trial, CAST(l_linenumber AS VARCHAR) AS group_id, l_linenumber AS arm_id, CAST(CASE WHEN n = 1 THEN 0 WHEN l_orderkey % 4 = 0 THEN 1 WHEN l_orderkey % 4 = 1 THEN 2 WHEN l_orderkey % 4 = 2 THEN 10 ELSE 11 END AS INT) AS stage FROM n",
+    "label_group_match": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l) SELECT l_orderkey AS trial, CAST(l_linenumber AS VARCHAR) AS group_id, l_linenumber AS arm_id, CAST(CASE WHEN n = 1 THEN 0 WHEN l_orderkey % 4 = 0 THEN 1 WHEN l_orderkey % 4 = 1 THEN 2 WHEN l_orderkey % 4 = 2 THEN 10 ELSE 11 END AS INT) AS stage FROM n",
     "criteria_flatten": r"""WITH t AS (SELECT conv_id, turn, role, lower(regexp_extract(text, '^(?:\S+\s+){0}([A-Za-z]+)', 1)) AS a, lower(regexp_extract(text, '^(?:\S+\s+){2}([A-Za-z]+)', 1)) AS c FROM conversations), r AS (SELECT conv_id, role, 'Condition' AS category, turn % 3 = 0 AS neg, 1 AS temporal, a AS w FROM t UNION ALL SELECT conv_id, role, 'Drug', false, 0, c FROM t)
         SELECT conv_id AS trial, (role = 'user') <> neg AS inclusion, category, neg AS negated, count(*) AS n, CAST(sum(temporal) AS BIGINT) AS n_temporal FROM r WHERE w <> '' AND w NOT IN (SELECT unnest(""" + str(text.ADJECTIVES) + """)) GROUP BY 1, 2, 3, 4""",
     "stemmed_words": "SELECT p_partkey, 'b' || regexp_replace(lower(p_brand), '[^a-z]', '', 'g') || 't' AS stem FROM part",
     "folded_tokens": "WITH t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(replace(text, '''', ''))), '\\p{L}+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) <= 25 AND token NOT IN (SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOPWORDS) + "])) GROUP BY 1 HAVING count(*) >= 200",
-    "trial_match_share": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 20 = 1), s AS (SELECT p_partkey % 10 AS d, count(*) AS n FROM part WHERE p_partkey % 3 = 1 GROUP BY 1) SELECT l_orderkey AS trial, count(*) FILTER (l_partkey % 3 <> 2) AS matched, count(*) FILTER (l_partkey % 3 = 1 AND n > 1) AS ambiguous, count(*) AS total, round(100.0 * count(*) FILTER (l_partkey % 3 <> 2) / count(*), 4) AS percentage FROM r LEFT JOIN s ON d = l_partkey % 10 GROUP BY 1",
+    "trial_match_share": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), s AS (SELECT p_partkey % 10 AS d, count(*) AS n FROM part WHERE p_partkey % 3 = 1 GROUP BY 1) SELECT l_orderkey AS trial, count(*) FILTER (l_partkey % 3 <> 2) AS matched, count(*) FILTER (l_partkey % 3 = 1 AND n > 1) AS ambiguous, count(*) AS total, round(100.0 * count(*) FILTER (l_partkey % 3 <> 2) / count(*), 4) AS percentage FROM r LEFT JOIN s ON d = l_partkey % 10 GROUP BY 1",
     "population_ids": "SELECT c_custkey AS trial, 'D' || n_nationkey AS ids, c_custkey % 4 = 0 AS healthy, CASE WHEN contains(CAST(n_nationkey AS VARCHAR), '1') THEN 'D' || n_nationkey ELSE '' END AS associated FROM customer JOIN nation ON c_nationkey = n_nationkey",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

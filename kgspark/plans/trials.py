@@ -131,7 +131,7 @@ def disease_network_by_priority(spark, sf):
 def drug_country_network(spark, sf):
     rows = _table(spark, sf, "lineitem").join(_table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("drugs"), F.collect_set("s_nationkey").alias("countries"))
-    return trials.location_network(rows.withColumnRenamed("l_orderkey", "nct_id").where(F.col("nct_id") % 10 == 3), "drugs")
+    return trials.location_network(rows.withColumnRenamed("l_orderkey", "nct_id"), "drugs")
 
 
 def drug_action_normalise(spark, sf):
@@ -230,7 +230,7 @@ def inject_node_edges(spark, sf):
 def rollup_by_support(spark, sf):
     """Suppliers under nations under regions, orders as trials; a concept needs 700 orders."""
     line, supplier, nation = (_table(spark, sf, n) for n in ("lineitem", "supplier", "nation"))
-    mentions = line.where("l_suppkey % 3 = 0").select(F.concat(F.lit("s"), _text("l_suppkey")).alias("concept"), F.col("l_orderkey").alias("trial"))
+    mentions = line.select(F.concat(F.lit("s"), _text("l_suppkey")).alias("concept"), F.col("l_orderkey").alias("trial"))
     parents = supplier.select(F.concat(F.lit("s"), _text("s_suppkey")).alias("child"), F.concat(F.lit("n"), _text("s_nationkey")).alias("parent")).union(nation.select(F.concat(F.lit("n"), _text("n_nationkey")), F.concat(F.lit("r"), _text("n_regionkey"))))
     return graph.roll_up(mentions, parents, 700)
 
@@ -267,7 +267,7 @@ ORACLES = {
     "value_frequencies": "WITH s AS (SELECT l_orderkey, list_distinct(list(l_suppkey)) AS v FROM lineitem GROUP BY 1) SELECT unnest(v) AS value, count(*) AS n FROM s WHERE len(v) <= 4 GROUP BY 1",
     "counts_above_thresholds": "WITH s AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey) SELECT CAST(t AS INT) AS threshold, count(*) FILTER (n >= t) AS n_rows FROM s, (SELECT unnest([5, 10, 20, 30, 50]) AS t) GROUP BY 1",
     "disease_network_by_priority": "WITH d AS (SELECT l_orderkey, min(l_partkey) AS drug FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) = 1), o AS (SELECT o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1 HAVING count(*) >= 100) SELECT o_orderpriority AS value, drug, o_custkey AS disease, max(o_orderkey) AS nct_id FROM orders JOIN d ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0 AND o_orderpriority IN (SELECT o_orderpriority FROM o) GROUP BY 1, 2, 3",
-    "drug_country_network": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 3), c AS (SELECT DISTINCT l_orderkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT l_partkey AS name, s_nationkey AS country, count(*) AS n_trials FROM d JOIN c USING (l_orderkey) GROUP BY 1, 2",
+    "drug_country_network": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), c AS (SELECT DISTINCT l_orderkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT l_partkey AS name, s_nationkey AS country, count(*) AS n_trials FROM d JOIN c USING (l_orderkey) GROUP BY 1, 2",
     "drug_action_normalise": "WITH a AS (SELECT p_partkey, unnest([['other'], ['inhibitor'], ['agonist', 'other'], ['inducer', 'substrate'], ['other']][p_size % 5 + 1]) AS action FROM part) SELECT p_partkey, action FROM a",
     "drug_class_graph": "WITH c AS (SELECT p_brand AS n FROM part UNION SELECT p_type FROM part), e AS (SELECT 'is_a' AS relation, 'CLASSYFIRE' AS rel_source, n AS src, 'root' AS dst FROM c UNION SELECT 'KG-MERGE-SAME', 'DRUGBANK', CAST(p_partkey AS VARCHAR), 'DB' || p_size FROM part UNION SELECT 'has_parent', 'DRUGBANK', CAST(p_partkey AS VARCHAR), p_brand FROM part UNION SELECT 'has_parent', 'DRUGBANK', CAST(p_partkey AS VARCHAR), p_type FROM part) SELECT relation, rel_source, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM e GROUP BY 1, 2",
     "protein_pair_graph": "WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT 'PROTEIN:ENTREZ:' || a AS key, 'S' || a AS name, count(*) AS n_out FROM p GROUP BY a UNION ALL SELECT DISTINCT 'PROTEIN:ENTREZ:p' || b, 'P' || b, 0 FROM p",
@@ -280,7 +280,7 @@ ORACLES = {
     "concept_numbers": "SELECT p_brand AS concept, 'KG' || lpad(CAST(row_number() OVER (ORDER BY p_brand) - 1 AS VARCHAR), 8, '0') AS kgid FROM (SELECT DISTINCT p_brand FROM part)",
     "inject_node_edges": "WITH k AS (SELECT o_orderkey AS src, o_custkey AS dst, CAST(o_orderkey % 5 AS INT) AS etype FROM orders WHERE o_orderkey <> 1 AND o_custkey <> 1), f AS (SELECT CAST(1 AS BIGINT) AS src, CAST(n_nationkey + 1000 AS BIGINT) AS dst, CAST(n_nationkey % 2 AS INT) AS etype FROM nation UNION ALL SELECT 1, 0, unnest([2, 3, 4])) SELECT * FROM k UNION ALL SELECT * FROM f UNION ALL SELECT dst, src, CAST(etype + 5 AS INT) FROM f",
     "rollup_by_support": """WITH p AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
-        s0 AS (SELECT DISTINCT 's' || l_suppkey AS concept, l_orderkey AS trial FROM lineitem WHERE l_suppkey % 3 = 0),
+        s0 AS (SELECT DISTINCT 's' || l_suppkey AS concept, l_orderkey AS trial FROM lineitem),
         s1 AS (SELECT * FROM s0 UNION SELECT parent, trial FROM s0 JOIN p ON concept = child WHERE concept IN (SELECT concept FROM s0 GROUP BY 1 HAVING count(*) < 700)),
         s2 AS (SELECT * FROM s1 UNION SELECT parent, trial FROM s1 JOIN p ON concept = child WHERE concept IN (SELECT concept FROM s1 GROUP BY 1 HAVING count(*) < 700)),
         ok AS (SELECT concept FROM s2 GROUP BY 1 HAVING count(*) >= 700),
