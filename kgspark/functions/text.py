@@ -54,6 +54,8 @@ DRUG_NOISE = [
     r"\s+[btq]\.?i\.?d\.?",
     r"[^\x00-\x7F]",
 ]
+# Fixed value: the dose pattern of trials' drug names; without a unit it takes the number alone.
+TRIAL_DOSE = r"[>≥]?\s*\d+\.?\d*\s*(mg|mcg||%|micrograms)"
 DRUG_CUTS = ["(", "[", "/", ";", ","]
 DRUG_FORMS = [
     r"capsule(s)?",
@@ -75,6 +77,7 @@ DRUG_STEPS = [
     ('"', " "),
     (":", " "),
     (";.*", " "),
+    (r"\((.*)\)", "( $1 )"),
     ("®|™", " "),
     (r"([0-9]+[ ]?x[ ]?)?[0-9\.]+[ ]?(mcg|l|mg|milligram|µg|ug|ml|microgram(s)?|%|g|kg|tab.?|t)(/(mcg|mg|ml|l|µg|day|week|month|year|hour|min|sec|micrograms|milliliter|%|g|kg|tab.?|t))?(\s+|$|-|,|\)|\()", " $6 "),
     (r"[0-9]+[ ]?(day|week|month|year|hour|min|sec)s?", " "),
@@ -96,14 +99,18 @@ DRUG_STOPWORDS = [
     "normal", "sugar", "traditional", "all", "subject", "subjects", "treatment", "arm", "up", "to", "group$", "initial", "for", "qd", "combination",
     "fixed", "once",
 ]
-# English stop words of the outcome tokenizer (off, who and t are kept as words).
-STOPWORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
-    "their theirs themselves what which whom this that these those am is are was were be been being have has had having do does did doing a "
-    "an the and but if or because as until while of at by for with about against between into through during before after above below to "
-    "from up down in out on over under again further then once here there when where why how all any both each few more most other some "
-    "such no nor not only own same so than too very s can will just don should now d ll m o re ve y"
-).split()
+# English stop words of the outcome tokenizer, without apostrophes (off, who and t are kept as words).
+STOPWORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "whom", "this", "that",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a",
+    "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "over", "under", "again", "further",
+    "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such",
+    "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "can", "will", "just", "don", "should", "now", "d", "ll", "m", "o",
+    "re", "ve", "y", "ain", "aren", "couldn", "didn", "doesn", "hadn", "hasn", "haven", "isn", "ma", "mightn", "mustn", "needn", "shan", "shouldn",
+    "wasn", "weren", "won", "wouldn",
+]
 
 
 def trimmed(c: Column) -> Column:
@@ -171,6 +178,18 @@ def clean_drug_name(c: Column) -> Column:
     return squeeze(c)
 
 
+def clean_trial_drug_name(c: Column) -> Column:
+    """A trial's drug name likewise: placebo for placebos, any number gone, and the first alone of several joined by +, or, and."""
+    first = c
+    for pattern in ['"', TRIAL_DOSE, *DRUG_NOISE[1:]]:
+        first = F.regexp_replace(first, pattern, " ")
+    for mark in [*DRUG_CUTS, "+", " or ", " and "]:
+        first = F.substring_index(first, mark, 1)
+    for pattern in [*DRUG_FORMS[:3], "administration of ", *DRUG_FORMS[3:8], "administration of", *DRUG_FORMS[8:]]:
+        first = F.regexp_replace(first, pattern, " ")
+    return F.when(c.contains("placebo"), "placebo").otherwise(squeeze(first))
+
+
 def normalise_drug_name(c: Column) -> Column:
     """array of component names: placebo for placebos and for what nothing is left of."""
     low = F.concat(F.lit(" "), c, F.lit(" "))

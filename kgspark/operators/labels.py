@@ -98,14 +98,25 @@ def selected(scores: DataFrame, threshold: float = 0.05) -> DataFrame:
     return scores.where(F.col("p") > threshold)
 
 
-# Which type a concept of several types takes its features from; concepts of the vocabulary yield to any other.
-TYPE_ORDER = ["DRUG", "DISEASE", "PROTEIN", "FUNCTION", "DRUGONT", "UMLS"]
+# The types that have features; concepts of the vocabulary (the last) yield to any other.
+TYPE_ORDER = ["DRUG", "DISEASE", "PROTEIN", "TRIAL_ARM", "PRIMARY_OUTCOME", "UMLS"]
+
+
+def arm_vectors(arms: DataFrame, texts: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(key, vector) of arms(key), named trial:arm: their trial's text vector and attribute vector, one behind the other; texts, attributes: trial, vector.
+
+    Arms of a trial that lacks either have none.
+    """
+    of = arms.select("key", F.substring_index("key", ":", 1).alias("trial")).distinct()
+    both = of.join(texts.select("trial", F.col("vector").alias("_t")), "trial").join(attributes.select("trial", F.col("vector").alias("_a")), "trial")
+    return both.select("key", F.concat("_t", "_a").alias("vector"))
 
 
 def concept_features(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """(concept, etype, vector): members(concept, etype, key) and vectors(key, vector): the mean over the chosen type's members that have one.
 
     A concept without a type in TYPE_ORDER, or without any vector, has no row.
+    Of several types the first in TYPE_ORDER is taken.
     """
     from kgspark.functions.vectors import element_mean
 

@@ -67,10 +67,10 @@ def prediction_select(spark, sf):
 
 
 def concept_feature_means(spark, sf):
-    """Vectors as entities of concepts by id; labels 0 to 4 are five types, others have none; every fourth vector is missing."""
+    """Vectors as entities of concepts by id; labels 0 to 7 are eight types, two of them without features, others have none; every fourth vector is missing."""
     e = _table(spark, sf, "embeddings")
-    kind = F.element_at(F.array(*map(F.lit, ["UMLS", "DRUG", "DISEASE", "PROTEIN", "FUNCTION"])), F.col("label") + 1)
-    members = e.select((F.col("vec_id") % 60).alias("concept"), F.when(F.col("label") < 5, kind).otherwise("SIDE_EFFECT").alias("etype"), F.col("vec_id").alias("key"))
+    kind = F.element_at(F.array(*map(F.lit, ["UMLS", "DRUG", "TRIAL_ARM", "PROTEIN", "FUNCTION", "PRIMARY_OUTCOME", "DRUGONT", "DISEASE"])), F.col("label") + 1)
+    members = e.select(F.pmod(F.col("vec_id") * 7 + F.col("label"), F.lit(170)).alias("concept"), F.when(F.col("label") < 8, kind).otherwise("SIDE_EFFECT").alias("etype"), F.col("vec_id").alias("key"))
     found = labels.concept_features(members, e.where("vec_id % 4 <> 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
     return found.select("concept", "etype", F.posexplode("vector").alias("pos", "val")).select("concept", "etype", "pos", F.round("val", 4).alias("val"))
 
@@ -251,7 +251,7 @@ ORACLES = {
     "pair_efficacy_mirror": "WITH p AS (SELECT o_custkey AS nct_id, o_orderkey AS a, o_orderkey + 1 AS b, o_orderkey + o_orderkey % 2 AS pos FROM orders), m AS (SELECT nct_id, a AS arm1, b AS arm2, pos FROM p UNION ALL SELECT nct_id, b, a, pos FROM p), k AS (SELECT o_orderkey AS arm FROM orders WHERE o_orderkey % 11 <> 0) SELECT nct_id, arm1, arm2, CAST(arm2 = pos AS INT) AS label FROM m WHERE arm1 IN (SELECT arm FROM k) AND arm2 IN (SELECT arm FROM k)",
     "composite_lookup": "WITH a AS (SELECT l_orderkey, l_partkey, min(l_suppkey) AS node_id FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1, 2) SELECT * FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem) LEFT JOIN a USING (l_orderkey, l_partkey)",
     "prediction_select": "SELECT event_id, round(1 / (1 + exp(-value / 1000)), 6) AS p FROM events WHERE 1 / (1 + exp(-value / 1000)) > 0.51",
-    "concept_feature_means": "WITH m AS (SELECT vec_id % 60 AS concept, ['UMLS', 'DRUG', 'DISEASE', 'PROTEIN', 'FUNCTION'][label + 1] AS etype, [6, 1, 2, 3, 4][label + 1] AS rank, vec_id FROM embeddings WHERE label < 5), b AS (SELECT concept, min(rank) AS rank FROM m GROUP BY 1) SELECT concept, etype, CAST(i - 1 AS INT) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS val FROM m JOIN b USING (concept, rank) JOIN embeddings USING (vec_id), range(1, 65) AS g(i) WHERE vec_id % 4 <> 0 GROUP BY 1, 2, 3",
+    "concept_feature_means": "WITH m AS (SELECT (vec_id * 7 + label) % 170 AS concept, CASE label WHEN 0 THEN 'UMLS' WHEN 1 THEN 'DRUG' WHEN 2 THEN 'TRIAL_ARM' WHEN 3 THEN 'PROTEIN' WHEN 5 THEN 'PRIMARY_OUTCOME' ELSE 'DISEASE' END AS etype, CASE label WHEN 0 THEN 6 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 5 THEN 5 ELSE 2 END AS rank, vec_id FROM embeddings WHERE label IN (0, 1, 2, 3, 5, 7)), b AS (SELECT concept, min(rank) AS rank FROM m GROUP BY 1) SELECT concept, etype, CAST(i - 1 AS INT) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 4) AS val FROM m JOIN b USING (concept, rank) JOIN embeddings USING (vec_id), range(1, 65) AS g(i) WHERE vec_id % 4 <> 0 GROUP BY 1, 2, 3",
     "relation_mean_features": f"WITH {MEANS} SELECT node, etype, CAST(pos AS INT) AS pos, round(val, 4) AS val FROM m",
     "relation_concat_features": f"WITH {MEANS} SELECT n.node, CAST(r * 64 + n.pos AS INT) AS pos, round(CASE WHEN r = 3 THEN n.x ELSE coalesce(m.val, 0) END, 4) AS val FROM (SELECT node, pos, x, r FROM f, range(4) AS g(r)) n LEFT JOIN m ON m.node = n.node AND m.pos = n.pos AND m.etype = n.r",
     "attention_within_relation": f"WITH {GRAPH}, s AS (SELECT d.*, sum(a.x * b.x) / sqrt(64) AS s FROM d JOIN f a ON a.node = src JOIN f b ON b.node = dst AND b.pos = a.pos GROUP BY ALL), w AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY dst, etype) AS w FROM s) SELECT dst AS node, CAST(pos AS INT) AS pos, round(sum(w * x), 4) AS val FROM w JOIN f ON f.node = src GROUP BY 1, 2",

@@ -224,7 +224,7 @@ ORACLES = {
     "criteria_flatten": r"""WITH t AS (SELECT conv_id, turn, role, lower(regexp_extract(text, '^(?:\S+\s+){0}([A-Za-z]+)', 1)) AS a, lower(regexp_extract(text, '^(?:\S+\s+){2}([A-Za-z]+)', 1)) AS c FROM conversations), r AS (SELECT conv_id, role, 'Condition' AS category, turn % 3 = 0 AS neg, 1 AS temporal, a AS w FROM t UNION ALL SELECT conv_id, role, 'Drug', false, 0, c FROM t)
         SELECT conv_id AS trial, (role = 'user') <> neg AS inclusion, category, neg AS negated, count(*) AS n, CAST(sum(temporal) AS BIGINT) AS n_temporal FROM r WHERE w <> '' AND w NOT IN (SELECT unnest(""" + str(text.ADJECTIVES) + """)) GROUP BY 1, 2, 3, 4""",
     "stemmed_words": "SELECT p_partkey, 'b' || regexp_replace(lower(p_brand), '[^a-z]', '', 'g') || 't' AS stem FROM part",
-    "folded_tokens": "WITH t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(replace(text, '''', ''))), '\\p{L}+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) <= 25 AND token NOT IN (SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOPWORDS) + "])) GROUP BY 1 HAVING count(*) >= 200",
+    "folded_tokens": "WITH t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(replace(text, '''', ''))), '\\p{L}+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) <= 25 AND token NOT IN (SELECT unnest(['i', 'me', 'my', 'myself', 'we', 'our', 'ours', 'ourselves', 'you', 'your', 'yours', 'yourself', 'yourselves', 'he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself', 'it', 'its', 'itself', 'they', 'them', 'their', 'theirs', 'themselves', 'what', 'which', 'whom', 'this', 'that', 'these', 'those', 'am', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'have', 'has', 'had', 'having', 'do', 'does', 'did', 'doing', 'a', 'an', 'the', 'and', 'but', 'if', 'or', 'because', 'as', 'until', 'while', 'of', 'at', 'by', 'for', 'with', 'about', 'against', 'between', 'into', 'through', 'during', 'before', 'after', 'above', 'below', 'to', 'from', 'up', 'down', 'in', 'out', 'on', 'over', 'under', 'again', 'further', 'then', 'once', 'here', 'there', 'when', 'where', 'why', 'how', 'all', 'any', 'both', 'each', 'few', 'more', 'most', 'other', 'some', 'such', 'no', 'nor', 'not', 'only', 'own', 'same', 'so', 'than', 'too', 'very', 's', 'can', 'will', 'just', 'don', 'should', 'now', 'd', 'll', 'm', 'o', 're', 've', 'y', 'ain', 'aren', 'couldn', 'didn', 'doesn', 'hadn', 'hasn', 'haven', 'isn', 'ma', 'mightn', 'mustn', 'needn', 'shan', 'shouldn', 'wasn', 'weren', 'won', 'wouldn'])) GROUP BY 1 HAVING count(*) >= 200",
     "trial_match_share": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), s AS (SELECT p_partkey % 10 AS d, count(*) AS n FROM part WHERE p_partkey % 3 = 1 GROUP BY 1) SELECT l_orderkey AS trial, count(*) FILTER (l_partkey % 3 <> 2) AS matched, count(*) FILTER (l_partkey % 3 = 1 AND n > 1) AS ambiguous, count(*) AS total, round(100.0 * count(*) FILTER (l_partkey % 3 <> 2) / count(*), 4) AS percentage FROM r LEFT JOIN s ON d = l_partkey % 10 GROUP BY 1",
     "population_ids": "SELECT c_custkey AS trial, 'D' || n_nationkey AS ids, c_custkey % 4 = 0 AS healthy, CASE WHEN contains(CAST(n_nationkey AS VARCHAR), '1') THEN 'D' || n_nationkey ELSE '' END AS associated FROM customer JOIN nation ON c_nationkey = n_nationkey",
 }

@@ -30,6 +30,14 @@ def one(spark, value, f, kind="string"):
     (text.clean_drug_name, "aspirin 100 mg tablets (oral)", "aspirin"),
     (text.clean_drug_name, "sodium citrate bid", "sodium"),
     (text.normalise_drug_name, "aspirin 100 mg and ibuprofen (advil)", ["aspirin", "ibuprofen", "advil"]),
+    (text.normalise_drug_name, "sildenafil (citrate)", ["sildenafil"]),
+    (text.normalise_drug_name, "zinc (iron 5 mg) salt", ["zinc", "iron", "salt"]),
+    (text.clean_trial_drug_name, "inert placebo", "placebo"),
+    (text.clean_trial_drug_name, '"aspirin" 100 mg tablets (oral)', "aspirin"),
+    (text.clean_trial_drug_name, "administration of zinc + iron", "zinc"),
+    (text.clean_trial_drug_name, "zinc 7 or iron", "zinc"),
+    (text.clean_trial_drug_name, "gold and silver", "gold"),
+    (text.clean_trial_drug_name, "iron 5 % bid", "iron %"),
     (text.normalise_drug_name, "placebo pill", ["placebo"]),
     (text.normalise_drug_name, "daily treatment for all subjects", ["placebo"]),
     (text.normalise_drug_name, "inhaled budesonide following surgery", ["budesonide"]),
@@ -199,6 +207,17 @@ def test_attention_over_all_neighbours_with_a_slope(spark):
     assert out == pytest.approx((w[0] * np.array(v[1]) + w[1] * np.array(v[2])).tolist())
 
 
+def test_features_of_arms_and_outcomes(spark):
+    f = spark.createDataFrame
+    arms = f([("T1:0",), ("T1:1",), ("T2:0",)], "key string")
+    found = labels.arm_vectors(arms, f([("T1", [1.0, 2.0]), ("T2", [3.0, 4.0])], "trial string, vector array<double>"), f([("T1", [9.0])], "trial string, vector array<double>"))
+    assert sorted(map(tuple, found.collect())) == [("T1:0", [1.0, 2.0, 9.0]), ("T1:1", [1.0, 2.0, 9.0])]
+    members = [("a", "TRIAL_ARM", "T1:0"), ("b", "FUNCTION", "x"), ("c", "UMLS", "x"), ("c", "PRIMARY_OUTCOME", "y"), ("d", "UMLS", "x"), ("d", "DRUGONT", "y")]
+    vectors_ = found.unionByName(f([("x", [1.0]), ("y", [2.0])], "key string, vector array<double>"))
+    out = labels.concept_features(f(members, "concept string, etype string, key string"), vectors_)
+    assert sorted(map(tuple, out.collect())) == [("a", "TRIAL_ARM", [1.0, 2.0, 9.0]), ("c", "PRIMARY_OUTCOME", [2.0]), ("d", "UMLS", [1.0])]
+
+
 def test_metrics_of_ties_and_one_class_labels(spark):
     rows = [("a", k, y, p) for k, (y, p) in enumerate([(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1)])] + [("b", 9, 1, 0.5)]
     scores = spark.createDataFrame(rows, "label_id string, example_id int, y int, p double")
