@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import features, vectors
-from kgspark.operators import heads, labels, layers, metrics, scoring, splits
+from kgspark.operators import attention, heads, labels, layers, metrics, scoring, splits
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -115,6 +115,15 @@ def relational_block_layer(spark, sf):
     return _long(layers.relational_layer(weighed, e, weights, blocks=2, how="sum").where(F.size("vector") > 0), "node")
 
 
+def multi_head_attention(spark, sf):
+    """Two heads of width one within each of three relations, with root; the projections have biases."""
+    edges, e = _graph(spark, sf)
+    k = F.col("p_partkey")
+    left, right = (_part_weights(spark, sf, (F.floor(k / n) % (WIDTH + 1)).cast("int").alias("row")) for n in (1, 2))
+    weights = _part_weights(spark, sf, (k % 3).alias("relation"), (F.floor(k / 3) % WIDTH).cast("int").alias("row")).withColumn("block", F.lit(0))
+    return _long(attention.multi_head(edges, e, left, right, weights, 2, root=left), "node")
+
+
 def fitted_heads(spark, sf):
     """The slope of three fitted heads' loss at each of their coefficients, from their chances for all rows: none is left where they are best."""
     e = _table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
@@ -261,6 +270,13 @@ ORACLES = {
     "relational_block_layer": f"""WITH {GRAPH}, w AS (SELECT p_partkey % 3 AS etype, p_partkey // 3 % 2 AS block, p_partkey // 6 % 32 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1, 2, 3),
         z AS (SELECT dst AS node, block, sum(x * (src % 5 + 1) / 5 * w0) AS a, sum(x * (src % 5 + 1) / 5 * w1) AS b FROM d JOIN f ON f.node = src JOIN w ON w.etype = d.etype AND block = pos // 32 AND row = pos % 32 GROUP BY 1, 2)
         SELECT node, CAST(block * 2 + k AS INT) AS pos, round(CASE WHEN k = 0 THEN a ELSE b END, 4) AS val FROM z, range(2) AS g(k)""",
+    "multi_head_attention": f"""WITH {GRAPH}, lt AS (SELECT p_partkey % 65 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1), rt AS (SELECT p_partkey // 2 % 65 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1),
+        w AS (SELECT p_partkey % 3 AS etype, p_partkey // 3 % 64 AS row, avg(p_size) / 50 AS w0, avg(CAST(p_retailprice AS DOUBLE)) / 2000 AS w1 FROM part GROUP BY 1, 2), g AS (SELECT node, pos, x FROM f UNION ALL SELECT DISTINCT node, 64, 1.0 FROM f),
+        k AS (SELECT node, sum(x * w0) AS a, sum(x * w1) AS b FROM g JOIN lt ON row = pos GROUP BY 1), q AS (SELECT node, sum(x * w0) AS a, sum(x * w1) AS b FROM g JOIN rt ON row = pos GROUP BY 1),
+        v AS (SELECT node, etype, sum(x * w0) AS a, sum(x * w1) AS b FROM f JOIN w ON row = pos GROUP BY 1, 2),
+        s AS (SELECT dst, d.etype, h, CASE h WHEN 0 THEN q.a * k.a ELSE q.b * k.b END AS s, CASE h WHEN 0 THEN v.a ELSE v.b END AS v FROM d JOIN k ON k.node = src JOIN q ON q.node = dst JOIN v ON v.node = src AND v.etype = d.etype, range(2) AS r(h)),
+        e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY dst, etype, h)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY dst, etype, h) AS p FROM e), o AS (SELECT dst AS node, h, sum(p * v) AS val FROM p GROUP BY 1, 2)
+        SELECT k.node, CAST(h AS INT) AS pos, round(coalesce(val, 0) + CASE h WHEN 0 THEN a ELSE b END, 4) AS val FROM (SELECT node, a, b, h FROM k, range(2) AS r(h)) k LEFT JOIN o USING (node, h)""",
     "fitted_heads": "SELECT CAST(h AS INT) AS head, CAST(p AS INT) AS place, 0.0 AS slope FROM range(3) AS a(h), range(65) AS b(p)",
     "set_pooling": f"WITH {FEATURES} SELECT n_nationkey AS key, CAST(f.pos AS INT) AS pos, round(CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE avg(x) END, 4) AS val FROM nation JOIN f ON f.node <= n_nationkey GROUP BY 1, 2",
     "event_head_scores": f"WITH {FEATURES}, h AS (SELECT node, sum(x) AS t FROM f GROUP BY 1) SELECT node AS arm, n_nationkey AS ae, round(n_nationkey / 10 * (t + n_regionkey / 2) + n_regionkey, 4) AS score FROM h, nation",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators import builders, graph, trials
+from kgspark.session import written
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,7 +52,8 @@ def arm_drug_edges(spark, sf):
 
 
 def arm_placebo_fill(spark, sf):
-    edges = trials.complete_arms(trials.drug_edges(_links(spark, sf)), trials.arm_flags(_arms(spark, sf), _links(spark, sf)))
+    links, arms = written(_links(spark, sf), "placebo-links"), written(_arms(spark, sf), "placebo-arms")  # each is read several times
+    edges = trials.complete_arms(trials.drug_edges(links), trials.arm_flags(arms, links))
     return edges.select("src", "dst", "relation", "rel_source")
 
 
