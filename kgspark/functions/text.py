@@ -302,15 +302,6 @@ def year_of(c: Column) -> Column:
     return F.right(F.trim(c), F.lit(4)).try_cast("int")
 
 
-def common_part(titles: Column) -> Column:
-    """The longest string that all titles of an array hold, the first of those in the first title; for a few short titles."""
-    first = titles[0]
-    cuts = F.sequence(F.lit(1), F.length(first))
-    every = F.flatten(F.transform(cuts, lambda i: F.transform(F.sequence(F.lit(1), F.length(first) - i + 1), lambda n: F.struct(n.alias("n"), (-i).alias("at"), F.substring(first, i, n).alias("part")))))
-    shared = F.filter(every, lambda x: F.forall(titles, lambda t: t.contains(x["part"])))
-    return F.when(F.length(first) > 0, F.coalesce(F.array_max(shared)["part"], F.lit(""))).otherwise("")
-
-
 def preferred_hit(hits: Column, vocabularies: list[str], most: int = 10) -> Column:
     """Of search hits in order: the first of the first `most` from an approved vocabulary (field source), else the first."""
     good = F.filter(F.slice(hits, 1, most), lambda h: h["source"].isin(vocabularies))

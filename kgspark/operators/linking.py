@@ -85,51 +85,6 @@ def consistent_code(mentions: DataFrame, key: str, code: str) -> DataFrame:
     return codes.where("low = high").select(key, F.col("low").alias(code))
 
 
-def match_groups(groups: DataFrame, arms: DataFrame) -> DataFrame:
-    """(trial, group_id, arm_id, stage): each result group's arm, by the first stage that fits; groups(trial, group_id, title, description), arms(trial, arm_id, label).
-
-    0 one group and one arm; 1 equal titles; 2 without spaces and hyphens;
-    3, 4 the description alike; 5 to 8 the same with what all titles of the
-    trial share cut away; 9 a disease abbreviated; 10 equal word sets, or sets
-    that differ in filler words alone; 11 what follows a colon; 12 the parts of
-    a title around + are the arm's drugs (column drugs, if arms have it); 13 the
-    same arm or group number at the start.
-    """
-    low = lambda c: F.lower(F.trim(c))
-    tight = lambda c: F.regexp_replace(low(c), "[ -]", "")
-    words = lambda c: F.array_distinct(F.split(low(c), "[ /+]"))
-    stems = groups.groupBy("trial").agg(F.count("*").alias("_groups"), F.array_sort(F.collect_list(F.lower(F.trim("title")))).alias("_titles"))  # a trial's few titles
-    stems = stems.select("trial", "_groups", F.when(F.col("_groups") > 1, T.common_part(F.col("_titles"))).otherwise("").alias("_stem"))
-    pairs = groups.join(stems, "trial").join(arms.join(arms.groupBy("trial").agg(F.count("*").alias("_arms")), "trial"), "trial")  # pairs within a trial: a few arms each
-    pairs = pairs.withColumn("_cut", F.when(F.length("_stem") > 0, F.replace(low(F.col("title")), F.col("_stem"), F.lit(""))).otherwise(low(F.col("title"))))
-    differing = F.array_union(F.array_except(words("title"), words("label")), F.array_except(words("label"), words("title")))
-    after = lambda c: F.trim(F.regexp_extract(low(c), ":(.*)$", 1))
-    title = F.when(low("title").contains(":"), after("title")).otherwise(low("title"))
-    title = F.trim(F.regexp_replace(title, "subjects receiving", ""))
-    number = lambda c: F.regexp_extract(low(c), r"^(?:arm|group) ?([0-9]+|[a-z])\b", 1)
-    cut_known = F.trim("_cut") != ""
-    stage = (
-        F.when((F.col("_groups") == 1) & (F.col("_arms") == 1), 0)
-        .when(low("title") == low("label"), 1)
-        .when(tight("title") == tight("label"), 2)
-        .when(low("description") == low("label"), 3)
-        .when(tight("description") == tight("label"), 4)
-        .when(cut_known & (low("_cut") == low("label")), 5)
-        .when(cut_known & (tight("_cut") == tight("label")), 6)
-        .when(F.replace(low("title"), F.lit("cystic fibrosis"), F.lit("cf")) == low("label"), 9)
-        .when(F.size(F.array_except(differing, F.array(*map(F.lit, FILLER_WORDS)))) == 0, 10)
-        .when((title == low("label")) | (F.col("label").contains(":") & (after("label") == title)), 11)
-    )
-    if "drugs" in arms.columns:
-        parts = F.array_sort(F.array_distinct(F.transform(F.split(title, r"\+"), T.trimmed)))
-        stage = stage.when((F.size("drugs") > 0) & (F.array_sort(F.array_distinct(F.transform("drugs", F.lower))) == parts), 12)
-    stage = stage.when((number("title") != "") & (number("title") == number("label")), 13)
-    fits = pairs.withColumn("stage", stage).where("stage is not null")
-    best = W.partitionBy("trial", "group_id").orderBy("stage", "arm_id")
-    matched = fits.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").select("trial", "group_id", "arm_id", "stage")
-    return groups.select("trial", "group_id").join(matched, ["trial", "group_id"], "left")
-
-
 def flatten_criteria(records: DataFrame) -> DataFrame:
     """One row per criterion term of records(trial, inclusion, exclusion), each a list of sentences with terms and relations.
 

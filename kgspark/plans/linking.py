@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import automata, linking, resolution
+from kgspark.operators import arm_matching, automata, linking, resolution
 from kgspark.session import written
 
 
@@ -147,7 +147,7 @@ def label_group_match(spark, sf):
     word = F.element_at(F.array(*map(F.lit, ["one", "two", "three", "four", "five", "six", "seven"])), F.col("l_linenumber"))
     title = F.when(shape == 0, F.concat(F.lit("ARM "), F.upper(word))).when(shape == 1, F.concat(F.lit("Arm-"), word)).when(shape == 2, F.concat(F.lit("patients arm "), word)).otherwise(F.concat(F.lit("Cohort: arm "), word))
     groups = line.select(F.col("l_orderkey").alias("trial"), _text("l_linenumber").alias("group_id"), title.alias("title"), F.lit("").alias("description"))
-    return linking.match_groups(groups, arms)
+    return arm_matching.match_groups(groups, arms)
 
 
 def criteria_flatten(spark, sf):

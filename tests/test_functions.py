@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import features, stemmer, text
-from kgspark.operators import builders, graph, labels, layers, linking, metrics, scoring, splits, trials
+from kgspark.operators import arm_matching, builders, graph, labels, layers, linking, metrics, scoring, splits, trials
 
 
 def one(spark, value, f, kind="string"):
@@ -78,7 +78,7 @@ def test_mention_lines(spark):
 
 @pytest.mark.parametrize("titles, wanted", [(["arm one drug", "arm two drug"], " drug"), (["arm one", "arm two"], "arm "), (["abc"], "abc"), (["x", "y"], ""), (["", "a"], "")])
 def test_common_part(spark, titles, wanted):
-    assert one(spark, titles, text.common_part, "array<string>") == wanted
+    assert one(spark, titles, arm_matching.common_part, "array<string>") == wanted
 
 
 def test_hits_and_properties(spark):
@@ -226,12 +226,6 @@ def test_metrics_of_ties_and_one_class_labels(spark):
     assert metrics.macro(metrics.label_metrics(scores, ["label_id"])).first().n_labels == 1
 
 
-def test_group_matching_by_drugs_and_numbers(spark):
-    groups = spark.createDataFrame([("T", "G1", "zinc + iron", ""), ("T", "G2", "Group 2 of the trial", ""), ("T", "G3", "nobody", "")], "trial string, group_id string, title string, description string")
-    arms = spark.createDataFrame([("T", 0, "experimental x", ["Iron", "Zinc"]), ("T", 1, "arm 2: comparator", [])], "trial string, arm_id int, label string, drugs array<string>")
-    assert sorted((r.group_id, r.arm_id, r.stage) for r in linking.match_groups(groups, arms).where("stage is not null").collect()) == [("G1", 0, 12), ("G2", 1, 13)]
-
-
 def test_interventions_and_placebos(spark):
     codes = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", ""), ("2", "a"), ("2", "b")], "key string, code string")
     assert [tuple(r) for r in linking.consistent_code(codes, "key", "code").collect()] == [("1", "a")]
