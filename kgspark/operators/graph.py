@@ -175,35 +175,39 @@ def cascade_parents(relations: DataFrame, known: DataFrame) -> DataFrame:
     return first_of(found, proper.where("rel = 'RO' and source = 'MTH'").select("child", "parent").distinct())
 
 
-def roll_up(mentions: DataFrame, parents: DataFrame, threshold: int, max_level: int = 2, full_children: bool = False) -> DataFrame:
-    """(concept, rolled): each concept with the ancestors that reach `threshold` supporters.
+def roll_up(mentions: DataFrame, parents: DataFrame, threshold: int | list[int], max_level: int = 2, full_children: bool = False) -> DataFrame:
+    """(concept, rolled): each concept with the ancestors that reach `threshold` supporters; of several thresholds (threshold, concept, rolled), in one pass.
 
     mentions(concept, trial) is pushed to parents max_level times, from
     concepts below the threshold (or from all); then each concept climbs until
     its frontier has the support. If none has it at the last level, the last
     frontier stays.
     """
+    asked = [threshold] if isinstance(threshold, int) else sorted(set(threshold))
+    each = F.explode(F.array(*[F.lit(t) for t in asked])).alias("threshold")
     up = parents.select(F.col("child").alias("_child"), F.col("parent").alias("_parent")).distinct()
-    support = written(mentions.select("concept", "trial").distinct(), "roll-up")
+    at = ["threshold", "concept"]
+    support = written(mentions.select("concept", "trial").distinct().select(each, "concept", "trial"), "roll-up")
     for _ in range(max_level):
-        sizes = support.groupBy("concept").agg(F.count("*").alias("n"))
-        small = support if full_children else support.join(sizes.where(F.col("n") < threshold).select("concept"), "concept", "left_semi")
-        pushed = small.join(up, F.col("concept") == F.col("_child")).select(F.col("_parent").alias("concept"), "trial")
+        sizes = support.groupBy(*at).agg(F.count("*").alias("n"))
+        small = support if full_children else support.join(sizes.where("n < threshold").select(*at), at, "left_semi")
+        pushed = small.join(up, F.col("concept") == F.col("_child")).select("threshold", F.col("_parent").alias("concept"), "trial")
         support = written(support.union(pushed).distinct(), "roll-up")
-    enough = support.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select(F.col("concept").alias("_enough"))
-    frontier = mentions.select("concept").distinct().withColumn("rolled", F.col("concept"))
+    enough = support.groupBy(*at).agg(F.count("*").alias("n")).where("n >= threshold").select(F.col("threshold").alias("_t"), F.col("concept").alias("_enough"))
+    frontier = mentions.select("concept").distinct().select(each, "concept").withColumn("rolled", F.col("concept"))
     accepted = None
     for level in range(max_level + 1):
-        marked = frontier.join(enough, F.col("rolled") == F.col("_enough"), "left")
-        now = marked.where("_enough is not null").select("concept", "rolled")
+        marked = frontier.join(enough, (F.col("rolled") == F.col("_enough")) & (F.col("threshold") == F.col("_t")), "left")
+        now = marked.where("_enough is not null").select(*at, "rolled")
         accepted = now if accepted is None else accepted.union(now)
-        rest = marked.where("_enough is null").select("concept", "rolled")
+        rest = marked.where("_enough is null").select(*at, "rolled")
         if level == max_level:
-            return accepted.union(rest.join(accepted.select("concept").distinct(), "concept", "left_anti")).distinct()
+            break
         climbed = rest.join(up, F.col("rolled") == F.col("_child"), "left")
-        frontier = written(climbed.select("concept", F.coalesce("_parent", "rolled").alias("rolled")).distinct(), "roll-up")
+        frontier = written(climbed.select(*at, F.coalesce("_parent", "rolled").alias("rolled")).distinct(), "roll-up")
         accepted = written(accepted, "roll-up")
-    return accepted
+    out = accepted.union(rest.join(accepted.select(*at).distinct(), at, "left_anti")).distinct()
+    return out.drop("threshold") if isinstance(threshold, int) else out
 
 
 def bidirectional(edges: DataFrame, n_relations: int, etype: str = "etype") -> DataFrame:

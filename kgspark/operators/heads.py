@@ -40,11 +40,11 @@ def _matrix(column: pa.ListArray, width: int, missing: float) -> np.ndarray:
 
 
 def positive_weights(rows: DataFrame, labels: int) -> np.ndarray:
-    """Each label's negatives a positive, by weight; 1 where it has no positive or no negative."""
+    """The root of each label's negatives a positive, by weight; 1 where it has no positive or no negative."""
     place = rows.select("weight", F.posexplode("ys").alias("k", "y")).where(F.col("y").isNotNull() & (F.col("k") < labels))
     out = np.ones(labels)
     for r in place.groupBy("k").agg(F.sum(F.col("weight") * F.col("y")).alias("p"), F.sum(F.col("weight") * (1 - F.col("y"))).alias("n")).collect():  # a line a label
-        out[r.k] = r.n / r.p if r.p and r.n else 1.0
+        out[r.k] = (r.n / r.p) ** 0.5 if r.p and r.n else 1.0
     return out
 
 
@@ -101,8 +101,8 @@ def _curvature(model: np.ndarray, positive: np.ndarray, direction: np.ndarray):
 def fit(rows: DataFrame, labels: int, width: int, l2: float = 1.0, balanced: bool = True, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """The model, labels x (width + 1), the intercept last: what minimises each label's weighed log loss + l2 / 2 x |coefficients|^2.
 
-    With balanced, a label's positives weigh as many times as it has negatives a
-    positive. Null vectors are left out; labels that no row speaks of stay at
+    With balanced, a label's positives weigh as many times as the root of its negatives
+    a positive. Null vectors are left out; labels that no row speaks of stay at
     zero, and so does all of a table without rows. The intercept isn't held back by l2.
     """
     weight = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)

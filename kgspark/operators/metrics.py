@@ -1,7 +1,6 @@
 """Ranking and classification metrics over long score tables: label_id, example_id, y, p.
 
-Everything starts from counts per (label, score): ties are one row, and the
-windows run over distinct scores of a label.
+Everything starts from counts per (label, score): ties are one row.
 """
 
 from __future__ import annotations
@@ -10,14 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.operators.ordered import running_sums
+
 
 def _curve(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Per label and distinct score, from the best on: positives and negatives here and up to here, and the label's totals."""
+    """Per label and distinct score, from the best on: positives and negatives here and up to here, and the label's totals.
+
+    Summed by ranges of (label, score), so that a label's scores may be many tasks' work.
+    """
     tied = scores.groupBy(*keys, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    down = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(*keys)
-    sums = {"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(everything), "n_neg": F.sum("neg").over(everything)}
-    return tied.withColumns(sums).where("n_pos > 0 and n_neg > 0")
+    order = [*(F.col(k).asc_nulls_first() for k in keys), F.desc("p")]
+    walked = running_sums(tied, order, {"_tp": F.col("pos"), "_fp": F.col("neg")}, "curve")
+    own = walked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_tp").alias("_tp0"), F.min("_fp").alias("_fp0"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = walked.join(own.where("n_pos > 0 and n_neg > 0"), same)
+    return met.select(*keys, "p", "pos", "neg", (F.col("_tp") - F.col("_tp0") + F.col("pos")).alias("tp"), (F.col("_fp") - F.col("_fp0") + F.col("neg")).alias("fp"), "n_pos", "n_neg")
 
 
 def auroc(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,10 +36,9 @@ def auroc(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def auprc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """keys, auprc: trapezoids over (recall, precision) of the distinct thresholds, from (0, 1) on."""
-    curve = _curve(scores, keys).withColumns({"recall": F.col("tp") / F.col("n_pos"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    down = W.partitionBy(*keys).orderBy(F.desc("p"))
-    width = F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0))
-    height = (F.col("precision") + F.coalesce(F.lag("precision").over(down), F.lit(1.0))) / 2
+    tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")  # at the threshold before
+    curve = _curve(scores, keys).withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "before": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)})
+    width, height = F.col("pos") / F.col("n_pos"), (F.col("precision") + F.col("before")) / 2
     return curve.withColumn("area", width * height).groupBy(*keys).agg(F.sum("area").alias("auprc"))
 
 

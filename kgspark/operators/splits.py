@@ -25,11 +25,11 @@ def by_threshold(year: Column, train_to: float, val_to: float) -> Column:
 def positional_cuts(rows: DataFrame, value: str, fractions: tuple = (0.7, 0.85)) -> DataFrame:
     """One row: cut_0, cut_1, ..: the value at 0-based place int(n * fraction) of the sorted values.
 
-    Counts per value are summed in order, so the window runs over distinct values, not rows.
+    Counts per value are summed by ranges of the values, so no task holds all of them.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.select("v", upto.alias("upto"), F.sum("n").over(W.partitionBy()).alias("all"))
+    ranked = running_sums(counts, ["v"], {"_before": F.col("n")}, "cuts").withColumn("upto", F.col("_before") + F.col("n"))
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("n").alias("all"))))  # one row
     return ranked.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("all") * f), F.col("v"))).alias(f"cut_{k}") for k, f in enumerate(fractions)])
 
 

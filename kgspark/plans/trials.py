@@ -237,6 +237,14 @@ def rollup_by_support(spark, sf):
     return graph.roll_up(mentions, parents, 700)
 
 
+def rollup_by_supports(spark, sf):
+    """The same with orders of three sizes of support asked for at once; suppliers and nations alone."""
+    line, supplier = (_table(spark, sf, n) for n in ("lineitem", "supplier"))
+    mentions = line.select(F.concat(F.lit("s"), _text("l_suppkey")).alias("concept"), F.col("l_orderkey").alias("trial"))
+    parents = supplier.select(F.concat(F.lit("s"), _text("s_suppkey")).alias("child"), F.concat(F.lit("n"), _text("s_nationkey")).alias("parent"))
+    return graph.roll_up(mentions, parents, [1, 600, 2000], 1)
+
+
 def parent_cascade(spark, sf):
     """Suppliers' relations to nations in several tiers."""
     s = _table(spark, sf, "supplier")
@@ -281,6 +289,10 @@ ORACLES = {
     "concept_code_edges": "WITH s AS (SELECT c_nationkey AS u, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY 1 UNION ALL SELECT p_partkey % 40, count(*) FROM part WHERE p_size > 10 GROUP BY 1), g AS (SELECT u, sum(n) AS n FROM s GROUP BY 1) SELECT 'UMLS:UMLS:u' || n_nationkey AS key, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'u' || n_nationkey END AS name, CAST(coalesce(n, 0) AS BIGINT) AS n_same FROM nation LEFT JOIN g ON u = n_nationkey",
     "concept_numbers": "SELECT p_brand AS concept, 'KG' || lpad(CAST(row_number() OVER (ORDER BY p_brand) - 1 AS VARCHAR), 8, '0') AS kgid FROM (SELECT DISTINCT p_brand FROM part)",
     "inject_node_edges": "WITH k AS (SELECT o_orderkey AS src, o_custkey AS dst, CAST(o_orderkey % 5 AS INT) AS etype FROM orders WHERE o_orderkey <> 1 AND o_custkey <> 1), f AS (SELECT CAST(1 AS BIGINT) AS src, CAST(n_nationkey + 1000 AS BIGINT) AS dst, CAST(n_nationkey % 2 AS INT) AS etype FROM nation UNION ALL SELECT 1, 0, unnest([2, 3, 4])) SELECT * FROM k UNION ALL SELECT * FROM f UNION ALL SELECT dst, src, CAST(etype + 5 AS INT) FROM f",
+    "rollup_by_supports": """WITH m AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS trial FROM lineitem), t AS (SELECT CAST(unnest([1, 600, 2000]) AS INT) AS threshold),
+        own AS (SELECT s, count(*) AS n FROM m GROUP BY 1), small AS (SELECT threshold, s FROM own, t WHERE n < threshold),
+        up AS (SELECT threshold, s_nationkey AS nation, count(DISTINCT trial) AS n FROM small JOIN m USING (s) JOIN supplier ON s_suppkey = s GROUP BY 1, 2)
+        SELECT threshold, 's' || s AS concept, CASE WHEN own.n >= threshold THEN 's' || s ELSE 'n' || s_nationkey END AS rolled FROM own JOIN supplier ON s_suppkey = s, t""",
     "rollup_by_support": """WITH p AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
         s0 AS (SELECT DISTINCT 's' || l_suppkey AS concept, l_orderkey AS trial FROM lineitem),
         s1 AS (SELECT * FROM s0 UNION SELECT parent, trial FROM s0 JOIN p ON concept = child WHERE concept IN (SELECT concept FROM s0 GROUP BY 1 HAVING count(*) < 700)),
