@@ -206,16 +206,6 @@ def matched_share(interventions: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("percentage", 100.0 * F.col("matched") / F.col("total"))
 
 
-def population(trials: DataFrame, names: DataFrame, associated: DataFrame) -> DataFrame:
-    """(trial, ids, healthy, associated_ids) of trials(trial, terms): headings by lower-cased name, whether any term is a healthy one, and the ids that are among associated(id)."""
-    each = trials.select("trial", F.explode("terms").alias("term"))
-    look = names.select(F.lower(F.trim("name")).alias("_name"), "id")
-    met = each.join(look, F.lower(F.trim("term")) == F.col("_name"), "left").join(associated.select(F.col("id").alias("_a")).distinct(), F.col("id") == F.col("_a"), "left")
-    found = met.groupBy("trial").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.bool_or(F.lower("term").rlike(r"healthy\s*(human)?\s*(volunteer(s)?|subject(s)?)?")).alias("healthy"), F.array_sort(F.collect_set("_a")).alias("associated_ids"))
-    none = F.array().cast("array<string>")
-    return trials.select("trial").join(found, "trial", "left").select("trial", F.coalesce("ids", none).alias("ids"), F.coalesce("healthy", F.lit(False)).alias("healthy"), F.coalesce("associated_ids", none).alias("associated_ids"))
-
-
 def join_phrases(docs: DataFrame, id: str, words: str, pairs: DataFrame, by: str = "_") -> DataFrame:
     """docs' (id, words) with each pair (a, b) of neighbours joined, from left to right, a word in one pair at most.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import arm_matching, automata, linking, resolution
+from kgspark.operators import arm_matching, automata, hierarchy, linking, resolution
 from kgspark.session import written
 
 
@@ -189,9 +189,15 @@ def trial_match_share(spark, sf):
 def population_ids(spark, sf):
     c = _table(spark, sf, "customer").join(_table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     trials = c.select(F.col("c_custkey").alias("trial"), F.array(F.lower("n_name"), F.when(F.col("c_custkey") % 4 == 0, "Healthy human volunteers").otherwise("x"), F.col("c_mktsegment")).alias("terms"))
-    names = _table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("D"), _text("n_nationkey")).alias("id"))
-    found = linking.population(trials, names, names.where("id like '%1%'").select("id"))
-    return found.select("trial", F.array_join("ids", ",").alias("ids"), "healthy", F.array_join("associated_ids", ",").alias("associated"))
+    nation, n, r = _table(spark, sf, "nation"), _text("n_nationkey"), _text("n_regionkey")
+    names = nation.select(F.col("n_name").alias("name"), F.concat(F.lit("D"), n).alias("id"))
+    # Nations of even number stand below a term between them and their region.
+    terms = nation.select(F.concat(F.lit("D"), n).alias("id"), F.array(F.when(F.col("n_nationkey") % 2 == 0, F.concat(r, F.lit(".m."), n)).otherwise(F.concat(r, F.lit("."), n))).alias("tree_numbers"))
+    for kind, tail in (("R", ""), ("M", ".m")):
+        terms = terms.unionByName(nation.select(F.concat(F.lit(kind), r).alias("id"), F.array(F.concat(r, F.lit(tail))).alias("tree_numbers")).distinct())
+    values = nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("D"), n).alias("id"), F.concat(F.lit("V"), n).alias("value"))
+    found = hierarchy.population(trials, names, values, terms, 2)
+    return found.select("trial", "healthy", *[F.array_join(c, ",").alias(c) for c in ("ids", "associated_ids", "associations", "cut_ids", "cut_associated_ids")])
 
 
 W = lambda t, id: f"SELECT {id}, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS words FROM {t}"
@@ -228,6 +234,7 @@ ORACLES = {
     "stemmed_words": "SELECT p_partkey, 'b' || regexp_replace(lower(p_brand), '[^a-z]', '', 'g') || 't' AS stem FROM part",
     "folded_tokens": "WITH t AS (SELECT unnest(regexp_extract_all(strip_accents(lower(replace(text, '''', ''))), '\\p{L}+')) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE length(token) <= 25 AND token NOT IN (SELECT unnest(['i', 'me', 'my', 'myself', 'we', 'our', 'ours', 'ourselves', 'you', 'your', 'yours', 'yourself', 'yourselves', 'he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself', 'it', 'its', 'itself', 'they', 'them', 'their', 'theirs', 'themselves', 'what', 'which', 'whom', 'this', 'that', 'these', 'those', 'am', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'have', 'has', 'had', 'having', 'do', 'does', 'did', 'doing', 'a', 'an', 'the', 'and', 'but', 'if', 'or', 'because', 'as', 'until', 'while', 'of', 'at', 'by', 'for', 'with', 'about', 'against', 'between', 'into', 'through', 'during', 'before', 'after', 'above', 'below', 'to', 'from', 'up', 'down', 'in', 'out', 'on', 'over', 'under', 'again', 'further', 'then', 'once', 'here', 'there', 'when', 'where', 'why', 'how', 'all', 'any', 'both', 'each', 'few', 'more', 'most', 'other', 'some', 'such', 'no', 'nor', 'not', 'only', 'own', 'same', 'so', 'than', 'too', 'very', 's', 'can', 'will', 'just', 'don', 'should', 'now', 'd', 'll', 'm', 'o', 're', 've', 'y', 'ain', 'aren', 'couldn', 'didn', 'doesn', 'hadn', 'hasn', 'haven', 'isn', 'ma', 'mightn', 'mustn', 'needn', 'shan', 'shouldn', 'wasn', 'weren', 'won', 'wouldn'])) GROUP BY 1 HAVING count(*) >= 200",
     "trial_match_share": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), s AS (SELECT p_partkey % 10 AS d, count(*) AS n FROM part WHERE p_partkey % 3 = 1 GROUP BY 1) SELECT l_orderkey AS trial, count(*) FILTER (l_partkey % 3 <> 2) AS matched, count(*) FILTER (l_partkey % 3 = 1 AND n > 1) AS ambiguous, count(*) AS total, round(100.0 * count(*) FILTER (l_partkey % 3 <> 2) / count(*), 4) AS percentage FROM r LEFT JOIN s ON d = l_partkey % 10 GROUP BY 1",
-    "population_ids": "SELECT c_custkey AS trial, 'D' || n_nationkey AS ids, c_custkey % 4 = 0 AS healthy, CASE WHEN contains(CAST(n_nationkey AS VARCHAR), '1') THEN 'D' || n_nationkey ELSE '' END AS associated FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "population_ids": """SELECT c_custkey AS trial, c_custkey % 4 = 0 AS healthy, 'D' || n AS ids, CASE WHEN n % 3 = 0 THEN 'D' || n ELSE '' END AS associated_ids, CASE WHEN n % 3 = 0 THEN 'V' || n ELSE '' END AS associations,
+        CASE WHEN n % 2 = 0 THEN 'M' || n_regionkey ELSE 'D' || n END AS cut_ids, CASE WHEN n % 3 > 0 THEN '' WHEN n % 2 = 0 THEN 'M' || n_regionkey ELSE 'D' || n END AS cut_associated_ids FROM (SELECT *, n_nationkey AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}
