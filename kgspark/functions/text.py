@@ -151,15 +151,17 @@ def criterion_term(c: Column) -> Column:
 QUALIFIER = r"(?i)^(a|an|the|any|all|some|no|this|that|these|those|each|every|either|neither|another|both|very|not|\w+(ly|ous|ive|al|ic|ful|less|able|ible|ary|ory|ish|ent|ant))$"
 
 
-def term_relaxations(c: Column) -> Column:
+def term_relaxations(c: Column, rest: Column | None = None) -> Column:
     """array of candidate terms in order of trial: as it is, without grades and numbers, without non-, without a qualifying first word.
 
+    rest is the last of these as operators.tagging finds it; without it the rule of QUALIFIER stands in.
+
     A term found without its non- is a negated one: that of place 2.
     """
     bare = F.regexp_replace(c, r"(grade)?\s?\d+", "")
     positive = F.regexp_replace(bare, "non-?", "")
-    rest = F.when((F.instr(c, " ") > 0) & F.substring_index(c, " ", 1).rlike(QUALIFIER), F.regexp_replace(c, r"^\S+\s+", ""))
-    return F.array(c, bare, positive, rest)
+    by_rule = F.when((F.instr(c, " ") > 0) & F.substring_index(c, " ", 1).rlike(QUALIFIER), F.regexp_replace(c, r"^\S+\s+", ""))
+    return F.array(c, bare, positive, by_rule if rest is None else rest)
 
 
 def split_alternatives(c: Column) -> Column:

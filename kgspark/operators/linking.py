@@ -107,8 +107,9 @@ def flatten_criteria(records: DataFrame) -> DataFrame:
     return kept.select("trial", side.alias("inclusion"), "category", F.col("text").alias("orig_term"), F.explode(T.split_alternatives(T.criterion_term(F.col("text")))).alias("term"), F.coalesce("neg", F.lit(False)).alias("negated"), F.coalesce("temporal", none).alias("temporal"), F.coalesce("value", none).alias("value"))
 
 
-def concept_stages(term: str = "term") -> list[tuple[str, Column]]:
-    relaxed = T.term_relaxations(F.col(term))
+def concept_stages(term: str = "term", rest: str | None = None) -> list[tuple[str, Column]]:
+    """A criterion term's candidates; rest: the column of tagging.qualified(), where there is one."""
+    relaxed = T.term_relaxations(F.col(term), None if rest is None else F.col(rest))
     return [(name, F.lower(F.trim(F.get(relaxed, F.lit(k))))) for k, name in enumerate(("exact", "no grade", "no non-", "no first word"))]
 
 
