@@ -35,7 +35,7 @@ from kgspark.session import written
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 2
 DISCLOSED = 0.9
-#: Bits of the filters that name the entities and the terms to look for, as powers of two: eight a value within these bounds; a value sets two.
+#: Bits of the filters that name the entities and the terms to look for, as powers of two: 128 a value within these bounds; a value sets two.
 FILTER_BITS = (16, 27)
 #: Parts into which the places of a term are dealt, so that a frequent one is no single task's work.
 SALT = 16
@@ -92,7 +92,7 @@ def _hash(value: str) -> int:
 
 def _filter(rows: DataFrame, key: str) -> np.ndarray:
     """A table of bits, in words of 64: those set that the first and the last bits of a key name. It grows with the rows."""
-    n = max(min(math.ceil(math.log2(8 * rows.count() + 1)), FILTER_BITS[1]), FILTER_BITS[0])
+    n = max(min(math.ceil(math.log2(128 * rows.count() + 1)), FILTER_BITS[1]), FILTER_BITS[0])
     ends = F.array(F.shiftrightunsigned(key, 64 - n), F.col(key).bitwiseAND(F.lit((1 << n) - 1)))
     bits = rows.select(F.explode(ends).alias("place")).select(F.shiftright("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
