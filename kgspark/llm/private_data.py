@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.extras import extras_aside
@@ -240,14 +240,19 @@ def _classes(docs: DataFrame, found: DataFrame, support: int, disclosed: float)
     met = named.join(_mentioning(texts, context.broadcast(_filter(alone, "entity"))), "text_hash")
     together = met.select("one", "two", "n_entity", F.explode("terms").alias("term")).groupBy("one", "two", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = written(together, "private-pairs")
-    wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
     copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
     n = copies.count()
+
+    def share(n_term) -> Column:
+        pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * n_term))
+        return F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
+
+    # A term is in as many texts at least as it shares with any class: pairs that this rules out needn't be counted.
+    least = together.groupBy("term").agg(F.max("n_both").alias("least"))
+    together = written(together.join(least, "term").where(share(F.col("least")) >= disclosed - 1e-9).drop("least"), "private-candidates")
+    wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
     repeated = context.broadcast(place_table(copies.where("rows > 1"), "text_hash"))
-    both = together.join(_document_counts(texts, wanted, repeated), "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
-    both = both.withColumn("disclosure", share)
+    both = together.join(_document_counts(texts, wanted, repeated), "term").withColumn("disclosure", share(F.col("n_term")))
     return alone, both.where(F.col("disclosure") >= disclosed).select("one", "two", "term", "disclosure")
 
 
