@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 LENGTH = 4096
 GROUP_ROWS = 4096
+#: Words in a generation of a worker's memo: fewer than token files take, as packing stands behind other stages in a pipeline.
+MEMO_WORDS = 350_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32", "nth"]
@@ -67,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         met: dict[tuple, int] = {}
         for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, 512)):
             batch, rows = whole.slice(at, 512), []
-            encoded = encoder(tokenizer).encode(batch.column("text").to_pylist())
+            encoded = encoder(tokenizer, MEMO_WORDS).encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 total, key = len(ids) // 4, (doc_id, zlib.crc32(ids))
                 nth = met[key] = met.get(key, -1) + 1

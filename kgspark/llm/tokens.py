@@ -36,25 +36,25 @@ _SPACES = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder; its memo outlives a task."""
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> Encoder:
+    """This worker's encoder, with so many words in a generation of its memo, which outlives a task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, memo_words)
     return _encoders[path]
 
 
 class _Memo(dict):
     """word -> ids as bytes; a word that it lacks is learned when asked for."""
 
-    def __init__(self, learn):
-        self.learn, self.old = learn, {}
+    def __init__(self, learn, most):
+        self.learn, self.most, self.old = learn, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.learn(word)
         if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = ids
@@ -69,7 +69,7 @@ class Encoder:
     proportion to its length.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +79,7 @@ class Encoder:
         self.drops = self._ids(" a") == self._ids("a")
         self.lead = "" if self.drops else " "
         self.line = self._ids("\n")
-        self.memo, self.marks = _Memo(self._learn), _Memo(self._ids)
+        self.memo, self.marks = _Memo(self._learn, memo_words), _Memo(self._ids, memo_words)
         self.model, self.fast = self.tokenizer.model, True
         probe = ["Probe", "Été,", "Straßenöl.", "thtionhe", "l'eau", "end.)", "\nNext:", "x&&&"]
         self.fast = all(self._learn(w) == self._ids(w if w[0] == "\n" else self.lead + w) for w in probe)

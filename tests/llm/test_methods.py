@@ -165,13 +165,12 @@ def test_views_pass_each_other_what_they_are_sure_of(spark):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cut_words_give_the_tokenizers_ids(name, monkeypatch):
+def test_cut_words_give_the_tokenizers_ids(name):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(tokens, "MEMO_WORDS", 50)
     whole = Tokenizer.from_file(queries.tokenizer(name))
     whole.encode_special_tokens = True
-    mine, r = tokens.Encoder(queries.tokenizer(name)), random.Random(7)
+    mine, r = tokens.Encoder(queries.tokenizer(name), 50), random.Random(7)
     assert mine.fast
     alphabet = list(" \n\t\0aAbéÉß.,!'’-0٣中🙂́ \x1f\x85()&sS") + ["</w>", "<|endoftext|>", " the", "\nNext"]
     for _ in range(8000):
