@@ -8,13 +8,30 @@ rows and very long texts is said at each stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import languages, mixing, near_copies, packing, secrets
 from kgspark.llm.queries import tokenizer
 from kgspark.session import written
 
+#: Rows that a Python worker gets at a time: texts of some kB, so that workers of all five stages fit beside a full heap.
+BATCH_ROWS = "2000"
+
+
+def _bounded(stage):
+    """The stage with Arrow batches of BATCH_ROWS rows, in this session from here on."""
+
+    @wraps(stage)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return inner
+
 
+@_bounded
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; lang becomes the prediction.
 
@@ -25,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return languages.keep(docs)
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked documents: that of the smallest doc_id.
 
@@ -35,11 +53,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_copies.one_of_each(docs)
 
 
+@_bounded
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by a mark; a null text becomes an empty one."""
     return secrets.redacted(docs)
 
 
+@_bounded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice.
 
@@ -49,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; a document taken twice is packed twice, an empty one gives its end id alone."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
