@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.extras import extras_aside
-from kgspark.llm.near_copies import place_table, placed
 from kgspark.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,6 +38,10 @@ DISCLOSED = 0.9
 FILTER_BITS = (16, 27)
 #: Parts into which the places of a term are dealt, so that a frequent one is no single task's work.
 SALT = 16
+#: Every so-manieth text is read for a first count of terms, which rules out frequent ones before all texts are read; powers of two.
+PARTS = (64, 8)
+#: Terms of single texts that a task holds before it sends their counts.
+HELD_TERMS = 1 << 20
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -179,26 +182,58 @@ def _mentioning(texts: DataFrame, wanted) -> DataFrame:
     return once.groupBy("text_hash").agg(F.first("terms").alias("terms"))
 
 
-def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
+def _row() -> Column:
+    """A hash of a row's text and doc_id."""
+    return F.xxhash64("text_hash", "doc_id").alias("row")
+
+
+def _is_read(repeated: np.ndarray, first: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which rows are read: all of texts that `repeated` doesn't name, of the others those that `first` names."""
+    return ~_let_through(repeated, keys.view(np.uint64)) | _let_through(first, rows.view(np.uint64))
+
+
+def _first_rows(found: DataFrame, copies: DataFrame) -> tuple:
+    """(repeated, first, unsure): filters of repeated texts, of their first rows, and of texts of which these two have not one row read."""
+    context = found.sparkSession.sparkContext
+    repeated, first = context.broadcast(_filter(copies, "text_hash")), context.broadcast(_filter(copies, "row"))
+
+    def read(batches):
+        for batch in batches:
+            keys, rows = (batch.column(c).to_numpy() for c in ("text_hash", "row"))
+            named = _let_through(repeated.value, keys.view(np.uint64))
+            n = _is_read(repeated.value, first.value, keys, rows)[named].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[named]), pa.array(n)], names=["text_hash", "n"])
+
+    n_read = found.select("text_hash", _row()).mapInArrow(read, "text_hash long, n long").groupBy("text_hash").agg(F.sum("n").alias("n"))
+    unsure = written(n_read.where("n <> 1").select("text_hash"), "private-unsure")
+    return repeated, first, context.broadcast(_filter(unsure, "text_hash"))
+
+
+def _document_counts(texts: DataFrame, wanted, repeated, first, unsure) -> DataFrame:
     """(term, n_term): different texts that hold each term which the filter lets through.
 
-    Of texts (text_hash, text), those which `repeated` may name are sent one by
-    one and count once each; the others occur once, and are counted where they
-    are read, under the hash of one of them.
+    A text counts where its first row is read, a task's texts together. Texts
+    that `unsure` names are sent one by one, and count once each.
     """
 
     def count(batches):
         from kgspark.llm.words import slices, word_hashes
 
-        table, copied, done = wanted.value, repeated.value, set()
+        table, done, alone, held = wanted.value, set(), [], 0
+
+        def summed():
+            terms, n = np.unique(np.concatenate(alone), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.int64()), pa.array(terms.view(np.int64)), pa.array(n)], names=["text_hash", "term", "n"])
+
         for batch in batches:
-            keys = batch.column("text_hash").to_numpy()
-            single = placed(copied, keys.view(np.uint64)) == 0
-            rows, alone, key = [], [], None
-            for first, encoded in slices(batch.column("text").to_pylist()):
+            keys, ids = (batch.column(c).to_numpy() for c in ("text_hash", "row"))
+            single = ~_let_through(unsure.value, keys.view(np.uint64))
+            read = ~single | _is_read(repeated.value, first.value, keys, ids)
+            batch, keys, single, one = batch.filter(pa.array(read)), keys[read], single[read], []
+            for low, encoded in slices(batch.column("text").to_pylist()):
                 hashes, ends = word_hashes(encoded)
                 asked = _let_through(table, hashes)
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), first):
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), low):
                     if not single[i]:
                         if keys[i] in done:
                             continue
@@ -208,20 +243,21 @@ def _document_counts(texts: DataFrame, wanted, repeated) -> DataFrame:
                     terms = np.unique(hashes[a:b][asked[a:b]])
                     if single[i]:
                         alone.append(terms)
-                        key = keys[i]
+                        held += len(terms)
                     elif len(terms):
-                        rows.append((keys[i], terms, np.ones(len(terms), np.int64)))
-            if alone:
-                rows.append((key, *np.unique(np.concatenate(alone), return_counts=True)))
-            if rows:
-                names, terms, n = zip(*rows, strict=True)
-                counts = pa.StructArray.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(np.concatenate(n))], ["term", "n"])
-                stops = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)), pa.ListArray.from_arrays(stops, counts)], names=["text_hash", "terms"])
+                        one.append((np.full(len(terms), keys[i]), terms))
+                if held > HELD_TERMS:
+                    yield summed()
+                    alone, held = [], 0
+            if one:
+                names, terms = (np.concatenate(c) for c in zip(*one, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(terms.view(np.int64)), pa.array(np.ones(len(terms), np.int64))], names=["text_hash", "term", "n"])
+        if held:
+            yield summed()
 
-    counted = texts.select("text_hash", "text").mapInArrow(count, "text_hash long, terms array<struct<term:long,n:long>>")
-    counted = counted.groupBy("text_hash").agg(F.first("terms").alias("terms")).select(F.inline("terms"))
-    return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+    counted = texts.select("text_hash", _row(), "text").mapInArrow(count, "text_hash long, term long, n long").repartition("term")
+    n = F.when(F.col("text_hash").isNull(), F.sum("n")).otherwise(F.max("n"))
+    return counted.groupBy("term", "text_hash").agg(n.alias("n")).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _classes(docs: DataFrame, found: DataFrame, support: int, disclosed: float) -> tuple[DataFrame, DataFrame]:
@@ -237,22 +273,30 @@ def _classes(docs: DataFrame, found: DataFrame, support: int, disclosed: float)
     alone = pairs.groupBy("entity").agg(F.count("*").alias("n_entity"), sum_of(1).alias("one"), sum_of(2).alias("two")).where(F.col("n_entity") >= support)
     alone = written(alone, "private-entities")
     named = pairs.join(alone, "entity").select("text_hash", "one", "two", "n_entity").distinct()
-    met = named.join(_mentioning(texts, context.broadcast(_filter(alone, "entity"))), "text_hash")
+    mentioned = written(_mentioning(texts, context.broadcast(_filter(alone, "entity"))), "private-mentions")
+    met = named.join(mentioned, "text_hash")
     together = met.select("one", "two", "n_entity", F.explode("terms").alias("term")).groupBy("one", "two", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    together = written(together, "private-pairs")
-    copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
-    n = copies.count()
+    copies = found.groupBy("text_hash").agg(F.count("*").alias("rows"), F.min(_row()).alias("row")).where("rows > 1")
+    copies = written(copies, "private-copies")
+    n = found.count() - (copies.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
 
     def share(n_term) -> Column:
         pmi = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * n_term))
         return F.when(F.col("n_entity") < n, pmi / F.log2(F.lit(float(n)) / F.col("n_entity"))).otherwise(0.0)
 
-    # A term is in as many texts at least as it shares with any class: pairs that this rules out needn't be counted.
-    least = together.groupBy("term").agg(F.max("n_both").alias("least"))
-    together = written(together.join(least, "term").where(share(F.col("least")) >= disclosed - 1e-9).drop("least"), "private-candidates")
+    # A term is in as many texts at least as name entities and hold it, or as hold it in a part of all texts: pairs that this rules out needn't be counted further.
+    least = mentioned.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") >= support)
+    possible = share(F.col("least")) >= disclosed - 1e-9
+    together = written(together.join(least, "term").where(possible), "private-candidates")
+    once = _first_rows(found, copies)
+    for part in PARTS:
+        wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
+        counts = _document_counts(texts.where(F.col("text_hash").bitwiseAND(F.lit(part - 1)) == 0), wanted, *once)
+        together = together.join(counts, "term", "left").withColumn("least", F.greatest("least", "n_term")).drop("n_term")
+        together = written(together.where(possible), "private-candidates")
+        wanted.unpersist()
     wanted = context.broadcast(_filter(together.select("term").distinct(), "term"))
-    repeated = context.broadcast(place_table(copies.where("rows > 1"), "text_hash"))
-    both = together.join(_document_counts(texts, wanted, repeated), "term").withColumn("disclosure", share(F.col("n_term")))
+    both = together.join(_document_counts(texts, wanted, *once), "term").withColumn("disclosure", share(F.col("n_term")))
     return alone, both.where(F.col("disclosure") >= disclosed).select("one", "two", "term", "disclosure")
 
 

@@ -1,3 +1,10 @@
+import math
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
 from kgspark.llm import private_data
 
 
@@ -52,3 +59,62 @@ def test_directories_of_many_entities(spark):
 def test_sanitised_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, terms string")
     assert private_data.sanitised(docs).count() == 0 and private_data.sanitised(docs).columns == docs.columns
+
+
+def _plain_disclosures(texts):
+    """{(entity, term): disclosure} of different texts, by the module's definition."""
+    of_entity, of_term = defaultdict(set), defaultdict(set)
+    for text in texts:
+        spans = private_data.base_spans(text)
+        for kind, a, b in spans:
+            of_entity[kind, text[a:b]].add(text)
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            if not any(a < m.end() and m.start() < b for _, a, b in spans):
+                of_term[m[0].lower()].add(text)
+    n, out = len(texts), {}
+    for e, held in of_entity.items():
+        for t, holding in of_term.items():
+            if len(held & holding) >= 2:
+                out[e, t] = math.log2(n * len(held & holding) / (len(held) * len(holding))) / math.log2(n / len(held))
+    return out
+
+
+@pytest.mark.parametrize("bits", [(16, 27), (10, 10), (7, 7)])
+def test_copies_count_once_whatever_their_ids_and_however_small_the_filters(spark, monkeypatch, bits):
+    """Copies with ids of their own, with one id, and without ids; filters that are nearly full let more through, and change nothing."""
+    monkeypatch.setattr(private_data, "FILTER_BITS", bits)
+    draw = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*draw.sample(words[k % 7 * 8 :], 6), f"m{k % 11}@ex.org" if k % 3 == 0 else "none"]) for k in range(200)]
+    rows = [(k, text) for k, text in enumerate(texts)]
+    rows += [(1000 + k, text) for k, text in enumerate(texts[:40])] + [(2000 + k, text) for k, text in enumerate(texts[:20])]
+    rows += [(k, texts[k]) for k in range(30, 60)] + [(None, texts[k]) for k in range(50, 80)] * 2
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = private_data.scan(docs)
+    entity = {private_data._entity("email", f"m{k}@ex.org"): ("email", f"m{k}@ex.org") for k in range(11)}
+    got = sorted((entity[r.entity], round(r.disclosure, 9)) for r in private_data.revealing(docs, found, 2, 0.1).collect())
+    expected = sorted((e, round(x, 9)) for (e, _), x in _plain_disclosures(set(texts)).items() if x >= 0.1)
+    assert len(expected) > 50 and got == expected
+
+
+def test_words_of_copied_texts_are_not_sent_text_by_text(spark):
+    """300 texts of 1,000 words that an entity's texts hold, each twice: what is shuffled follows the words, not the texts."""
+    draw = random.Random(4)
+    words = [f"word{k}" for k in range(3000)]
+    texts = [" ".join(draw.sample(words, 1000)) for _ in range(300)]
+    rows = [(k, " ".join(words) + f" z@ex.org {k}") for k in (1, 2)]
+    rows += [(10 + k, text) for k, text in enumerate(texts * 2)] + [(1000 + k, f"nothing {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = private_data.written(docs.repartition(4), "copied-texts")
+    found = private_data.written(private_data.scan(docs), "copied-found")
+
+    def stages() -> list:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(k) for k in range(found.size())]
+
+    last = max(s.stageId() for s in stages())
+    assert private_data.revealing_terms(docs, found, 2, 0.5).count() == 0
+    sent = sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+    assert sent < 1_000_000
