@@ -116,11 +116,19 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", max_
 
 
 def independent_ids(sets: DataFrame, ancestors: DataFrame, keep: str = "general") -> DataFrame:
-    """(key, id) without ids that another id of the same key makes redundant: general keeps ancestors, specific descendants."""
-    pairs = ancestors.select(F.col("node").alias("_node"), F.col("ancestor").alias("_ancestor"))
-    mine, other = ("_node", "_ancestor") if keep == "general" else ("_ancestor", "_node")
-    others = sets.select(F.col("key").alias("_key"), F.col("id").alias("_other"))
-    redundant = sets.join(pairs, F.col("id") == F.col(mine)).join(others, (F.col("key") == F.col("_key")) & (F.col("_other") == F.col(other))).select("key", "id")
+    """(key, id) without ids that another id of the same key makes redundant: general keeps ancestors, specific descendants.
+
+    Ids are followed upwards alone: a term has few ancestors, but may have very many descendants.
+    """
+    ids = sets.select(F.col("id").alias("_id")).distinct()
+    up = ancestors.select(F.col("node").alias("_node"), F.col("ancestor").alias("_ancestor"))
+    up = up.join(ids, F.col("_node") == F.col("_id"), "left_semi").join(ids, F.col("_ancestor") == F.col("_id"), "left_semi")
+    climbed = sets.join(up, F.col("id") == F.col("_node"))
+    if keep == "general":
+        others = sets.select(F.col("key").alias("_key"), F.col("id").alias("_other"))
+        redundant = climbed.join(others, (F.col("key") == F.col("_key")) & (F.col("_ancestor") == F.col("_other")), "left_semi").select("key", "id")
+    else:
+        redundant = climbed.select("key", F.col("_ancestor").alias("id"))
     return sets.join(redundant.distinct(), ["key", "id"], "left_anti")
 
 
