@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.graph import SAME, last_writer
 
+# Ends that are reached in more ways than this stand alone, so a class's list of ways is short.
+WAYS = 64
+
 # The actions of a drug on a protein that are told apart; all others are `other`.
 ACTIONS = ["inhibitor", "substrate", "antagonist", "agonist", "inducer"]
 # The id of the placebo, and its name.
@@ -126,14 +129,19 @@ def protein_functions(rows: DataFrame, proteins: DataFrame) -> DataFrame:
     return present(edges, proteins, "src")
 
 
+def _phenotype_sides(chemicals: DataFrame, interactions: DataFrame, organism: str) -> tuple[DataFrame, DataFrame]:
+    drugs = chemicals.where("drug_ids <> ''").select(F.substring_index("chemical_id", ":", -1).alias("chemical"), F.explode(F.split("drug_ids", r"\|")).alias("drug_id"))
+    actions = F.array_distinct(F.transform(F.split("actions", r"\|"), lambda a: F.substring_index(a, "^", 1)))
+    seen = interactions.where(F.col("organism_id") == organism).select(F.substring_index("chemical_id", ":", -1).alias("chemical"), "phenotype_id", "phenotype_name", F.explode(actions).alias("relation"))
+    return drugs, seen
+
+
 def phenotypes(chemicals: DataFrame, interactions: DataFrame, organism: str = "9606") -> DataFrame:
     """(drug_id, phenotype_id, phenotype_name, relation) from chemicals(chemical_id, drug_ids with |) and interactions(chemical_id, phenotype_id, phenotype_name, organism_id, actions).
 
     A chemical's id loses its vocabulary's prefix; an interaction is what stands before ^.
     """
-    drugs = chemicals.where("drug_ids <> ''").select(F.substring_index("chemical_id", ":", -1).alias("chemical"), F.explode(F.split("drug_ids", r"\|")).alias("drug_id"))
-    actions = F.array_distinct(F.transform(F.split("actions", r"\|"), lambda a: F.substring_index(a, "^", 1)))
-    seen = interactions.where(F.col("organism_id") == organism).select(F.substring_index("chemical_id", ":", -1).alias("chemical"), "phenotype_id", "phenotype_name", F.explode(actions).alias("relation"))
+    drugs, seen = _phenotype_sides(chemicals, interactions, organism)
     return seen.join(drugs, "chemical").select("drug_id", "phenotype_id", "phenotype_name", "relation")
 
 
@@ -142,6 +150,13 @@ def drug_phenotypes(rows: DataFrame, functions: DataFrame) -> DataFrame:
     return present(edges_of(rows, drug_key("drug_id"), function_key("phenotype_id"), F.col("relation"), "CTD"), functions)
 
 
+def drug_phenotype_counts(chemicals: DataFrame, interactions: DataFrame, functions: DataFrame, organism: str = "9606") -> DataFrame:
+    """(dst, relation, n): the edges of drug_phenotypes() by function and relation, counted without making them."""
+    drugs, seen = _phenotype_sides(chemicals, interactions, organism)
+    known = present(seen.select(function_key("phenotype_id").alias("dst"), "relation", "chemical"), functions)
+    return bridged_counts(known, drugs, ["dst", "relation"], "chemical", "drug_id")
+
+
 def drug_targets(drugs: DataFrame, gene_of: DataFrame, organism: str = "9606") -> DataFrame:
     """(drug_id, accession, protein_entrez_id, type, action) of drugs(id, targets(type, actions, accessions(id, organism_id))), with gene_of(accession, gene)."""
     each = drugs.select(F.col("id").alias("drug_id"), F.explode("targets").alias("t")).select("drug_id", "t.type", F.array_join(F.coalesce("t.actions", F.array().cast("array<string>")), ",").alias("action"), F.explode("t.accessions").alias("p"))
@@ -165,14 +180,41 @@ def bridged(left: DataFrame, bridge: DataFrame, right: DataFrame, via: str) -> D
     return left.join(bridge, "code").join(right, via).select("src", "dst").distinct()
 
 
-def disease_genes(mappings: DataFrame, genes: DataFrame, diseases: DataFrame, proteins: DataFrame) -> DataFrame:
-    """dis-gene edges: mappings(diseaseId, vocabulary, code) of MSH codes that are diseases, genes(geneId, diseaseId) that are proteins."""
+def bridged_counts(left: DataFrame, right: DataFrame, keys: list[str], via: str, end: str) -> DataFrame:
+    """(keys, n): how many different ends of right(via, end) each of left(keys, via) meets, without making the pairs.
+
+    Ends that are reached in the same ways are a class of a size, under its
+    least end; keys meet classes instead of ends. An end of more than WAYS ways
+    is a class by itself.
+    """
+    ends = right.where(F.col(via).isNotNull() & F.col(end).isNotNull()).select(F.col(via).alias("_via"), F.col(end).alias("_end")).distinct()
+    ways = ends.groupBy("_end").agg(F.count("*").alias("_ways"))
+    few = ends.join(ways.where(F.col("_ways") <= WAYS), "_end").groupBy("_end").agg(F.sort_array(F.collect_list("_via")).alias("_by"))
+    classes = few.groupBy("_by").agg(F.min("_end").alias("_end"), F.count("*").alias("_size")).select(F.explode("_by").alias("_via"), "_end", "_size")
+    alone = ends.join(ways.where(F.col("_ways") > WAYS), "_end").select("_via", "_end", F.lit(1).cast("long").alias("_size"))
+    met = left.select(*keys, F.col(via).alias("_via")).distinct().join(classes.unionByName(alone), "_via")
+    return met.select(*keys, "_end", "_size").distinct().groupBy(*keys).agg(F.sum("_size").alias("n"))
+
+
+def _disease_gene_sides(mappings: DataFrame, genes: DataFrame, diseases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = diseases.where("etype = 'DISEASE'").select(F.col("id").alias("code"), F.col("key").alias("src"))
     bridge = mappings.where("vocabulary = 'MSH'").select("code", "diseaseId")
     right = genes.select("diseaseId", protein_key(F.trim(F.col("geneId").cast("string"))).alias("dst"))
+    return known, bridge, right
+
+
+def disease_genes(mappings: DataFrame, genes: DataFrame, diseases: DataFrame, proteins: DataFrame) -> DataFrame:
+    """dis-gene edges: mappings(diseaseId, vocabulary, code) of MSH codes that are diseases, genes(geneId, diseaseId) that are proteins."""
+    known, bridge, right = _disease_gene_sides(mappings, genes, diseases)
     return present(edges_of(bridged(known, bridge, right, "diseaseId"), F.col("src"), F.col("dst"), "dis-gene", "DISGENET"), proteins)
 
 
+def disease_gene_counts(mappings: DataFrame, genes: DataFrame, diseases: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(src, n): the edges of disease_genes() by disease, counted without making them."""
+    known, bridge, right = _disease_gene_sides(mappings, genes, diseases)
+    return bridged_counts(known.where("src is not null").join(bridge, "code"), present(right, proteins), ["src"], "diseaseId", "dst")
+
+
 def concept_graph(concepts: DataFrame, names: DataFrame, codes: DataFrame, nodes: DataFrame) -> Graph:
     """Concepts (cui), named by names(cui, name), and the same as the known nodes that codes(cui, vocabulary, code) names in three vocabularies."""
     cuis = concepts.select("cui").distinct()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import graph
+from tests.plans_rows import most_rows
 
 
 def _chain(spark):
@@ -17,34 +18,12 @@ def _chain(spark):
 def test_no_term_meets_all_its_descendants(spark, keep):
     sets, ancestors = _chain(spark)
     found = graph.independent_ids(sets, ancestors, keep)
-    assert _most_rows(found) < 50_000  # 4.5 million where a key's term meets each of its leaves
+    assert most_rows(found) < 50_000  # 4.5 million where a key's term meets each of its leaves
     left = {(r.key, r.id) for r in found.collect()}
     top = lambda k: "r" if k % 2 else "n"
     assert left == {(k, "x") for k in range(3000)} | {(k, top(k) if keep == "general" else f"c{k}") for k in range(3000)}
 
 
-def _most_rows(df) -> int:
-    """The largest number of rows that an operator of the executed plan put out."""
-    df.write.format("noop").mode("overwrite").save()
-    df.collect()
-    seen, todo = [0], [df._jdf.queryExecution().executedPlan()]
-    while todo:
-        node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
-            todo.append(node.executedPlan())
-            continue
-        if kind.endswith("QueryStageExec"):
-            todo.append(node.plan())
-            continue
-        metric = node.metrics().get("numOutputRows")
-        if metric.isDefined():
-            seen.append(metric.get().value())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return max(seen)
-
-
 @pytest.mark.parametrize("keep", ["general", "specific"])
 def test_redundant_ids_match_brute_force(spark, keep):
     up = [("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "p"), ("d", "c")]
