@@ -283,23 +283,30 @@ def with_ids(rows: DataFrame, column: str, start: int = 0, id: str = "id") -> Da
     return rows.join(ids, F.col(column) == F.col("_value"), "left").drop("_value")
 
 
-def predecessors(trials: DataFrame, check_phase: bool = False, check_drug: bool = False, salt: int = 16) -> DataFrame:
+def predecessors(trials: DataFrame, check_phase: bool = False, check_drug: bool = False, most: int = 4096) -> DataFrame:
     """(before, id): pairs of different trials of which `before` is a predecessor of `id`.
 
     trials: id, diseases, countries, start_year, end_year, and phase or drugs
     where asked. The two share a disease and a country, and before's end year is
     at most id's start year; with check_phase id's phase is the next one, with
     check_drug both have the same drugs. A null or zero year makes no pair.
+
+    Of what is shared by more than `most` earlier trials, these are dealt in
+    parts, and the later ones are copied to each part; all else meets once. The
+    join is by sorting: lists make the rows many more than Spark takes them for,
+    and one side would be broadcast.
     """
     keys = ["disease", "country", *(["drugs"] if check_drug else []), *(["phase"] if check_phase else [])]
     rows = trials.withColumns({"disease": F.explode(F.array_distinct("diseases")), "start": F.col("start_year"), "end": F.col("end_year")})
     rows = rows.withColumn("country", F.explode(F.array_distinct("countries")))
     if check_drug:
         rows = rows.withColumn("drugs", F.array_sort("drugs"))
-    first = rows.where("end != 0").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
+    first = rows.where("end != 0")
     if check_phase:
         first = first.withColumn("phase", F.col("phase") + 1)
-    first = first.select(*keys, "salt", F.col("id").alias("before"), "end")
-    second = rows.where("start != 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    second = second.select(*keys, "salt", "id", "start")
-    return first.join(second, [*keys, "salt"]).where("end <= start and before != id").select("before", "id").distinct()
+    parts = F.ceil(F.count("*") / most).alias("parts")
+    often = written(first.groupBy(*keys).agg(parts).where("parts > 1"), "predecessors-often")
+    first, second = (side.join(often, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))) for side in (first, rows.where("start != 0")))
+    first = first.select(*keys, F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("before"), "end")
+    second = second.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "start")
+    return first.hint("merge").join(second, [*keys, "part"]).where("end <= start and before != id").select("before", "id").distinct()
