@@ -1,16 +1,23 @@
-"""Message passing, pooling and losses over long tables: joins and aggregates, no tensors.
+"""Message passing, pooling and losses over long tables: joins and aggregates, no tensors; nearest() alone multiplies blocks of vectors.
 
 features: node, vector (array<double>); edges: src, dst, etype.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.features import log_sigmoid, sigmoid
-from kgspark.functions.vectors import dot, element_mean, l2_normalised
+from kgspark.functions.vectors import dot, element_mean
+
+# Components of a block of vectors, and scores that are held at a time.
+BLOCK, TILE = 2**22, 2**21
 
 
 def neighbour_means(edges: DataFrame, features: DataFrame, how: str = "avg") -> DataFrame:
@@ -123,15 +130,98 @@ def uncertainty_weighted(losses: list[tuple[Column, Column]]) -> Column:
     return total
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, id: str = "id", vector: str = "vector", blocks: int = 8, digits: int = 6) -> DataFrame:
+def _matrix(vectors: list) -> np.ndarray:
+    """Vectors of one length at unit length, summed in order of place as Spark does."""
+    m = np.array(vectors, np.float64).reshape(len(vectors), -1)
+    n = np.zeros(len(m))
+    for j in range(m.shape[1]):
+        n += m[:, j] * m[:, j]
+    with np.errstate(invalid="ignore"):
+        return m / np.maximum(np.sqrt(n), 1e-12)[:, None]
+
+
+def _rounded(a: np.ndarray, b: np.ndarray, near: np.ndarray, digits: int) -> np.ndarray:
+    """near, the products of rows a and b times 10^digits, rounded half up as Spark does: where that hangs on the last bits, from the sum in order of place."""
+    out = np.floor(near + 0.5)
+    for i in np.flatnonzero(np.abs(near + 0.5 - np.rint(near + 0.5)) < 10.0**digits * 1e-11):
+        product = 0.0
+        for x in (a[i] * b[i]).tolist():
+            product += x
+        out[i] = float(Decimal(repr(product)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP).scaleb(digits))
+    return out
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, digits: int):
+    """Pieces (query, id, score, place) with the k best rows of ascending ids for each query, its own id apart; ties to smaller ids, NaN above all."""
+    scale, step = 10.0**digits, max(1, TILE // max(1, len(ids)))
+    low, high = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+    rough = [m.astype(np.float32) for m in (q, v)]  # products to within `off`; those that may count are taken again
+    off, numbers = 1.2e-7 * (q.shape[1] + 4), np.isfinite(q).all() and np.isfinite(v).all()
+    for at in range(0, len(q), step):
+        s = rough[0][at : at + step] @ rough[1].T
+        if not numbers:
+            s[np.isnan(s)] = np.inf
+        for i in range(len(s)):
+            s[i, low[at + i] : high[at + i]] = -np.inf
+        tops, n = s, s.shape[1] // 16
+        if n > k:  # the k-th best of 16 columns' best is no more than the k-th best
+            tops = s[:, :n].copy()
+            for c in range(1, 16):
+                np.maximum(tops, s[:, c * n : c * n + n], out=tops)
+        kth = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] if tops.shape[1] > k else np.full(len(s), -np.inf)
+        i, j = np.nonzero((s >= (kth - 1.001 / scale - 2 * off)[:, None]) & (s > -np.inf))
+        score, whole = s[i, j].astype(float), np.flatnonzero(np.isfinite(s[i, j]))
+        for some in np.array_split(whole, len(whole) // 2**16 + 1):
+            a, b = q[at + i[some]], v[j[some]]
+            score[some] = _rounded(a, b, np.einsum("ij,ij->i", a, b) * scale, digits) / scale
+        order = np.lexsort((j, -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        yield pd.DataFrame({"query": q_ids[at + i[first]], "id": ids[j[first]], "score": np.where(np.isinf(score[first]), 0.0, score[first]), "place": np.isfinite(score[first]).astype(int)})
+
+
+def _without_score(q_ids: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """(query, id) of the k smallest ids of rows that have no score with a query."""
+    own = [ids[: k + np.searchsorted(ids, i, "right") - np.searchsorted(ids, i, "left")] for i in q_ids]
+    own = [x[x != i][:k] for i, x in zip(q_ids, own, strict=True)]
+    return pd.DataFrame({"query": np.repeat(q_ids, [len(x) for x in own]), "id": np.concatenate([*own, ids[:0]]), "score": 0.0, "place": 2})
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, id: str = "id", vector: str = "vector", digits: int = 6) -> DataFrame:
     """(query, rank, id, score): the k rows of largest cosine of each query, itself apart; ties by id.
 
-    A stated query set against all rows, in blocks: queries are copied to the
-    rows' blocks, each block keeps k rows a query, and these are merged.
+    A stated query set against all rows, in blocks of BLOCK components at most:
+    queries are copied to the blocks of rows and rows to the blocks of queries,
+    each pair of blocks is multiplied and keeps k rows a query, and these are
+    merged. Vectors that are null, hold nulls or are of another length than the
+    query have no score and come last.
     """
-    unit = lambda df, a, b: df.select(F.col(id).alias(a), l2_normalised(F.col(vector)).alias(b))
-    q = unit(queries, "query", "_q").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    r = unit(rows, "id", "_r").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    scored = q.join(r, "_b").where(F.col("query") != F.col("id")).select("query", "_b", "id", F.round(dot(F.col("_q"), F.col("_r")), digits).alias("score"))
-    best = lambda df, *keys: df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    return best(best(scored, "query", "_b").drop("rank", "_b"), "query").select("query", "rank", "id", "score")
+    kind = rows.schema[vector].dataType.elementType.simpleString()
+    kind = "float" if kind == queries.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    v = F.col(vector)
+    whole = F.when(F.forall(v, lambda x: x.isNotNull()), v.cast(f"array<{kind}>"))
+    sides = [df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), whole.alias("v")) for df in (queries, rows)]
+    sizes = [df.agg(F.count("*"), F.max(F.size("v"))).first() for df in sides]
+    most = [max(1, -(-n * max(1, width or 1) // BLOCK)) for n, width in sizes]
+    most[1] = max(most[1], min(-(-sizes[1][0] // 1024), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    held = [df.withColumn(f"b{n}", F.pmod(F.xxhash64("id"), F.lit(most[n]))).withColumn(f"b{1 - n}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most[1 - n] - 1).cast("long")))).groupBy("b0", "b1") for n, df in enumerate(sides)]
+
+    def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("id", kind="stable")
+        width = lambda df: np.array([-1 if x is None else len(x) for x in df["v"]], np.int64)
+        q_width, r_width = width(q), width(r)
+        out = [pd.DataFrame({"query": q["id"][:0], "id": r["id"][:0], "score": np.zeros(0), "place": np.zeros(0, int)})]
+        for w in np.unique(q_width):
+            mine, same = q_width == w, (r_width == w) & (w >= 0)
+            q_ids, ids = q["id"].to_numpy()[mine], r["id"].to_numpy()
+            if same.any():
+                out += _best(q_ids, _matrix(q["v"][mine].tolist()), ids[same], _matrix(r["v"][same].tolist()), k, digits)
+            if not same.all():
+                out.append(_without_score(q_ids, ids[~same], k))
+        return pd.concat(out, ignore_index=True)
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in sides]
+    local = held[0].cogroup(held[1]).applyInPandas(solve, f"query {kinds[0]}, id {kinds[1]}, score double, place int")  # place: 0 of NaN, 1 of a number, 2 of no score
+    rank = F.row_number().over(W.partitionBy("query").orderBy("place", F.desc("score"), "id"))
+    ranked = local.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query", "rank", "id", F.when(F.col("place") == 0, float("nan")).when(F.col("place") == 1, F.col("score")).alias("score"))
