@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.operators.graph import vocabulary
+from kgspark.operators.scoring import half_up
+from kgspark.session import written
+
+# Terms that weighted() broadcasts; weights of a block of most_similar(), and scores that are held at a time.
+HELD, BLOCK, CHUNK = 2**17, 2**19, 2**18
 
 # The order in which a drug's name categories are tried.
 NAME_PRIORITY = ["primary", "synonym", "brand", "product", "mixture", "external", "chemical"]
@@ -121,38 +129,105 @@ def back_filled(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     return joined.withColumn("cui", F.coalesce("cui", "_by_orig", "_by_term")).select(*rows.columns)
 
 
-def tf_idf(rows: DataFrame, id: str, words: str, max_df: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(weights(id, term, w), idf(term, idf)): smoothed idf = ln((1 + n) / (1 + df)) + 1, unit length; terms in more than max_df of rows left out."""
+def _counted(rows: DataFrame, id: str, words: str) -> DataFrame:
+    """(id, term, tf): each row's words are sorted and counted where they are; only rows that share their id meet elsewhere."""
+    again = written(rows.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(id), "repeated-ids")
+    runs = rows.withColumn("_s", F.sort_array(words))
+    at = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)))
+    runs = runs.where(F.size("_s") > 0).select(id, "_s", at.alias("_at"))
+    each = F.transform("_at", lambda a, k: F.struct(F.get("_s", a - 1).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - a).cast("long").alias("tf")))
+    counts = lambda df: df.select(id, F.explode(each).alias("_c")).select(id, "_c.term", "_c.tf")
+    merged = counts(runs.join(again, id, "left_semi")).groupBy(id, "term").agg(F.sum("tf").alias("tf"))
+    return counts(runs.join(again, id, "left_anti")).unionByName(merged)
+
+
+def tf_idf_parts(rows: DataFrame, id: str, words: str, max_df: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(raw(id, term, w), lengths(id, len), idf(term, idf)): tf_idf()'s weights before they are divided by their lengths."""
     n = rows.count()
-    counts = rows.select(id, F.explode(words).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+    counts = written(_counted(rows, id, words), "tf-counts")
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= max_df * n).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    return weighted(counts, idf, id), idf
+    idf = written(idf, "tf-idf")
+    return (*_raw(counts, idf, id), idf)
+
+
+def tf_idf(rows: DataFrame, id: str, words: str, max_df: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(weights(id, term, w), idf(term, idf)): smoothed idf = ln((1 + n) / (1 + df)) + 1, unit length; terms in more than max_df of rows left out."""
+    raw, lengths, idf = tf_idf_parts(rows, id, words, max_df)
+    return raw.join(lengths, id).select(id, "term", (F.col("w") / F.col("len")).alias("w")), idf
+
+
+def _raw(counts: DataFrame, idf: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """(id, term, w) of tf * idf, and (id, len).
+
+    The HELD most frequent terms are broadcast, so the rows that have them stay
+    where they are; only those of the rest are dealt out by term.
+    """
+    often = F.broadcast(idf.orderBy("idf", "term").limit(HELD))  # HELD rows at most
+    raw = counts.join(often, "term").unionByName(counts.join(often, "term", "left_anti").join(idf, "term"))
+    raw = raw.select(id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return raw, raw.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
 
 
 def weighted(counts: DataFrame, idf: DataFrame, id: str) -> DataFrame:
     """(id, term, w): tf * idf at unit length per id, from counts(id, term, tf)."""
-    raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = raw.groupBy(id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    raw, lengths = _raw(counts, idf, id)
     return raw.join(lengths, id).select(id, "term", (F.col("w") / F.col("len")).alias("w"))
 
 
-def most_similar(queries: DataFrame, rows: DataFrame, query: str, id: str, least: float = 0.8, digits: int = 6) -> DataFrame:
+def most_similar(queries: DataFrame, rows: DataFrame, query: str, id: str, least: float = 0.8, digits: int = 6, lengths: DataFrame | None = None) -> DataFrame:
     """(query, id, score): each query's most similar row by cosine of unit weights, if at least `least`; ties to the least id.
 
-    A query's most frequent terms whose weights together are shorter than
-    `least` can't reach it alone, so a similar row shares one of the others:
-    only these meet the rows' terms, and what they meet is scored in full.
+    With lengths(id, len) the rows' weights are yet to be divided by these. Rows' terms that no query has are left out, the others numbered. Blocks of
+    BLOCK weights meet each other, sparse products are summed for CHUNK scores
+    at a time, and of each pair of blocks a query's best row is left.
     """
-    frequency = rows.groupBy("term").agg(F.count("*").alias("_df"))
-    often = W.partitionBy(query).orderBy(F.desc("_df"), "term").rowsBetween(W.unboundedPreceding, 0)
-    asked = queries.select(query, "term", F.col("w").alias("_q"))
-    rare = asked.join(frequency, "term").withColumn("_length", F.sum(F.col("_q") * F.col("_q")).over(often)).where(F.col("_length") >= max(0.0, least - 10.0**-digits) ** 2)
-    held = rows.select(id, "term", F.col("w").alias("_r"))
-    candidates = rare.select(query, "term").join(held.select(id, "term"), "term").select(query, id).distinct()
-    met = candidates.join(asked, query).join(held, [id, "term"])
-    scores = met.groupBy(query, id).agg(F.round(F.sum(F.col("_q") * F.col("_r")), digits).alias("score")).where(F.col("score") >= least)
-    best = W.partitionBy(query).orderBy(F.desc("score"), id)
-    return scores.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").drop("_turn")
+    asked = written(queries.select(F.col(query).alias("q"), "term", F.col("w").alias("x")).where("q is not null"), "asked-terms")
+    terms = written(vocabulary(asked, "term").select(F.col("value").alias("term"), F.col("id").alias("t")), "asked-numbers")
+    held = written(rows.join(terms.select("term"), "term", "left_semi").join(terms, "term").select(F.col(id).alias("i"), "t", F.col("w").alias("y")).where("i is not null"), "met-terms")
+    size = held.count()
+    if lengths is not None:  # under a term that no query has
+        held = held.unionByName(lengths.where(F.col(id).isNotNull()).select(F.col(id).alias("i"), F.lit(-1).cast("long").alias("t"), F.col("len").alias("y")))
+    sides, most = [asked.join(terms, "term").select("q", "t", "x"), held], [max(1, -(-n // BLOCK)) for n in (asked.count(), size)]
+    most[1] = max(most[1], min(-(-size // 2**14), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    dealt = [df.withColumn(f"b{n}", F.pmod(F.xxhash64("qi"[n]), F.lit(most[n]))).withColumn(f"b{1 - n}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most[1 - n] - 1).cast("long")))).groupBy("b0", "b1") for n, df in enumerate(sides)]
+
+    def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": q["q"][:0], "i": r["i"][:0], "score": np.zeros(0)})]
+        if len(q) and len(r):
+            out += _best_scores(q, r, least, digits)
+        return pd.concat(out, ignore_index=True)
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in zip(sides, "qi", strict=True)]
+    best = W.partitionBy("q").orderBy(F.desc("score"), "i")
+    scores = dealt[0].cogroup(dealt[1]).applyInPandas(solve, f"q {kinds[0]}, i {kinds[1]}, score double")
+    return scores.withColumn("_turn", F.row_number().over(best)).where("_turn = 1").select(F.col("q").alias(query), F.col("i").alias(id), "score")
+
+
+def _best_scores(q: pd.DataFrame, r: pd.DataFrame, least: float, digits: int):
+    """Pieces (q, i, score): of a run of rows r(i, t, y), each query's best by the sum of x * y over shared terms t."""
+    names, who = np.unique(q["q"].to_numpy(), return_inverse=True)
+    by_term = np.argsort(q["t"].to_numpy(), kind="stable")
+    t, x, who = q["t"].to_numpy()[by_term], q["x"].to_numpy()[by_term], who[by_term]
+    r = r.sort_values("i", kind="stable")
+    ids, row = np.unique(r["i"].to_numpy(), return_inverse=True)
+    own = r["t"].to_numpy() < 0
+    length = np.ones(len(ids))
+    length[row[own]] = r["y"].to_numpy()[own]
+    first, n = np.searchsorted(t, r["t"].to_numpy(), "left"), np.searchsorted(t, r["t"].to_numpy(), "right")
+    n, y, step = n - first, r["y"].to_numpy(), max(1, CHUNK // len(names))
+    for low in range(0, len(ids), step):
+        part = slice(np.searchsorted(row, low, "left"), np.searchsorted(row, low + step, "left"))
+        times, high = n[part], min(step, len(ids) - low)
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[part], times)  # places of the queries' weights that a row's weight meets
+        place = np.repeat(row[part] - low, times) * len(names) + who[each]
+        s = np.bincount(place, np.repeat(y[part], times) * x[each], high * len(names)).reshape(high, -1) / length[low : low + high, None]
+        i, j = np.nonzero(s >= np.maximum(s.max(0) - 1.001 / 10.0**digits, least - 0.501 / 10.0**digits)[None, :])
+        score = half_up(s[i, j], digits)
+        order = np.lexsort((i, -score, j))
+        order = order[score[order] >= least]
+        i, j, score = i[order], j[order], score[order]
+        top = np.flatnonzero(np.diff(j, prepend=-1))
+        yield pd.DataFrame({"q": names[j[top]], "i": ids[low + i[top]], "score": score[top]})
 
 
 def phrases(docs: DataFrame, id: str, words: str, min_count: int = 5, threshold: float = 5.0) -> DataFrame:

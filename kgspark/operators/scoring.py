@@ -140,14 +140,20 @@ def _matrix(vectors: list) -> np.ndarray:
         return m / np.maximum(np.sqrt(n), 1e-12)[:, None]
 
 
-def _rounded(a: np.ndarray, b: np.ndarray, near: np.ndarray, digits: int) -> np.ndarray:
-    """near, the products of rows a and b times 10^digits, rounded half up as Spark does: where that hangs on the last bits, from the sum in order of place."""
-    out = np.floor(near + 0.5)
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Doubles rounded half up as F.round does: where that hangs on the last bits, by their decimal notation."""
+    near = x * 10.0**digits
+    out = np.floor(near + 0.5) / 10.0**digits
     for i in np.flatnonzero(np.abs(near + 0.5 - np.rint(near + 0.5)) < 10.0**digits * 1e-11):
-        product = 0.0
-        for x in (a[i] * b[i]).tolist():
-            product += x
-        out[i] = float(Decimal(repr(product)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP).scaleb(digits))
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of rows of a and b, summed in order of place as Spark does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
     return out
 
 
@@ -172,8 +178,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: i
         i, j = np.nonzero((s >= (kth - 1.001 / scale - 2 * off)[:, None]) & (s > -np.inf))
         score, whole = s[i, j].astype(float), np.flatnonzero(np.isfinite(s[i, j]))
         for some in np.array_split(whole, len(whole) // 2**16 + 1):
-            a, b = q[at + i[some]], v[j[some]]
-            score[some] = _rounded(a, b, np.einsum("ij,ij->i", a, b) * scale, digits) / scale
+            score[some] = half_up(_products(q[at + i[some]], v[j[some]]), digits)
         order = np.lexsort((j, -score, i))
         i, j, score = i[order], j[order], score[order]
         first = np.arange(len(i)) - np.searchsorted(i, i, "left") < k

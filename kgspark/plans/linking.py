@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text
 from kgspark.operators import arm_matching, automata, hierarchy, linking, resolution
-from kgspark.session import written
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,10 +29,9 @@ def substring_filter(spark, sf):
 def tfidf_top1(spark, sf):
     """The most similar document of each benchmark item."""
     docs, items = _words(_table(spark, sf, "documents"), "doc_id"), _words(_table(spark, sf, "benchmark"), "item_id")
-    weights, idf = linking.tf_idf(docs, "doc_id", "words")
-    weights, idf = written(weights, "tfidf-weights"), written(idf, "tfidf-idf")  # read for frequencies, candidates and scores
+    raw, lengths, idf = linking.tf_idf_parts(docs, "doc_id", "words")
     counts = items.select("item_id", F.explode("words").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    return linking.most_similar(linking.weighted(counts, idf, "item_id"), weights, "item_id", "doc_id", 0.05, 4)
+    return linking.most_similar(linking.weighted(counts, idf, "item_id"), raw, "item_id", "doc_id", 0.05, 4, lengths)
 
 
 def phrase_bigrams(spark, sf):

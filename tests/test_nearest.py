@@ -59,7 +59,7 @@ def test_products_are_rounded_half_up_in_order_of_place():
 
     a = np.array([[0.1, 0.1], [0.3, 0.4], [1.0, 0.0], [-1.0, 0.0]])
     b = np.array([[0.25, 0.25], [0.5, 0.25], [0.125, 0.0], [0.125, 0.0]])
-    assert scoring._rounded(a, b, (a * b).sum(1) * 100, 2).tolist() == [5.0, 25.0, 13.0, -13.0]
+    assert scoring.half_up(scoring._products(a, b), 2).tolist() == [0.05, 0.25, 0.13, -0.13]
 
 
 def test_products_are_made_by_blocks(spark):
