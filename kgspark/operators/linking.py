@@ -269,16 +269,19 @@ def matched_share(interventions: DataFrame, names: DataFrame) -> DataFrame:
     """(trial, matched, ambiguous, total, percentage) of drug interventions(trial, key, name, others): each by its first name with an id.
 
     names(name, id, category). A name that isn't known is tried by its components. One id is
-    unambiguous, or one of the first category that has any.
+    unambiguous, or one of the first category that has any. Each different name is
+    taken apart and looked up once; rows of one trial and key are one intervention.
     """
     base = interventions.select("trial", "key", F.posexplode(F.concat(F.array(F.lower("name")), F.coalesce("others", F.array().cast("array<string>")))).alias("at", "name"))
-    tried = base.select("trial", "key", "at", F.posexplode(F.concat(F.array("name"), T.normalise_drug_name(F.col("name")))).alias("part", "name"))
-    known = by_priority(names, tried, ["primary", "synonyms", "international_brand_names", "external-identifiers", "product_names", "mixture_names"])
-    single = names.groupBy("name").agg(F.count("*").alias("_n"))
-    known = known.join(single, "name").select("name", F.col("ids")[0].alias("id"), ((F.size("ids") > 1) & (F.col("_n") > 1)).alias("twice"))
-    best = tried.join(known, "name").groupBy("trial", "key").agg(F.min(F.struct("at", "part", "id", "twice")).alias("b")).select("trial", "key", "b.id", "b.twice")
-    joined = interventions.select("trial", "key").distinct().join(best, ["trial", "key"], "left")
-    out = joined.groupBy("trial").agg(F.count("id").alias("matched"), F.count_if(F.col("twice")).alias("ambiguous"), F.count("*").alias("total"))
+    each = written(base.select("name").distinct(), "different-names")
+    tried = written(each.select("name", F.posexplode(F.concat(F.array("name"), T.normalise_drug_name(F.col("name")))).alias("part", "tried")), "tried-names")
+    priority = F.array(*map(F.lit, ["primary", "synonyms", "international_brand_names", "external-identifiers", "product_names", "mixture_names"]))
+    wanted = names.join(tried.select(F.col("tried").alias("name")).distinct(), "name", "left_semi").withColumn("_rank", F.array_position(priority, F.col("category"))).where("_rank > 0")
+    ids = wanted.groupBy("name", "_rank").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("twice"))
+    known = ids.groupBy("name").agg(F.min(F.struct("_rank", "id", "twice")).alias("k")).select(F.col("name").alias("tried"), "k.id", "k.twice")
+    of = tried.join(known, "tried").groupBy("name").agg(F.min(F.struct("part", "id", "twice")).alias("b"))
+    best = base.join(of, "name", "left").groupBy("trial", "key").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("at", "b.part", "b.id", "b.twice"))).alias("b"))
+    out = best.groupBy("trial").agg(F.count("b.id").alias("matched"), F.count_if(F.col("b.twice")).alias("ambiguous"), F.count("*").alias("total"))
     return out.withColumn("percentage", 100.0 * F.col("matched") / F.col("total"))
 
 

@@ -176,7 +176,7 @@ def trial_match_share(spark, sf):
     line = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     kind = F.col("l_partkey") % 3
     name = F.when(kind == 0, F.concat(F.lit("Sole"), _text("l_partkey"), F.lit(" tablets daily"))).when(kind == 1, F.concat(F.lit("Shared"), (F.col("l_partkey") % 10).cast("string"))).otherwise("Nobody knows")
-    rows = line.select(F.col("l_orderkey").alias("trial"), F.struct("l_linenumber", "l_partkey").alias("key"), name.alias("name"), F.array().cast("array<string>").alias("others")).distinct()
+    rows = line.select(F.col("l_orderkey").alias("trial"), F.struct("l_linenumber", "l_partkey").alias("key"), name.alias("name"), F.array().cast("array<string>").alias("others"))
     part = _table(spark, sf, "part")
     names = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("sole"), _text("p_partkey")).alias("name"), _text("p_partkey").alias("id"), F.lit("primary").alias("category"))
     names = names.unionByName(part.where("p_partkey % 3 = 1").select(F.concat(F.lit("shared"), (F.col("p_partkey") % 10).cast("string")).alias("name"), _text("p_partkey").alias("id"), F.lit("synonyms").alias("category")))
