@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.operators.components import components
 from kgspark.operators.draws import drawn
 from kgspark.operators.ordered import running_sums
+from kgspark.session import written
 
 
 def by_year_left_out(start: Column, complete: Column, year: int, mode: str = "one-start") -> Column:
@@ -70,15 +71,22 @@ def component_split(rows: DataFrame, left: str, right: str, seed: int = 34, orde
     """rows with split such that no value of left or right straddles it: components of the bipartite graph, filled by quota.
 
     Components are walked in a seeded order of their least nodes (`l:` and the
-    least left value), or in the order given.
+    least left value), or in the order given. Only the lefts that share a right
+    become edges, each to the least of them; a left alone is a component.
     """
-    tag = lambda c, k: F.concat(F.lit(k), F.col(c).cast("string"))
-    edges = rows.select(tag(left, "l:").alias("src"), tag(right, "r:").alias("dst"))
-    found = components(edges)
-    member = rows.withColumn("_node", tag(left, "l:")).join(found, F.col("_node") == F.col("node"))
-    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
+    tag = lambda c: F.concat(F.lit("l:"), F.col(c).cast("string"))
+    both = rows.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("_l"), F.col(right).alias("_r"))
+    shared = both.groupBy("_r").agg(F.min("_l").alias("_m"), F.max("_l").alias("_x"), F.count("*").alias("_n")).where("_m <> _x")
+    shared = written(shared, "shared")
+    between = both.join(shared.where("_n > 2").select("_r", "_m", "_x"), "_r").where("_l <> _m and _l <> _x").select("_m", F.col("_l").alias("_x"))
+    found = components(shared.select("_m", "_x").unionByName(between), "_m", "_x")
+    named = found.join(found.groupBy("component").agg(F.min(tag("node")).alias("_name")), "component").select("node", "_name")
+    lefts = rows.where(F.col(left).isNotNull()).groupBy(F.col(left).alias("_l")).agg(F.count("*").alias("n"), F.count(right).alias("_linked")).where("_linked > 0")
+    lefts = written(lefts.join(named, F.col("_l") == F.col("node"), "left").select("_l", "n", F.coalesce("_name", tag("_l")).alias("component")), "lefts")
+    sizes = lefts.groupBy("component").agg(F.sum("n").alias("n"))
     parts = quota(sizes, "n", order or [hash_order("component", seed=seed), "component"])
-    return member.join(parts.select("component", "split"), "component").drop("_node", "node", "component")
+    of = lefts.join(parts.select("component", "split"), "component").select("_l", "split")
+    return rows.join(of, F.col(left) == F.col("_l")).drop("_l")
 
 
 def by_group(rows: DataFrame, group: str, order: list, fractions: tuple = (0.7, 0.15), subsample: int = 0) -> DataFrame:
@@ -126,7 +134,7 @@ def by_arms(n_arms: Column, key: Column, seed: int = 34, exact: bool = False) ->
 def violations(rows: DataFrame, key: str) -> DataFrame:
     """(check, n): rows without a split, and keys in more than one."""
     null = rows.agg(F.count_if(F.col("split").isNull()).alias("n")).select(F.lit("null split").alias("check"), "n")
-    straddling = rows.groupBy(key).agg(F.count_distinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("n"))
+    straddling = rows.groupBy(key).agg((F.min("split") != F.max("split")).alias("s")).agg(F.count_if("s").alias("n"))
     return null.union(straddling.select(F.lit("straddling key").alias("check"), "n"))
 
 
